@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .near_dedup import OP3_SQL, op3_near_dedup
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_near_dedup": op3_near_dedup,
 }
 
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
+    "op3_near_dedup": OP3_SQL,
 }
