@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from .words import U, Words, grams, inside, sliding_min, text_bytes
 from .workspace import Workspace
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_KEYS = 1_500_000
 OUTPUT = ("kept_text", "n_words", "n_removed")
 
@@ -235,7 +235,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, text: str = "text") -> Da
         if answers is None:
             return chunks.select("chunk_id", "payload")
         got = answers.groupBy("chunk_id").agg(F.collect_list(F.struct("level", "bucket", "hits")).alias("answers"))
-        return chunks.select("chunk_id", "payload").join(got, "chunk_id", "left")
+        # one plan at every size: a broadcast of small answers would hide what the chunks' own shuffle costs
+        return chunks.select("chunk_id", "payload").join(got.hint("merge"), "chunk_id", "left")
 
     for level, length in enumerate(levels(window)):
         density = 1.0 if length == window else 2 / (window - length + 2)
