@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .near_dedup import OP3_SQL, op3_near_dedup
+from .packing import op9_packing
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE = {
