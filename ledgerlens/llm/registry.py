@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
+
+from .language_id import op2_language_id
 from .near_dedup import OP3_SQL, op3_near_dedup
 from .packing import op9_packing
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op9_packing": op9_packing,
+    "pipeline": pipeline,
 }
 
 ORACLE = {
