@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from corpus_pipeline import run as pipeline
 
+from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .language_id import op2_language_id
 from .near_dedup import OP3_SQL, op3_near_dedup
 from .packing import op9_packing
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .token_counts import op5_token_counts
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "pipeline": pipeline,
 }
@@ -20,4 +24,5 @@ QUERIES = {
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op3_near_dedup": OP3_SQL,
+    "op8_embedding_dedup": OP8_SQL,
 }
