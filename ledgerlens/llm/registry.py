@@ -10,6 +10,7 @@ from .near_dedup import OP3_SQL, op3_near_dedup
 from .packing import op9_packing
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op5_token_counts
+from .vector_search import OP10_SQL, op10_vector_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
+    "op10_vector_search": op10_vector_search,
     "pipeline": pipeline,
 }
 
@@ -25,4 +27,5 @@ ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op3_near_dedup": OP3_SQL,
     "op8_embedding_dedup": OP8_SQL,
+    "op10_vector_search": OP10_SQL,
 }
