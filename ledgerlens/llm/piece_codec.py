@@ -154,7 +154,7 @@ class PieceModel:
             top, begin = best[end - 1] + self.score.get(word[end - 1 : end], self.unknown_score), end - 1
             for start in range(end - 2, max(-1, end - self.longest - 1), -1):
                 score = self.score.get(word[start:end])
-                if score is not None and best[start] + score > top:  # of equal scores the shortest last piece
+                if score is not None and best[start] + score >= top:  # of equal scores the longest last piece
                     top, begin = best[start] + score, start
             tail.append(word[begin:end])
             done.append(done[begin] + self.ids(word[begin:end]))
