@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+for _name in ("cycles",):
+    _module = import_module(f"{__name__}.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
