@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocab
 
@@ -40,7 +41,7 @@ def label_ascii(column: Column) -> Column:
     return F.lower(squeeze(column))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def label_norm(values: pd.Series) -> pd.Series:
     """Label normal form for any script: compatibility composition, one blank, case folded (Arrow batches)."""
     import unicodedata

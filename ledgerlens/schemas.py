@@ -38,7 +38,14 @@ _COLUMNS = {
     "cycle_operator_override": "cycle_operator_override_id string, cycle_event_id string, override_type string, actor string, reason string, created_at string",
 }
 
-TABLES: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _COLUMNS.items()}
+_KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+TABLES: dict[str, T.StructType] = {name: _schema(columns) for name, columns in _COLUMNS.items()}
 
 #: Natural identity of each table: rows with equal values are one record.
 IDENTITY = {
