@@ -51,6 +51,10 @@ def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return docs.select(key, F.explode(tokens(joined)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
+def _is(term: str):
+    return lambda word: word == F.lit(term)
+
+
 def bm25(docs: DataFrame, key: str, columns: list[str], query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, bm25) of documents that hold all terms; lower is better.
 
@@ -60,7 +64,7 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, k1: float =
     terms = query_terms(query)
     joined = F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
     words = docs.select(key, tokens(joined).alias("words"))
-    counted = words.select(key, F.size("words").alias("dl"), *(F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    counted = words.select(key, F.size("words").alias("dl"), *(F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
     figures = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     all_terms = " AND ".join(f"tf{i} > 0" for i in range(len(terms)))
     score = F.lit(0.0)
