@@ -53,7 +53,7 @@ _ASKS = "bucket int, chunk_id long, keys binary, more binary, twice binary"
 _ANSWERS = "chunk_id long, bucket int, n_keys long, n_hits long, hits binary"
 
 
-def levels(window: int, least: int = 8) -> list[int]:
+def levels(window: int, least: int = 9) -> list[int]:
     """Window lengths from short to ``window``, each at most twice the one before."""
     out = [window]
     while out[0] > least:
