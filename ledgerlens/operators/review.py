@@ -115,6 +115,12 @@ def assemble(records: DataFrame, key: str, children: dict[str, DataFrame]) -> Da
     return out
 
 
+def attribute_map(rows: DataFrame, key: str, name: Column, value: Column) -> DataFrame:
+    """(key, attributes): name-value rows as one map; of several values of a name the greatest."""
+    single = rows.groupBy(key, name.alias("_name")).agg(F.max(value).alias("_value"))
+    return single.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_value")))).alias("attributes"))
+
+
 #: Crosswalk of work fields to the DCMI element set.
 DCMI = {"title": "dcterms:title", "work_type": "dcterms:type", "rights_posture": "dcterms:rights", "raw_cite_text": "dcterms:bibliographicCitation", "first_seen_at": "dcterms:created", "last_seen_at": "dcterms:modified", "work_key_v1": "dcterms:identifier"}
 PREMIS = {"event_type": "premis:eventType", "event_timestamp": "premis:eventDateTime", "provenance_event_key_v1": "premis:eventIdentifierValue", "actor": "premis:linkingAgentIdentifierValue", "note_text": "premis:eventDetail"}
