@@ -173,7 +173,7 @@ def producer_consumer_blast(spark, d):
 
 
 def inverse_edges(spark, d):
-    edges = read(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("from_object_ref"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("to_object_ref"), F.lit("part_of").alias("predicate"))
+    edges = read(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("from_object_ref"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("to_object_ref"), F.when(F.col("n_nationkey") % 4 > 0, "part_of").otherwise("near").alias("predicate"))
     return graph.inverse_edges(edges, spark.createDataFrame([("part_of", "has_part"), ("taught_by", "teacher_of")], "predicate string, inverse string"))
 
 
@@ -264,7 +264,7 @@ SELECT CASE WHEN g = 1 THEN '1' WHEN g <= 3 THEN '2-3' WHEN g <= 10 THEN '4-10'
     "component_sizes": f"WITH {COMPONENTS} SELECT component, count(*) AS size FROM labels GROUP BY component ORDER BY size DESC, component LIMIT 10",
     "lineage_recursive": LINEAGE_SQL,
     "producer_consumer_blast": f"WITH {IO}, l AS (SELECT DISTINCT a.k, a.s AS p, b.s AS c FROM io a JOIN io b ON a.k = b.k AND a.dir = 'write' AND b.dir = 'read' AND a.s <> b.s) SELECT k AS artifact_key, count(DISTINCT p) AS producers, count(DISTINCT c) AS consumers FROM l GROUP BY k",
-    "inverse_edges": "SELECT 'region:' || n_regionkey AS from_object_ref, 'nation:' || n_nationkey AS to_object_ref, 'has_part' AS predicate FROM nation",
+    "inverse_edges": "SELECT 'region:' || n_regionkey AS from_object_ref, 'nation:' || n_nationkey AS to_object_ref, 'has_part' AS predicate FROM nation WHERE n_nationkey % 4 > 0",
     "departed_inventory": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)",
     "exact_duplicate_groups": r"SELECT md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "authority_matches": """WITH e AS (SELECT doc_id AS entity_id, 'brand#' || (doc_id % 30) AS l, CASE WHEN doc_id % 2 = 0 THEN 'ECONOMY' ELSE 'PROMO' END AS t FROM documents WHERE doc_id < 500),
