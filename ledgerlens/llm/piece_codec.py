@@ -27,7 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,26 +160,24 @@ class PieceModel:
             done.append(done[begin] + self.ids(word[begin:end]))
             best.append(top)
 
-    def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
+    @cached_property
+    def surface(self) -> list[bytes]:
+        """What each id decodes to, as bytes."""
+        out = []
+        for i, (name, kind) in enumerate(zip(self.names, self.kinds, strict=True)):
             if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            if self.kinds[i] in (NORMAL, USER):
-                out.append(self.names[i])
-            elif self.kinds[i] == UNKNOWN:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out)
-        if self.dummy and text.startswith(MARK):
-            text = text[1:]
-        return text.replace(MARK, " ")
+                out.append(bytes([self.byte_of[i]]))
+            elif kind in (NORMAL, USER):
+                out.append(name.replace(MARK, " ").encode())
+            else:
+                out.append(" ⁇ ".encode() if kind == UNKNOWN else b"")
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        raw = b"".join(map(self.surface.__getitem__, ids))
+        if self.dummy and ids and self.names[ids[0]].startswith(MARK):
+            raw = raw[1:]
+        return raw.decode(errors="replace")
 
 
 @lru_cache
@@ -189,31 +187,41 @@ def load(name: str) -> PieceModel:
 
 
 class Encoder:
-    """Encodes texts, keeping the ids of words already met (``WORDS_MOST`` at most)."""
+    """Encodes texts, keeping the ids of words met lately: two generations of ``WORDS_MOST`` words."""
 
     def __init__(self, model: PieceModel):
         self.model = model
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.model.words(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > WORDS_MOST:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        self.known |= self.model.encode_words(list(new))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
+        if len(self.known) > WORDS_MOST:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = {w for words in split for w in words if w not in known}
+        if before:
+            old = new & before.keys()
+            known |= {w: before[w] for w in old}
+            new -= old
+        known |= self.model.encode_words(list(new))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+
+
+@lru_cache
+def encoder(name: str) -> Encoder:
+    """The Python worker's encoder: words stay known from task to task."""
+    return Encoder(load(name))
 
 
 def _encode(name: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(name)
-        encoder = Encoder(model)
+        model, words = load(name), encoder(name)
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
                 texts = [t.as_py() or "" for t in part.column(1)]
-                ids = encoder.encode(texts)
+                ids = words.encode(texts)
                 columns = {"doc_id": part.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
                 if with_ids:
                     columns["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
