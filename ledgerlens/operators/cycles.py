@@ -74,19 +74,26 @@ def saturation(groups: DataFrame, lookback: int = 3, max_streak: int = 2, backlo
 def pending_ages(rows: DataFrame, now: Column, then: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group: pending rows, least age, median and 90th percentile in days.
 
-    The percentile is the row of rank round((n - 1) * 0.9) + 1, from an array of
-    the group's ages; without groups a counted histogram of ages takes its place,
-    so that no task sorts the whole table.
+    The percentile is the row of rank round((n - 1) * 0.9) + 1.  Rows are first
+    counted by whole days, which are few; the days that hold the wanted ranks
+    are found there, and only their rows are sorted, so neither a whole table
+    nor a whole group meets in one task.
     """
-    aged = rows.select(*by, age_days(now, F.col(then)).alias("age"))
-    ages = aged.groupBy(*by, "age").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy("age")
-    placed = ages.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("age")))
+    group = [*by, "day"]
+    aged = rows.select(*by, age_days(now, F.col(then)).alias("age")).withColumn("day", F.floor("age"))
+    days = aged.groupBy(*group).agg(F.count("*").alias("n"), F.min("age").alias("least"))
+    until = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("upto", F.sum("n").over(until)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
     total = F.col("total")
-    low, high = at(F.floor((total + 1) / 2)), at(F.floor((total + 2) / 2))
-    p90 = at(F.floor((total - 1) * 0.9 + 0.5) + 1)
-    return placed.groupBy(*by).agg(F.max("total").alias("pending"), F.min("age").alias("least_age_days"), ((low + high) / 2).alias("median_age_days"), p90.alias("p90_age_days"))
+    ranks = F.array(F.floor((total + 1) / 2), F.floor((total + 2) / 2), F.floor((total - 1) * 0.9 + 0.5) + 1)
+    wanted = days.select(*group, "upto", "n", F.posexplode(ranks).alias("which", "rank")).filter((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
+    wanted = wanted.select(*group, "which", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("nth"))
+    near = aged.join(wanted.select(*group).distinct(), group, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("age")))
+    found = wanted.join(near, [*group, "nth"])
+    at = lambda which: F.min(F.when(F.col("which") == which, F.col("age")))
+    picked = found.groupBy(*by).agg(((at(0) + at(1)) / 2).alias("median_age_days"), at(2).alias("p90_age_days"))
+    heads = days.groupBy(*by).agg(F.max("total").alias("pending"), F.min("least").alias("least_age_days"))
+    return heads.join(picked, list(by)) if by else heads.crossJoin(picked)  # one row each
 
 
 def yield_trend(cycles: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.states import keeps_envelope, merge_review_state
 from ..functions.values import instant
 from ..schemas import TABLES
+from ..session import use_checkpoint_dir
 
 #: A rule gives the merged value from (old, new) columns and whether the old envelope stays.
 Rule = Callable[[Column, Column, Column], Column]
@@ -91,9 +92,20 @@ def replay_conflicts(old: DataFrame, new: DataFrame, key: Sequence[str], ignore:
 
 
 def assign_ids(rows: DataFrame, pk: str, start: int, order: Sequence[str]) -> DataFrame:
-    """Surrogate ids from ``start`` in natural-key order, by range-partition offsets: no single-task sort."""
-    sorted_rows = rows.drop(pk).repartitionByRange(*order).sortWithinPartitions(*order)
-    return sorted_rows.rdd.zipWithIndex().map(lambda x: (start + x[1], *x[0])).toDF([pk, *sorted_rows.columns]) if not rows.isEmpty() else rows
+    """Surrogate ids from ``start`` in the order of the natural key.
+
+    Rows are range-partitioned and numbered within their partition; a row for
+    each partition carries the numbers on.  The checkpoint keeps the places as
+    they are when a task runs again.
+    """
+    use_checkpoint_dir(rows.sparkSession)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("_part", F.shiftright("_place", 33)).withColumn("_nth", F.col("_place").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))  # a row for each partition
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn(pk, (F.lit(start) + F.col("_before") + F.col("_nth")).cast("long"))
+    return numbered.select(*rows.columns)
 
 
 def review_decisions(targets: DataFrame, decisions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
