@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_to_regex, host
+from ..operators.projections import allowed_url
 
 SUFFIXES = {"csv": [".csv"], "json": [".json"], "jsonl": [".jsonl", ".ndjson"], "xml": [".xml"], "text": [".txt", ".md"]}
 
@@ -39,9 +40,7 @@ def url_manifest(spark: SparkSession, path: str, hosts: Sequence[str] = (), pref
     """(url, title, notes, source_id, host, action): allow, deny_host, deny_scheme or corrupt for each manifest line; nothing is fetched."""
     rows = spark.read.schema("url string, title string, notes string, source_id string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     name = host(F.col("url"))
-    allowed = F.lit(not hosts and not prefixes) | name.isin(*hosts)
-    for p in prefixes:
-        allowed = allowed | F.col("url").startswith(p)
+    allowed = allowed_url(F.col("url"), hosts, prefixes) if hosts or prefixes else F.lit(True)
     action = F.when(F.col("_bad").isNotNull() | F.col("url").isNull(), "corrupt").when(~F.col("url").rlike("^https?://[^/]"), "deny_scheme").when(F.coalesce(allowed, F.lit(False)), "allow").otherwise("deny_host")
     return rows.select("url", "title", "notes", "source_id", name.alias("host"), action.alias("action"))
 
