@@ -208,3 +208,10 @@ def glob_to_regex(glob: str, slash_aware: bool = True) -> str:
             out += {"*": many, "?": one}.get(glob[i], re.escape(glob[i]))
             i += 1
     return f"^{out}$"
+
+
+def normalize_extracted(text: Column) -> Column:
+    """Extracted text with form feeds as paragraph breaks, single blanks and at most one empty line."""
+    out = F.regexp_replace(text, "\\f", "\n\n")
+    out = F.regexp_replace(out, r"[ \t]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), "\n{3,}", "\n\n"))

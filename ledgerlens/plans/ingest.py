@@ -162,3 +162,28 @@ def backfill_legacy(leads: DataFrame) -> dict[str, DataFrame]:
     works = titled.select(F.concat_ws("|", F.lit("title"), label_ascii(F.col("title"))).alias("work_key_v1"), "title", "workspace_id", F.lit("needs_review").alias("review_state")).dropDuplicates(["work_key_v1"])
     access = leads.select(F.col("lead_id").alias("source_lead_id"), F.col("locator").alias("original_locator"), F.col("url").alias("canonical_url"), "workspace_id", F.lit("needs_review").alias("review_state"))
     return {"work": schemas.conform(works, "work"), "source_access": schemas.conform(access, "source_access")}
+
+
+def entities_with_workspace(entities: DataFrame, extractions: DataFrame, captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities with a workspace from themselves, their extraction or their capture; those whose sources disagree)."""
+    e = extractions.select("extraction_id", F.col("workspace_id").alias("_we"))
+    c = captures.select("capture_event_id", F.col("workspace_id").alias("_wc"))
+    joined = entities.join(e, "extraction_id", "left").join(c, "capture_event_id", "left")
+    named = F.array_distinct(F.array_compact(F.array("workspace_id", "_we", "_wc")))
+    bad = joined.filter(F.size(named) > 1).select(*entities.columns)
+    return joined.withColumn("workspace_id", F.coalesce("workspace_id", "_we", "_wc")).select(*entities.columns), bad
+
+
+#: Where a reconciliation may go from each of its states.
+LIFECYCLE = {"proposed": ["accepted", "rejected", "ambiguous"], "ambiguous": ["accepted", "rejected"], "rejected": ["proposed"], "accepted": []}
+
+
+def advance_reconciliations(rows: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reconciliations after the moves (reconciliation_key_v1, to_state), moves that the lifecycle refuses)."""
+    allowed = F.array(*(F.lit(f"{a}>{b}") for a, bs in LIFECYCLE.items() for b in bs))
+    joined = rows.join(moves, "reconciliation_key_v1", "left")
+    step = F.concat_ws(">", "review_state", "to_state")
+    fine = F.col("to_state").isNotNull() & F.array_contains(allowed, step)
+    after = joined.withColumn("review_state", F.when(fine, F.col("to_state")).otherwise(F.col("review_state"))).select(*rows.columns)
+    refused = joined.filter(F.col("to_state").isNotNull() & ~fine & (F.col("to_state") != F.col("review_state"))).select("reconciliation_key_v1", "review_state", "to_state")
+    return after, refused
