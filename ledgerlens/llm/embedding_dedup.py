@@ -19,7 +19,7 @@ Buckets are counted on narrow rows first, and those of one class go.  A pair is
 verified in the first table that brings it together and nowhere else, so links
 are counted without any list of pairs; a bucket sends back each class's number
 of links and a star over what is connected.  Buckets above ``BLOCK`` rows are
-cut into blocks whose pairs are separate tasks, so none is held whole.
+cut into blocks whose pairs are separate buckets, so none is held whole.
 
 Edge cases: a null label, a null or empty vector, one of zeros or with null or
 non-finite components links with nothing (0 links, own component, kept); rows
@@ -46,6 +46,8 @@ PROBES = 2
 MISS = 1e-4
 BUCKET_GOAL = 64
 BLOCK = 4096
+BIN_ROWS = 16_384
+PAIRS_AT_ONCE = 200_000
 SEED = 64
 
 
@@ -123,39 +125,78 @@ def _hash(cosine: float, rows: int):
     return run
 
 
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """A list column whose lists are equally long, as a matrix."""
+    flat = column.combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _pairs(stored: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(stored row, other row of its bucket) pairs, ``PAIRS_AT_ONCE`` or so at a time."""
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(stored):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        n = size[at:stop]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(stored[at:stop], n), np.repeat(begin[at:stop], n) + within
+        at = stop
+
+
 def _verify(cosine: float):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        table, i, j = key[2].as_py(), key[4].as_py(), key[5].as_py()
-        node = group.column("node").to_numpy()
-        copies = group.column("copies").to_numpy()
-        x = unit(group.column("embedding").to_pylist())
-        own = np.array(group.column("own").to_pylist(), np.int64)
-        looks = np.array(group.column("looks").to_pylist(), np.int64).reshape(len(node), own.shape[1], -1)
-        block = group.column("block").to_numpy()
-        stored = np.flatnonzero(group.column("stored").to_numpy(zero_copy_only=False) & (block == i))
-        looking = np.flatnonzero(block == j)
-        links = np.zeros(len(node), np.int64)
-        root = np.arange(len(node))
-        for a in range(0, len(stored), 1024):
-            rows = stored[a : a + 1024]
-            p, q = np.nonzero((x[rows] @ x[looking].T >= cosine) & (node[rows][:, None] < node[looking][None, :]))
-            p, q = rows[p], looking[q]
-            new = np.ones(len(p), bool)
-            for t in range(table):
-                new &= ~(own[p, t][:, None] == looks[q, t]).any(axis=1)
-            np.add.at(links, p[new], copies[q[new]])
-            np.add.at(links, q[new], copies[p[new]])
-            before = None
-            while before is None or not np.array_equal(before, root):
-                before = root.copy()
-                low = np.minimum(root[p], root[q])
-                np.minimum.at(root, p, low)
-                np.minimum.at(root, q, low)
-                np.minimum.at(root, before[p], low)
-                np.minimum.at(root, before[q], low)
-                root = root[root]
-        out = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
-        return pa.table({"node": node[out], "other": node[root[out]], "links": links[out]})
+    """Links and stars of all buckets of a bin: every stored row with every row that looks into its bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n = group.num_rows
+        label = group.column("label").combine_chunks().dictionary_encode()
+        label = label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label
+        i, j, table, code = (group.column(c).to_numpy() for c in ("i", "j", "t", "code"))
+        bucket = [label.indices.to_numpy(zero_copy_only=False), table, code, i, j]
+        order = np.lexsort(bucket)
+        new = np.zeros(n, bool)
+        new[0] = True
+        for key in bucket:
+            new[1:] |= key[order][1:] != key[order][:-1]
+        first = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        size = np.diff(np.append(first, n))
+        i, j, table = i[order], j[order], table[order]
+        node = group.column("node").to_numpy()[order]
+        copies = group.column("copies").to_numpy()[order]
+        block = group.column("block").to_numpy()[order]
+        x = _matrix(group.column("embedding"), n)[order]
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        own = _matrix(group.column("own"), n)[order]
+        looks = _matrix(group.column("looks"), n)[order].reshape(n, own.shape[1], -1)
+        stored = np.flatnonzero(group.column("stored").to_numpy(zero_copy_only=False)[order] & (block == i))
+
+        found_p, found_q = [], []
+        for p, q in _pairs(stored, first[which[stored]], size[which[stored]]):
+            fits = (node[p] < node[q]) & (block[q] == j[q])
+            p, q = p[fits], q[fits]
+            near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            found_p.append(p[near])
+            found_q.append(q[near])
+        p, q = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_p, found_q))
+        fresh = np.ones(len(p), bool)
+        for t in range(own.shape[1]):
+            fresh &= ~((own[p, t][:, None] == looks[q, t]).any(axis=1) & (t < table[p]))
+        nodes, at = np.unique(node, return_inverse=True)
+        links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        np.add.at(links, at[p[fresh]], copies[q[fresh]])
+        np.add.at(links, at[q[fresh]], copies[p[fresh]])
+        a, b = at[p], at[q]
+        before = None
+        while before is None or not np.array_equal(before, root):
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            for ends in (a, b, before[a], before[b]):
+                np.minimum.at(root, ends, low)
+            root = root[root]
+        out = np.flatnonzero((links > 0) | (root != np.arange(len(nodes))))
+        return pa.table({"node": nodes[out], "other": nodes[root[out]], "links": links[out]})
 
     return run
 
@@ -181,7 +222,7 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, vector: str =
     looking = hashed.select("node", F.posexplode("looks").alias("place", "code"), each.cast("int").alias("each")).select("node", F.expr("place div each").cast("int").alias("t"), "code", (F.col("place") % F.col("each") == 0).alias("stored"))
     member = space.keep(looking.join(kind, "node"), "member")
     bucket = ["label", "dim", "t", "code"]
-    full = member.groupBy(bucket).agg(F.count("*").alias("n"), F.max("stored").alias("any")).filter("n > 1 AND any").select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    full = member.groupBy(bucket).agg(F.count("*").alias("n"), F.max("stored").alias("any")).filter("n > 1 AND any").select(*bucket, "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = member.join(full, bucket).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # block i holds what is stored, block j what looks; a row is in all pairs that its block is in
     span = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -189,8 +230,12 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, vector: str =
     as_stored = F.transform(span, lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
     pairs = F.when(F.col("stored"), F.array_distinct(F.concat(as_looking, as_stored))).otherwise(as_looking)
     parts = placed.select("node", *bucket, "stored", "block", F.explode(pairs).alias("pair")).select("node", *bucket, "stored", "block", "pair.i", "pair.j")
+    # a bin is many whole buckets, so that a call to Python is worth its while
+    total = full.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    bins = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BIN_ROWS))
+    parts = parts.withColumn("bin", F.pmod(F.xxhash64(*bucket, "i", "j"), F.lit(bins)).cast("int"))
     fat = parts.join(chosen.select("node", "copies", "embedding"), "node").join(hashed, "node")
-    seen = space.keep(fat.groupBy(*bucket, "i", "j").applyInArrow(_verify(cosine), "node long, other long, links long"), "seen")
+    seen = space.keep(fat.groupBy("dim", "bin").applyInArrow(_verify(cosine), "node long, other long, links long"), "seen")
 
     found = connected_components(seen.select(F.col("node").alias("a"), F.col("other").alias("b")).filter("a != b"), space)
     links = seen.groupBy("node").agg(F.sum("links").alias("links"))
