@@ -91,9 +91,9 @@ def inverse_edges(edges: DataFrame, predicates: DataFrame) -> DataFrame:
 
 def producer_consumer(io: DataFrame) -> DataFrame:
     """(artifact_key, producer, consumer) of different surfaces, from rows of surface_key, artifact_key and direction."""
-    made = io.filter(F.col("direction").isin("write", "read_write", "append")).select("artifact_key", F.col("surface_key").alias("producer"))
-    used = io.filter(F.col("direction").isin("read", "read_write")).select("artifact_key", F.col("surface_key").alias("consumer"))
-    return made.join(used, "artifact_key").filter("producer != consumer").distinct()
+    made = io.filter(F.col("direction").isin("write", "read_write", "append")).select("artifact_key", F.col("surface_key").alias("producer")).distinct()
+    used = io.filter(F.col("direction").isin("read", "read_write")).select("artifact_key", F.col("surface_key").alias("consumer")).distinct()
+    return made.join(used, "artifact_key").filter("producer != consumer")
 
 
 def blast_radius(links: DataFrame) -> DataFrame:

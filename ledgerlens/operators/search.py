@@ -51,28 +51,35 @@ def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return docs.select(key, F.explode(tokens(joined)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def _is(term: str):
-    return lambda word: word == F.lit(term)
+def _with_bm25(docs: DataFrame, columns: list[str], query: str, k1: float, b: float) -> DataFrame:
+    """The documents that hold all terms, with ``bm25``; all their columns stay, so nothing joins or shuffles texts.
 
-
-def bm25(docs: DataFrame, key: str, columns: list[str], query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, bm25) of documents that hold all terms; lower is better.
-
-    Only the query's terms are counted, in one pass that also gives lengths: no
-    index is built or shuffled for a query, and the corpus figures are one row.
+    Only the query's terms are counted: no index is built for a query, and the corpus figures are one row.
     """
     terms = query_terms(query)
-    joined = F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
-    words = docs.select(key, tokens(joined).alias("words"))
-    counted = words.select(key, F.size("words").alias("dl"), *(F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
-    figures = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    all_terms = " AND ".join(f"tf{i} > 0" for i in range(len(terms)))
+    text = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns)))
+    tf = {f"_tf{i}": F.regexp_count(text, F.lit(f"(?<![0-9a-z]){t}(?![0-9a-z])")) for i, t in enumerate(terms)}
+    counted = docs.withColumns({"_dl": F.regexp_count(text, F.lit(TOKEN)), **tf})
+    figures = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.count_if(F.col(c) > 0).alias(f"_df{i}") for i, c in enumerate(tf)))
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        score = score - idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return counted.filter(all_terms).crossJoin(F.broadcast(figures)).select(key, score.alias("bm25"))  # figures: one row
+    for i, c in enumerate(tf):
+        hits, df = F.col(c), F.col(f"_df{i}")
+        idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score - idf * hits * (k1 + 1) / (hits + k1 * (1 - b + b * F.col("_dl") / F.col("_avgdl")))
+    matched = counted.filter(" AND ".join(f"{c} > 0" for c in tf))
+    return matched.crossJoin(F.broadcast(figures)).select(*docs.columns, score.alias("bm25"))  # figures: one row
+
+
+def bm25(docs: DataFrame, key: str, columns: list[str], query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, bm25) of documents that hold all terms; lower is better."""
+    return _with_bm25(docs, columns, query, k1, b).select(key, "bm25")
+
+
+def _matching(docs: DataFrame, columns: list[str], query: str) -> DataFrame:
+    text = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns)))
+    for t in query_terms(query):
+        docs = docs.filter(text.rlike(f"(?<![0-9a-z]){t}(?![0-9a-z])"))
+    return docs
 
 
 def composite(bm25_score: Column, authority: Column, review_state: Column, confidence: Column) -> Column:
@@ -83,20 +90,26 @@ def composite(bm25_score: Column, authority: Column, review_state: Column, confi
     return bm25_score * 0.95 + bonus(level, vocab.AUTHORITY_BONUS) + bonus(state, vocab.REVIEW_BONUS) + bonus(state, vocab.NEGATIVE_PENALTY) - sure * 0.75
 
 
-def search(projection: DataFrame, query: str, scope: str = "all", limit: int = 20, offset: int = 0) -> DataFrame:
+SEARCHED = ["object_ref", "object_type", "title", "subtitle", "indexed_text"]
+
+
+def _shown(projection: DataFrame, scope: str) -> DataFrame:
+    return projection.filter("exclusion_reason IS NULL").filter(F.col("object_type").isin(vocab.SCOPES[scope]))
+
+
+def search(projection: DataFrame, query: str, scope: str = "all", limit: int = 20, offset: int = 0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The page of best results with score, rank and snippet."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be from 1 to 100")
-    shown = projection.filter("exclusion_reason IS NULL").filter(F.col("object_type").isin(vocab.SCOPES[scope]))
-    hits = bm25(shown, "object_ref", ["object_ref", "object_type", "title", "subtitle", "indexed_text"], query)
-    scored = shown.join(hits, "object_ref").withColumn("score", composite(F.col("bm25"), F.col("authority_level"), F.col("review_state"), F.col("confidence_score")))
+    hits = _with_bm25(_shown(projection, scope), SEARCHED, query, k1, b)
+    scored = hits.withColumn("score", composite(F.col("bm25"), F.col("authority_level"), F.col("review_state"), F.col("confidence_score")))
     page = scored.orderBy("score", "object_type", "object_pk").offset(offset).limit(limit)
     return page.select("object_ref", "object_type", "result_class", "title", "score", snippet(F.col("indexed_text"), query_terms(query)).alias("snippet"))
 
 
 def match_count(projection: DataFrame, query: str, scope: str = "all") -> DataFrame:
-    shown = projection.filter("exclusion_reason IS NULL").filter(F.col("object_type").isin(vocab.SCOPES[scope]))
-    return bm25(shown, "object_ref", ["object_ref", "object_type", "title", "subtitle", "indexed_text"], query).agg(F.count("*").alias("matches"))
+    """(matches) of a query, without scores."""
+    return _matching(_shown(projection, scope), SEARCHED, query).agg(F.count("*").alias("matches"))
 
 
 def with_truncation(page: DataFrame, limit: int) -> tuple[list, bool]:
