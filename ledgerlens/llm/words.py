@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = 0xD1342543DE82EF95
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,7 +34,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=3)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
