@@ -66,13 +66,25 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.when(whole > 0, F.round(part / whole, digits))
 
 
+def _one_json(text: Column) -> Column:
+    """The text as a one-element variant array: the parser stops after a value, but brackets show what follows it."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def is_json(text: Column) -> Column:
+    """Whether the text is one JSON value and nothing else; a key given twice, or NaN, makes it none."""
+    parsed = _one_json(text)
+    return F.coalesce(parsed.isNotNull() & F.try_variant_get(parsed, "$[0]", "variant").isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull(), F.lit(False))
+
+
 def json_text(payload: Column, field: str) -> Column:
-    """A field of a JSON object, null if the text is no valid JSON (a key given twice, or NaN, makes it none)."""
-    return F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "string")
+    """A field of a JSON object, null if the text is no valid JSON."""
+    return json_number(payload, field, "string")
 
 
 def json_number(payload: Column, field: str, kind: str = "int") -> Column:
-    return F.try_variant_get(F.try_parse_json(payload), f"$.{field}", kind)
+    parsed = _one_json(payload)
+    return F.when(F.try_variant_get(parsed, "$[1]", "variant").isNull(), F.try_variant_get(parsed, f"$[0].{field}", kind))
 
 
 def content_id(prefix: str, *parts: Column, size: int = 24) -> Column:

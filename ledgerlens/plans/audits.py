@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import PRIVATE_PATH, SECRET
+from ..functions.values import is_json
 from ..operators import graph
 from ..operators.fingerprint import fingerprint
 from ..operators.scan import check_references, check_rules, check_unique
@@ -105,7 +106,7 @@ def contracts() -> dict[str, tuple[str, dict[str, Column]]]:
         "evidence_locator": ("locator_id", {"KIND": _in("locator_kind", "page", "span", "section", "timestamp", "record"), "SPAN": F.coalesce(F.col("span_start") <= F.col("span_end"), F.lit(True)), "PRIVATE": _clean("label")}),
         "field_review_state": ("field_key", {"STATE": _in("review_state", *vocab.REVIEW_STATES), "SUPERSEDE": (F.col("review_state") != "deprecated") | _has("superseded_by")}),
         "gather_candidate_batch": ("candidate_id", {"ID": _has("candidate_id"), "TYPE": _in("candidate_type", "source", "work", "entity", "claim", "relationship"), "TEXT": _has("text")}),
-        "jsonl": ("line_no", {"JSON": F.try_parse_json("line").isNotNull()}),
+        "jsonl": ("line_no", {"JSON": is_json(F.col("line"))}),
         "knowledge_tree_build_manifest": ("route", {"ROUTE": _relative("route"), "HASH": _sha("sha256")}),
         "knowledge_tree_export": ("claim_id", {"REVIEWED": _in("review_state", *vocab.ESTABLISHED), "SUMMARY": _has("public_summary") & _clean("public_summary")}),
         "legacy_subject_substrate": ("path", {"PRESENT": F.col("present")}),

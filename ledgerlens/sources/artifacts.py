@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.states import first_nonblank
-from ..functions.values import instant
+from ..functions.values import instant, is_json
 
 CANDIDATE = "struct<candidate_id:string,candidate_type:string,origin:string,persistence_status:string,review_status:string,text:string>"
 BATCH = f"schema_version string, run_id string, created_at string, mode string, phase string, subject struct<subject_id:string,workspace_root:string>, domain_pack struct<pack_id:string,selected_facet:string>, facet struct<name:string,phase:string,candidate_type_hint:string>, candidates array<{CANDIDATE}>"
@@ -25,7 +25,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     rows = batch.select("run_id", "created_at", F.col("subject.subject_id").alias("subject_id"), F.col("facet.name").alias("facet"), F.posexplode("candidates").alias("sequence", "candidate")).select("run_id", "created_at", "subject_id", "facet", "sequence", "candidate.*")
     family = F.create_map(*[F.lit(x) for p in FAMILY.items() for x in p])[F.col("candidate_type")]
     parsed = F.try_parse_json("text")
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    is_object = is_json(F.col("text")) & F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     return rows.withColumn("family", F.coalesce(family, F.lit("unrouted"))).withColumn("payload_json", F.when(is_object, F.col("text")))
 
 

@@ -261,3 +261,13 @@ def test_stream_equals_batch_over_late_files(spark, tmp_path):
     batch = failure_state(terminal_outcomes(spark.read.schema(schema).json(str(log)), "workspace_id", "run_id", "ts", "event_id", "event_type", ["run_succeeded"], ["run_failed"]), "workspace_id").collect()
     for r in batch:
         assert (r.state, r.failure_streak) in [(s, n) for _, s, n in seen[r.workspace_id]]
+
+
+def test_json_is_one_value(spark):
+    from ledgerlens.functions.values import is_json, json_number
+
+    texts = ['{"k": 1}', '{"k": 1}x', '{"k": 1},{"k": 2}', "[1, 2]", '{"k": 1, "k": 2}', '{"k": NaN}', "", " ", None, "null", '"s"', '{"k": "7"}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(is_json(F.col("t")).alias("ok"), json_number(F.col("t"), "k").alias("k")).collect()
+    assert [r.ok for r in got] == [True, False, False, True, False, False, False, False, False, True, True, True]
+    assert [r.k for r in got] == [1, None, None, None, None, None, None, None, None, None, None, 7]
