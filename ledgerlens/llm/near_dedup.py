@@ -45,7 +45,7 @@ from .words import U, Words, mix, text_bytes
 from .workspace import Workspace
 
 CHUNK_BYTES = 4 << 20
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 2_000_000
 MISS = 1e-6
 VALUES = 80
 
