@@ -12,8 +12,8 @@ from blocks: positions and hashes run within blocks of ``BLOCK`` turn numbers,
 and a row for each block carries them on, so a conversation that holds a third
 of all rows is spread over many tasks.  Whole-conversation hashes are
 anti-joined with the distinct prefix hashes of longer ones (an opening that
-many conversations share is one row there).  Rendered texts come in parts of
-``BLOCK`` turns, one for all but giant conversations.
+many conversations share is one row there).  Rendered texts come in parts, one
+for each block: a conversation whose numbers stay below ``BLOCK`` has one.
 
 Edge cases: rows without conv_id belong to no conversation and are left out;
 turns sort by number, then role and text, null numbers first; repeated rows are
@@ -31,9 +31,12 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def maximal_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, pos, role, text, n_turns) of every turn of the conversations that stay."""
-    rows = turns.filter("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).cast("long"))
+    """(conv_id, block, part, pos, role, text, n_turns) of every turn of the conversations that stay.
+
+    Texts are dealt once, by conversation and block; windows, joins and the rendering that follow keep to that.
+    """
+    rows = turns.filter("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).cast("long")).repartition("conv_id", "block").distinct()
 
     here = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +56,9 @@ def maximal_turns(turns: DataFrame) -> DataFrame:
     longer = prefix.filter("pos < n_turns").select(F.col("pos").alias("n_turns"), F.col("r1").bitwiseXOR(F.col("e1")).alias("w1"), F.col("r2").bitwiseXOR(F.col("e2")).alias("w2")).distinct()
     ends = blocks.groupBy("n_turns", "w1", "w2").agg(F.min("conv_id").alias("conv_id"))
     kept = ends.join(longer, ["n_turns", "w1", "w2"], "left_anti").select("conv_id", "n_turns")
-    return placed.select("conv_id", "pos", "role", "text").join(kept, "conv_id")
+    part = (F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1).cast("long")
+    stay = blocks.select("conv_id", "block", part.alias("part")).join(kept, "conv_id")
+    return placed.select("conv_id", "block", "pos", "role", "text").join(stay, ["conv_id", "block"])
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = maximal_turns(turns)
     clean = F.replace(F.replace("text", F.lit(START), F.lit("<| im_start|>")), F.lit(END), F.lit("<| im_end|>"))
     piece = F.concat(F.lit(START), F.col("role"), F.lit("\n"), clean, F.lit(END + "\n"))
-    parts = rows.groupBy("conv_id", F.floor((F.col("pos") - 1) / BLOCK).cast("long").alias("part"), "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces"))
+    parts = rows.groupBy("conv_id", "block", "part", "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces"))
     return parts.select("conv_id", "part", "n_turns", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("rendered"))
 
 

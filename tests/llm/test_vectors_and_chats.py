@@ -168,5 +168,6 @@ def test_chat_format(spark, monkeypatch, block):
         text = "".join(got[c][p][1] for p in sorted(got[c]))
         assert text == "".join(f"<|im_start|>{r}\n{t.replace('<|im_end|>', '<| im_end|>')}<|im_end|>\n" for r, t in s)
         assert {n for n, _ in got[c].values()} == {len(s)}
-        assert len(got[c]) == -(-len(s) // block)
+        assert len(got[c]) == len({None if t[1] is None else t[1] // block for t in turns if t[0] == c})
+        assert sorted(got[c]) == list(range(len(got[c])))
     assert chat_format.format_chats(spark.createDataFrame([], CHATS)).count() == 0
