@@ -12,8 +12,9 @@ and takes the signed axis that it lies closest to; ``hashes`` of them make a
 table's bucket.  Each class is stored in one bucket of each table and looks
 into all buckets of its two closest axes per hash.  ``plan_tables`` measures on
 random pairs at the threshold how often one table finds them, and takes so many
-tables that one pair in ten thousand at most is missed; ``hashes`` grows with
-the number of vectors, so that buckets stay small.
+tables that one pair in a million would be missed if tables were independent;
+they aren't quite, and a test measures the recall.  ``hashes`` grows with the
+number of vectors, so that a bucket holds about ``BUCKET_GOAL`` at most.
 
 Buckets are counted on narrow rows first, and those of one class go.  A pair is
 verified in the first table that brings it together and nowhere else, so links
@@ -43,8 +44,8 @@ from .components import connected_components
 from .workspace import Workspace
 
 PROBES = 2
-MISS = 1e-4
-BUCKET_GOAL = 64
+MISS = 1e-6
+BUCKET_GOAL = 512
 BLOCK = 4096
 BIN_ROWS = 16_384
 PAIRS_AT_ONCE = 200_000
@@ -165,7 +166,7 @@ def _verify(cosine: float):
         node = group.column("node").to_numpy()[order]
         copies = group.column("copies").to_numpy()[order]
         block = group.column("block").to_numpy()[order]
-        x = _matrix(group.column("embedding"), n)[order]
+        x = _matrix(group.column("embedding"), n)[order].astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         own = _matrix(group.column("own"), n)[order]
@@ -204,7 +205,8 @@ def _verify(cosine: float):
 def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``."""
     space = Workspace(vectors.sparkSession, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
+    kept = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"  # as given: half the bytes
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast(kept).alias("embedding"), F.col(label).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0.0), F.lit(False))
     # two 64-bit hashes name a class: equal label and equal components
