@@ -51,10 +51,18 @@ def match_by_locator(candidates: DataFrame, access: DataFrame) -> DataFrame:
 
 
 def match_authorities(entities: DataFrame, authorities: DataFrame) -> DataFrame:
-    """Authority candidates by normal label and type: one is reviewable (0.75), several are ambiguous (0.5)."""
-    usable = authorities.filter("merged_into_authority_record_id IS NULL").select("label_norm", "authority_type", "authority_record_id")
-    hits = entities.join(usable, (entities.label_norm == usable.label_norm) & (entities.entity_type == usable.authority_type)).drop(usable.label_norm)
-    by = hits.groupBy("entity_id").agg(F.count_distinct("authority_record_id").alias("matches"), F.min("authority_record_id").alias("candidate"))
+    """Authority candidates by normal label and type: one is reviewable (0.75), several are ambiguous (0.5).
+
+    Authorities are counted by label and type before the join, so an entity with one label and type meets one row;
+    only entities with several are joined with the authorities themselves, as these may have several labels too.
+    """
+    key = ["label_norm", "entity_type"]
+    usable = authorities.filter("merged_into_authority_record_id IS NULL").select("label_norm", F.col("authority_type").alias("entity_type"), "authority_record_id")
+    counted = lambda rows, by: rows.groupBy(*by).agg(F.count_distinct("authority_record_id").alias("matches"), F.min("authority_record_id").alias("candidate"))
+    named = entities.groupBy("entity_id").agg(F.collect_set(F.struct(*key)).alias("keys"))
+    one = named.filter("size(keys) = 1").select("entity_id", F.col("keys")[0].alias("k")).select("entity_id", "k.*").join(counted(usable, key), key)
+    several = named.filter("size(keys) > 1").select("entity_id", F.inline("keys")).join(usable, key)
+    by = one.select("entity_id", "matches", "candidate").unionByName(counted(several, ["entity_id"]))
     return by.select("entity_id", "matches", F.when(F.col("matches") == 1, F.col("candidate")).alias("candidate"), F.when(F.col("matches") == 1, 0.75).otherwise(0.5).alias("match_score"), F.when(F.col("matches") == 1, "proposed").otherwise("ambiguous").alias("status"))
 
 

@@ -189,8 +189,8 @@ def exact_duplicate_groups(spark, d):
 
 
 def authority_matches(spark, d):
-    entities = read(spark, d, "documents").filter("doc_id < 500").select(F.col("doc_id").alias("entity_id"), F.concat(F.lit("brand#"), (F.col("doc_id") % 30).cast("string")).alias("label_norm"), F.when(F.col("doc_id") % 2 == 0, "ECONOMY").otherwise("PROMO").alias("entity_type"))
-    authorities = read(spark, d, "part").filter("p_size > 45").select(F.lower("p_brand").alias("label_norm"), F.col("p_type").alias("authority_type"), F.col("p_partkey").alias("authority_record_id"), F.when(F.col("p_partkey") % 4 == 0, F.lit(1)).alias("merged_into_authority_record_id"))
+    entities = read(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.concat(F.lit("brand#"), (F.col("doc_id") % 30).cast("string")).alias("label_norm"), F.when(F.col("doc_id") % 2 == 0, "ECONOMY").otherwise("PROMO").alias("entity_type"))
+    authorities = read(spark, d, "part").select(F.lower("p_brand").alias("label_norm"), F.col("p_type").alias("authority_type"), F.col("p_partkey").alias("authority_record_id"), F.when(F.col("p_partkey") % 4 == 0, F.lit(1)).alias("merged_into_authority_record_id"))
     return identity.match_authorities(entities, authorities)
 
 
