@@ -85,7 +85,7 @@ def handoff_rows(spark, d):
 
 
 def selection_records(spark, d):
-    ranked = read(spark, d, "part").filter("p_partkey < 60").select(_ref("part:", "p_partkey").alias("candidate_id"), F.col("p_name").alias("label"), (F.col("p_retailprice") / 7).alias("score"), (F.col("p_partkey") + 1).alias("rank"), F.when(F.col("p_size") > 25, F.array("p_brand")).alias("reason_codes"))
+    ranked = read(spark, d, "part").select(_ref("part:", "p_partkey").alias("candidate_id"), F.col("p_name").alias("label"), (F.col("p_retailprice") / 7).alias("score"), (F.col("p_partkey") + 1).alias("rank"), F.when(F.col("p_size") > 25, F.array("p_brand")).alias("reason_codes"))
     return prj.explanations(ranked, 12, "lead").withColumn("reason_codes", F.array_join("reason_codes", ","))
 
 

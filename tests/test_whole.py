@@ -35,3 +35,14 @@ def test_authorities_of_entities_with_several_labels(spark):
     authorities = spark.createDataFrame([("a", "p", 7, None), ("b", "p", 7, None), ("b", "p", 8, None), ("c", "p", 9, 7), ("d", "p", 9, None), ("a", "p", 7, None)], "label_norm string, authority_type string, authority_record_id int, merged_into_authority_record_id int")
     got = {r.entity_id: (r.matches, r.candidate) for r in match_authorities(entities, authorities).collect()}
     assert got == {1: (2, None), 2: (1, 7), 3: (2, None), 5: (1, 9)}
+
+
+def test_selection_records_of_all_parts(spark):
+    from ledgerlens.queries.contracts import selection_records
+
+    parts = [p for (p,) in table("part", "p_partkey")]
+    got = {r.candidate_id: r for r in selection_records(spark, SF).collect()}
+    assert got.keys() == {f"part:{p}" for p in parts} and max(parts) >= 60
+    for p in parts:
+        r = got[f"part:{p}"]
+        assert (r.selected, r.eligibility_status, r.rationale) == ((True, "eligible", f"rank {p + 1}") if p < 12 else (False, "deferred", "rank below limit"))
