@@ -166,7 +166,7 @@ def facet_scores(spark, d):
     events = read(spark, d, "events").select(F.col("event_type").alias("facet"), "user_id", "event_id", "ts", k.alias("k"))
     last = F.max_by("k", F.struct("ts", "event_id"))
     counts = {"productive_runs": F.col("k") > 97, "zero_yield_runs": F.col("k") == 0, "open_leads": F.col("k") == 1, "works": F.col("k") == 2, "claims": F.col("k") == 3, "entities": F.col("k") == 4, "relationships": F.col("k") == 5, "successful_extractions": F.col("k") == 6, "failed_extractions": F.col("k") == 7}
-    signals = events.groupBy("facet").agg(*(F.count_if(c & (F.col("user_id") % 10 == 0)).alias(n) for n, c in counts.items()), F.count_distinct(F.when(F.col("user_id") % 50 == 0, F.col("user_id"))).alias("distinct_runs"), (last % 2 == 0).alias("last_run_zero"))
+    signals = events.groupBy("facet").agg(*(F.count_if(c).alias(n) for n, c in counts.items()), F.count_distinct("user_id").alias("distinct_runs"), (last % 2 == 0).alias("last_run_zero"))
     return op.facet_scores(signals, FACETS).select("facet", "score", "reason_codes", F.col("rank").cast("long").alias("rank"))
 
 

@@ -46,3 +46,21 @@ def test_selection_records_of_all_parts(spark):
     for p in parts:
         r = got[f"part:{p}"]
         assert (r.selected, r.eligibility_status, r.rationale) == ((True, "eligible", f"rank {p + 1}") if p < 12 else (False, "deferred", "rank below limit"))
+
+
+def test_facet_scores_of_all_users(spark, tmp_path):
+    from datetime import datetime
+
+    from ledgerlens.queries.cycles import facet_scores
+
+    rows = [(1, 1, "click", 98), (2, 2, "click", 1), (3, 3, "click", 1), (4, 11, "error", 0), (5, 12, "error", 7), (6, 13, "view", 2), (7, 10, "view", 3), (8, 50, "signup", 6), (9, 9, "purchase", 0)]
+    events = spark.createDataFrame([(i, u, kind, datetime(2001, 1, i), f'{{"k": {k}}}') for i, u, kind, k in rows], "event_id long, user_id long, event_type string, ts timestamp, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.facet: (r.score, r.reason_codes, r["rank"]) for r in facet_scores(spark, str(tmp_path)).collect()}
+    assert got == {
+        "click": (3.0 + 2 * 2.5 + 0.25 * 2, "productive_history,open_lead_yield", 1),
+        "view": (2.0 + 1.5 + 0.25, "fallback_facet", 2),
+        "signup": (1.25 - 1.0, "recent_low_yield_penalty", 3),
+        "purchase": (-2.0 - 1.0, "repeated_zero_yield,recent_low_yield_penalty", 4),
+        "error": (-2.0 - 1.5 + 0.25, "repeated_zero_yield", 5),
+    }
