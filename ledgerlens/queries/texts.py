@@ -96,7 +96,7 @@ def url_host_counts(spark, d):
 
 
 def first_urls(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.first_url(F.concat(F.substring("text", 1, 40), F.lit(" see https://example.org/"), F.col("doc_id").cast("string"), F.lit(".;"))).alias("url"))
+    return read(spark, d, "documents").select("doc_id", text.first_url(F.concat(F.col("text"), F.lit(" see https://example.org/"), F.col("doc_id").cast("string"), F.lit(".;"))).alias("url"))
 
 
 def leak_findings(spark, d):
@@ -130,7 +130,7 @@ def chunk_text(spark, d):
 
 def question_quality(spark, d):
     kind = F.when(F.col("turn") % 3 == 0, "open_question").otherwise(F.col("role"))
-    return read(spark, d, "conversations").select("conv_id", "turn", F.round(text.question_quality(F.concat(F.when(F.col("turn") % 2 == 0, "What is ").otherwise(""), F.substring("text", 1, 60), F.when(F.col("turn") % 4 == 0, "?").otherwise("")), kind), 4).alias("bonus"), states.is_open_question(F.col("text"), kind).alias("is_open"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.round(text.question_quality(F.concat(F.when(F.col("turn") % 2 == 0, "What is ").otherwise(""), F.col("text"), F.when(F.col("turn") % 4 == 0, "?").otherwise("")), kind), 4).alias("bonus"), states.is_open_question(F.col("text"), kind).alias("is_open"))
 
 
 QUESTION_SQL = r"""WITH t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'open_question' ELSE role END AS kind,

@@ -64,3 +64,15 @@ def test_facet_scores_of_all_users(spark, tmp_path):
         "purchase": (-2.0 - 1.0, "repeated_zero_yield,recent_low_yield_penalty", 4),
         "error": (-2.0 - 1.5 + 0.25, "repeated_zero_yield", 5),
     }
+
+
+def test_question_quality_and_first_url_of_whole_texts(spark, tmp_path):
+    from ledgerlens.queries.texts import first_urls, question_quality
+
+    long = "short words are set here up to the sixty first letter of it all. " + "Where does everything after that belong?"
+    spark.createDataFrame([("c", 1, "user", long), ("c", 5, "user", "")], "conv_id string, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: (r.bonus, r.is_open) for r in question_quality(spark, str(tmp_path)).collect()}
+    # 20 words: ten count; five of over four letters, four count; a question mark; no question word among the first four; eight words or more
+    assert got == {1: (0.8 + 0.2 + 0.25 + 0.15, True), 5: (-0.75, False)}
+    spark.createDataFrame([(1, "x" * 60 + " at https://own.example.net/a, and more"), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.url for r in first_urls(spark, str(tmp_path)).collect()} == {1: "https://own.example.net/a", 2: "https://example.org/2"}
