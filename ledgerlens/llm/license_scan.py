@@ -1,9 +1,12 @@
 """Licence scans by canonical digests, on DataFrames only.
 
-A text is put in canonical form (lower case, no copyright lines, one spelling
-for words that have several, letters and digits only, single blanks) and its
+A text is put in canonical form (lower case, no attributions, one spelling for
+words that have several, letters and digits only, single blanks) and its
 SHA-256 is hash-joined with the digests of known licences: a match is an entire
-text.  Each line of a text is looked up the same way among known notices.
+text, however its lines are wrapped.  An attribution is a line that begins with
+"copyright" or "(c)" and goes on with a sign, a year or a name; where a line of
+a licence's body begins so ("copyright notice and ..."), it stays.  Each line
+of a text is looked up the same way among known notices.
 
 Known texts are canonicalised once and joined by digest; Spark broadcasts them
 while they are below its own size threshold and shuffles both sides otherwise.
@@ -18,6 +21,8 @@ their result; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import pkgutil
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +42,10 @@ SPELLINGS = [
 ]
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved).*$"
+#: What follows "copyright", or "(c)" as an item's letter, where a line is a licence's body and no attribution.
+BODY = "notices?|holders?|owners?|ownership|laws?|licen[cs]e[sd]?|statements?|permissions?|doctrines?|disclaimers?|treaty|treaties|interests?|protections?|patents?|lines?|like|also|and|or|on|in|to|of|for|if|is|are|as|that|those|this|which|under|with|from|shall|may|must"
+ITEM = "you|under|to|for|if|in|an?|any|all"
+ATTRIBUTION = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright\b(?![^\p{{L}}\p{{N}}\n]*(?:$|(?:{BODY})\b))|\(c\)(?![^\p{{L}}\p{{N}}\n]*(?:{ITEM})\b)|©|all rights reserved).*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 #: Known licence texts.
@@ -79,6 +88,18 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <https://unlicense.org>""",
 }
 
+#: Further known texts, in the folder ``licenses``.
+FILES = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"]
+
+#: Titles that texts are shipped with or, the empty one, without.
+TITLES = {
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"],
+    "Zlib": ["", "zlib License", "The zlib License", "zlib/libpng License"],
+}
+
 #: Known notices, each a line of its own.
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License 2.0."],
@@ -92,12 +113,24 @@ def canonical(text: Column, copyright_lines: bool = True) -> Column:
     """The canonical form of a text."""
     out = F.lower(text)
     if copyright_lines:
-        out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
+        out = F.regexp_replace(out, ATTRIBUTION, " ")
     out = F.regexp_replace(out, NOT_WORD, " ")
     out = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, out)
     return F.trim(out)
 
 
+def known_forms() -> dict[str, list[str]]:
+    """All known texts: with each title or none, items with and without numbers, and without what follows the terms."""
+    texts = LICENSES | {name: pkgutil.get_data(__package__, f"licenses/{name}.txt").decode() for name in FILES}
+    forms = {}
+    for name, text in texts.items():
+        body = text.removeprefix(text.split("\n", 1)[0]) if name in TITLES and name in LICENSES else text
+        bodies = [body, re.sub(r"(?m)^\s*\d\.\s", "", body)] if name in TITLES else [body]
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        forms[name] = [text, *(f"{title}\n{b}" for title in TITLES.get(name, [""]) for b in bodies), *([terms, terms + end] if end else [])]
+    return forms
+
+
 def known_digests(spark: SparkSession, licenses: dict[str, list[str]]) -> DataFrame:
     """(digest, license_id) of each distinct canonical form."""
     rows = [(name, text) for name, texts in licenses.items() for text in texts]
@@ -123,7 +156,7 @@ def scan(docs: DataFrame, licenses: DataFrame, notices: DataFrame, text: str = "
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licences and notices of every text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs, known_digests(spark, {k: [v] for k, v in LICENSES.items()}), known_digests(spark, NOTICES))
+    return scan(docs, known_digests(spark, known_forms()), known_digests(spark, NOTICES))
 
 
 def _canonical_sql(x: str) -> str:
