@@ -1,9 +1,9 @@
 """Run outcomes and failure state over an append-only event log, as a stream.
 
 Late events are legal, since the batch reducer sorts the whole log; so the
-state of a workspace holds its runs' last terminal events, bounded to the
-newest ``keep`` runs, and each micro-batch emits the state that the batch
-reducer would give for the events seen so far.
+state of a workspace holds the last terminal event of every run of it, and each
+micro-batch emits the state that the batch reducer would give for the events
+seen so far.  The state grows with the number of runs.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def reduce_runs(runs: dict[str, tuple[float, str, str]], max_failures: int) -> t
     return "retryable_failure", streak
 
 
-def failure_states(events: DataFrame, success: Sequence[str] = ("run_succeeded",), failure: Sequence[str] = ("run_failed",), max_failures: int = 5, keep: int = 1000) -> DataFrame:
+def failure_states(events: DataFrame, success: Sequence[str] = ("run_succeeded",), failure: Sequence[str] = ("run_failed",), max_failures: int = 5) -> DataFrame:
     """(workspace_id, state, failure_streak, runs) of each workspace that a micro-batch touches.
 
     ``events`` streams event_id, run_id, workspace_id, event_type and ts (timestamp).
@@ -51,8 +51,6 @@ def failure_states(events: DataFrame, success: Sequence[str] = ("run_succeeded",
                 seen = (ts.timestamp(), event, "success" if kind in good else "failure" if kind in bad else "unknown")
                 if run not in runs or seen[:2] > runs[run][:2]:
                     runs[run] = seen
-        if len(runs) > keep:
-            runs = dict(sorted(runs.items(), key=lambda r: r[1][:2])[-keep:])
         state.update(([*runs], [r[0] for r in runs.values()], [r[1] for r in runs.values()], [r[2] for r in runs.values()]))
         status, streak = reduce_runs(runs, max_failures)
         yield pd.DataFrame({"workspace_id": [key[0]], "state": [status], "failure_streak": [streak], "runs": [len(runs)]})

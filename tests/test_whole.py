@@ -97,3 +97,21 @@ def test_licenses_however_wrapped_and_titled(spark):
     docs = spark.createDataFrame(list(enumerate(text for _, text in cases)), "doc_id long, text string")
     got = {r.doc_id: r.license_id for r in scan(docs, *known).collect()}
     assert [(i, got[i], text[:80]) for i, (name, text) in enumerate(cases) if got[i] != name] == []
+
+
+def test_stream_of_more_than_a_thousand_runs(spark, tmp_path):
+    from ledgerlens.operators.review import failure_state, terminal_outcomes
+    from ledgerlens.streaming.failures import failure_states, stream_ledger
+
+    schema = "event_id string, run_id string, workspace_id string, event_type string, ts timestamp"
+    log = str(tmp_path / "log")
+    at = lambda i: f"2024-01-{2 + i // 1440:02d} {i // 60 % 24:02d}:{i % 60:02d}:00"
+    first = [(f"{i:05d}", f"r{i}", "w", "run_failed", at(i)) for i in range(1500)]
+    late = [("a", "r-late", "w", "run_succeeded", "2024-01-01 00:00:00"), ("b", "r3", "w", "run_failed", "2024-01-01 00:00:01")]
+    for rows in (first, late):
+        spark.createDataFrame(rows, schema.replace("timestamp", "string")).coalesce(1).write.mode("append").json(log)
+    query = failure_states(stream_ledger(spark, log, schema, 1)).writeStream.outputMode("update").format("memory").queryName("many_runs").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = max((r.runs, r.failure_streak, r.state) for r in spark.table("many_runs").collect())
+    batch = failure_state(terminal_outcomes(spark.read.schema(schema).json(log), "workspace_id", "run_id", "ts", "event_id", "event_type", ["run_succeeded"], ["run_failed"]), "workspace_id").first()
+    assert got == (1501, 1500, "blocked") and (batch.failure_streak, batch.state) == got[1:]
