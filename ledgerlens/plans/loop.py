@@ -107,29 +107,73 @@ def loop_health(tables: dict[str, DataFrame], now: Column, lookback: int = 5) ->
     return joined.select("subject", "cycles", "contradictions", "unresolved", rate.alias("contradictions_per_claim"), coverage.alias("resolution_coverage"), "backlog", "trend", op.health_status(F.col("cycles"), rate, coverage, F.col("backlog"), F.coalesce("oldest", F.lit(0.0)), F.col("trend")).alias("status"))
 
 
-def lead_candidates(tables: dict[str, DataFrame], facets: Sequence[str]) -> DataFrame:
-    """Open leads of three kinds (sources, questions, entities) with facet and score."""
-    access = tables["source_access"].filter(F.col("review_state").isin(vocab.FEEDBACK_LEADS))
-    outcome = tables["extraction_record"].join(tables["capture_event"].select("capture_event_id", "original_locator"), "capture_event_id").groupBy("original_locator").agg(
-        F.count_if(extraction_outcome(F.col("extraction_status")) == "success").alias("ok"), F.count_if(extraction_outcome(F.col("extraction_status")) == "failed").alias("bad")
-    )
+def scoped_works(tables: dict[str, DataFrame], subject: str) -> DataFrame:
+    """(work_id) of the subject's workspace, and of other workspaces' works about it."""
+    ids = tables["work"].filter(F.col("workspace_id") == subject).select("work_id")
+    if "work_subject" in tables:
+        ids = ids.union(tables["work_subject"].filter(F.col("subject_object_ref") == subject).select("work_id"))
+    return ids.distinct()
+
+
+def _source_signals(tables: dict[str, DataFrame], subject: str, access: DataFrame, history: DataFrame) -> DataFrame:
+    """(source_access_id, captures, ok, bad, entities, runs) of the subject's captures under any locator of each access."""
+    key = "source_access_id"
+    locators = access.select(key, F.explode(F.array_distinct(F.array(F.col("source_locus_id").cast("string"), "original_locator", "canonical_url"))).alias("locator")).filter("locator != ''")
+    captured = tables["capture_event"].filter(F.col("workspace_id") == subject)
+    by = lambda c: locators.join(captured.select(F.col(c).alias("locator"), "capture_event_id", "provenance_event_ref"), "locator").select(key, "capture_event_id", "provenance_event_ref")
+    matched = by("source_locus_ref").union(by("original_locator")).distinct()
+    outcome = extraction_outcome(F.col("extraction_status"))
+    extracted = matched.select(key, "capture_event_id").join(tables["extraction_record"].select("capture_event_id", "extraction_status", "provenance_event_ref"), "capture_event_id")
+    detected = tables["extraction_detected_entity"].filter(F.col("review_state").isin(vocab.ESTABLISHED)).select("capture_event_id")
+    runs = tables["provenance_event"].select(F.col("provenance_event_key_v1").alias("provenance_event_ref"), "run_id")
+    of_work = access.join(tables["work"].select("work_id", F.col("provenance_event_ref").alias("event_key")), "work_id").join(history, "event_key").select(key, "run_id")
+    ran = matched.select(key, "provenance_event_ref").union(extracted.select(key, "provenance_event_ref")).join(runs, "provenance_event_ref").select(key, "run_id").union(of_work)
+    counts = [
+        matched.groupBy(key).agg(F.count("*").alias("captures")),
+        extracted.groupBy(key).agg(F.count_if(outcome == "success").alias("ok"), F.count_if(outcome == "failed").alias("bad")),
+        matched.join(detected, "capture_event_id").groupBy(key).agg(F.count("*").alias("entities")),
+        ran.groupBy(key).agg(F.count_distinct("run_id").alias("runs")),
+    ]
+    return reduce(lambda x, y: x.join(y, key, "left"), counts, access.select(key)).fillna(0, ["captures", "ok", "bad", "entities", "runs"])
+
+
+def lead_candidates(tables: dict[str, DataFrame], subject: str, facets: Sequence[str]) -> DataFrame:
+    """The subject's open leads of four kinds (sources, questions, entities, works) with facet, score and extraction outcomes."""
+    w = vocab.SCORING_WEIGHTS
+    history = gather_events(tables["provenance_event"], raw_text_order=True).filter(F.col("subject") == subject).select("event_key", F.col("facet").alias("event_facet"), "run_id")
+    facet_of = history.select(F.col("event_key").alias("provenance_event_ref"), "event_facet")
+    here, is_open = F.col("workspace_id") == subject, F.col("review_state").isin(vocab.FEEDBACK_LEADS)
+    scope = scoped_works(tables, subject)
+    within = lambda rows, ids, by: rows.join(ids.withColumn("_in", F.lit(True)), by, "left").filter(here | F.col("_in")).drop("_in")
+    refs = scope.select(F.concat(F.lit("work:"), F.col("work_id").cast("string")).alias("about_object_ref"))
+    none = [F.lit(0).cast("long").alias("ok"), F.lit(0).cast("long").alias("bad")]
+
+    access = within(tables["source_access"].filter(is_open), scope, "work_id")
     claims = tables["source_claim"].filter(F.col("review_state").isin(vocab.ESTABLISHED)).groupBy(F.col("about_object_ref").alias("work_ref")).agg(F.count("*").alias("claims"))
-    sources = access.withColumn("work_ref", F.concat(F.lit("work:"), F.col("work_id").cast("string"))).join(outcome, "original_locator", "left").join(claims, "work_ref", "left").fillna(0, ["ok", "bad", "claims"])
+    sources = access.withColumn("work_ref", F.concat(F.lit("work:"), F.col("work_id").cast("string"))).join(claims, "work_ref", "left").join(_source_signals(tables, subject, access, history), "source_access_id").fillna(0, ["claims"])
+    sources = sources.join(tables["work"].select("work_id", F.col("provenance_event_ref").alias("event_key")), "work_id", "left").join(history.drop("run_id"), "event_key", "left")
+    works = F.when(F.col("work_id").isNotNull(), 1).otherwise(0)
+    zero = F.when(works + F.col("claims") + F.col("entities") == 0, F.col("captures")).otherwise(0)
+    base = w["open_lead"] + w["work_yield"] * works - w["zero_yield_penalty"] * F.least(zero, F.lit(3))
     source_rows = sources.select(
-        F.concat(F.lit("source_access:"), F.col("source_access_id").cast("string")).alias("candidate_id"), F.lit("sources" if "sources" in facets else facets[0]).alias("facet"),
-        locator_label(F.col("canonical_url"), F.col("original_locator"), F.col("citation_hint")).alias("label"), op.lead_score(vocab.SCORING_WEIGHTS["open_lead"], F.col("ok"), F.col("bad"), F.col("claims"), F.lit(0), F.lit(1)).alias("score"),
+        F.concat(F.lit("source_access:"), F.col("source_access_id").cast("string")).alias("candidate_id"), F.when(F.col("event_facet").isNotNull(), F.col("event_facet")).otherwise("sources").alias("facet"),
+        locator_label(F.col("canonical_url"), F.col("original_locator"), F.col("citation_hint")).alias("label"), op.lead_score(base, F.col("ok"), F.col("bad"), F.col("claims"), F.col("entities"), F.col("runs")).alias("score"), "ok", "bad",
     )
-    open_claims = tables["source_claim"].filter(F.col("review_state").isin(vocab.FEEDBACK_LEADS) & is_open_question(F.col("claim_text"), F.col("claim_type")))
+    open_claims = within(tables["source_claim"].filter(is_open & is_open_question(F.col("claim_text"), F.col("claim_type"))), refs, "about_object_ref").join(facet_of, "provenance_event_ref", "left")
     question_rows = open_claims.select(
-        F.concat(F.lit("source_claim:"), F.col("source_claim_id").cast("string")).alias("candidate_id"), F.lit("open_questions" if "open_questions" in facets else facets[0]).alias("facet"), F.col("claim_text").alias("label"),
-        bounded_score(vocab.SCORING_WEIGHTS["open_lead"] + question_quality(F.col("claim_text"), F.col("claim_type"))).alias("score"),
+        F.concat(F.lit("source_claim:"), F.col("source_claim_id").cast("string")).alias("candidate_id"), F.lit("open_questions").alias("facet"), F.col("claim_text").alias("label"),
+        bounded_score(w["open_lead"] + w["claim_yield"] + question_quality(F.col("claim_text"), F.col("claim_type"), F.col("event_facet"))).alias("score"), *none,
     )
-    entities = tables["extraction_detected_entity"].filter(F.col("review_state").isin(vocab.FEEDBACK_LEADS))
+    entities = tables["extraction_detected_entity"].filter(here & is_open).join(tables["extraction_record"].select("extraction_id", "extraction_status"), "extraction_id", "left")
+    got = lambda x: F.when(extraction_outcome(F.col("extraction_status")) == x, 1).otherwise(0).cast("long")
     entity_rows = entities.select(
-        F.concat(F.lit("entity:"), F.col("detected_entity_id").cast("string")).alias("candidate_id"), entity_facet(F.col("entity_type"), facets).alias("facet"), F.col("entity_label").alias("label"),
-        bounded_score(vocab.SCORING_WEIGHTS["entity_yield"] + F.coalesce("confidence_score", F.lit(0.0))).alias("score"),
+        F.concat(F.lit("detected_entity:"), F.col("detected_entity_id").cast("string")).alias("candidate_id"), entity_facet(F.col("entity_type"), facets).alias("facet"), F.col("entity_label").alias("label"),
+        bounded_score(w["open_lead"] + w["entity_yield"] + w["successful_extraction"] * got("success") - w["failed_extraction_penalty"] * got("failed")).alias("score"), got("success").alias("ok"), got("failed").alias("bad"),
     )
-    return source_rows.unionByName(question_rows).unionByName(entity_rows).filter(F.col("facet").isin(*facets))
+    work_rows = tables["work"].filter(is_open).join(scope, "work_id", "left_semi").select(
+        F.concat(F.lit("work:"), F.col("work_id").cast("string")).alias("candidate_id"), F.lit("works").alias("facet"), F.col("title").alias("label"), bounded_score(F.lit(w["open_lead"] + w["work_yield"])).alias("score"), *none
+    )
+    return reduce(DataFrame.unionByName, [source_rows, question_rows, entity_rows, work_rows]).filter(F.col("facet").isin(*facets))
 
 
 def feedback_plan(tables: dict[str, DataFrame], subject: str, facets: Sequence[str], max_leads: int = 12, max_deferred: int = 24) -> DataFrame:
@@ -142,10 +186,10 @@ def feedback_plan(tables: dict[str, DataFrame], subject: str, facets: Sequence[s
         F.count_if(F.col("total") > 0).alias("productive_runs"), F.count_if(F.col("total") == 0).alias("zero_yield_runs"), F.sum("work").alias("works"), F.sum("source_claim").alias("claims"),
         F.sum("extraction_detected_entity").alias("entities"), F.sum("source_relationship").alias("relationships"), F.count_distinct("run_id").alias("distinct_runs"), (F.max_by("total", order) == 0).alias("last_run_zero"),
     )
-    leads = lead_candidates(tables, facets)
-    open_leads = leads.groupBy("facet").agg(F.count("*").alias("open_leads"))
+    leads = lead_candidates(tables, subject, facets)
+    open_leads = leads.groupBy("facet").agg(F.count("*").alias("open_leads"), F.sum("ok").alias("successful_extractions"), F.sum("bad").alias("failed_extractions"))
     known = events.sparkSession.createDataFrame([(f,) for f in facets], "facet string")
-    signals = known.join(history, "facet", "left").join(open_leads, "facet", "left").withColumns({"successful_extractions": F.lit(0), "failed_extractions": F.lit(0)})
+    signals = known.join(history, "facet", "left").join(open_leads, "facet", "left")
     signals = signals.fillna(0, [*op.FACET_SIGNALS, "distinct_runs"]).fillna(False, ["last_run_zero"])
     scored = op.facet_scores(signals, facets, no_history=events.isEmpty())
     place = F.array_position(F.array(*map(F.lit, facets)), F.col("facet"))

@@ -115,3 +115,43 @@ def test_stream_of_more_than_a_thousand_runs(spark, tmp_path):
     got = max((r.runs, r.failure_streak, r.state) for r in spark.table("many_runs").collect())
     batch = failure_state(terminal_outcomes(spark.read.schema(schema).json(log), "workspace_id", "run_id", "ts", "event_id", "event_type", ["run_succeeded"], ["run_failed"]), "workspace_id").first()
     assert got == (1501, 1500, "blocked") and (batch.failure_streak, batch.state) == got[1:]
+
+
+def test_feedback_plan_of_extraction_outcomes(spark):
+    from ledgerlens.plans.loop import feedback_plan, lead_candidates
+    from ledgerlens.schemas import TABLES
+
+    def table(name, *rows):
+        assert all(k in TABLES[name].names for r in rows for k in r)
+        return spark.createDataFrame([tuple(r.get(n) for n in TABLES[name].names) for r in rows], TABLES[name])
+
+    t = {
+        "work": table("work", {"work_id": 1, "workspace_id": "s", "review_state": "accepted", "title": "a"}, {"work_id": 2, "workspace_id": "other", "review_state": "proposed", "title": "b"}, {"work_id": 3, "workspace_id": "s", "review_state": "proposed", "title": "c"}),
+        "source_claim": table("source_claim", {"source_claim_id": 1, "workspace_id": "s", "about_object_ref": "work:1", "claim_type": "note", "claim_text": "x", "review_state": "accepted"}),
+        "source_access": table(
+            "source_access",
+            {"source_access_id": 1, "work_id": 1, "original_locator": "l1", "workspace_id": "s", "review_state": "proposed"},
+            {"source_access_id": 2, "source_locus_id": 7, "canonical_url": "u2", "workspace_id": "s", "review_state": "proposed"},
+            {"source_access_id": 3, "original_locator": "l1", "workspace_id": "other", "review_state": "proposed"},
+        ),
+        "capture_event": table("capture_event", {"capture_event_id": 1, "original_locator": "l1", "source_locus_ref": "l1", "workspace_id": "s"}, {"capture_event_id": 2, "source_locus_ref": "7", "workspace_id": "s"}, {"capture_event_id": 3, "original_locator": "u2", "workspace_id": "s"}, {"capture_event_id": 4, "original_locator": "l1", "workspace_id": "other"}),
+        "extraction_record": table("extraction_record", {"extraction_id": 1, "capture_event_id": 1, "extraction_status": "ok"}, {"extraction_id": 2, "capture_event_id": 2, "extraction_status": "failed"}, {"extraction_id": 3, "capture_event_id": 4, "extraction_status": "ok"}),
+        "extraction_detected_entity": table(
+            "extraction_detected_entity",
+            {"detected_entity_id": 1, "extraction_id": 1, "capture_event_id": 1, "entity_type": "person", "entity_label": "p", "workspace_id": "s", "review_state": "accepted"},
+            {"detected_entity_id": 2, "extraction_id": 2, "capture_event_id": 2, "entity_type": "person", "entity_label": "q", "workspace_id": "s", "review_state": "proposed"},
+            {"detected_entity_id": 3, "extraction_id": 1, "capture_event_id": 1, "entity_type": "person", "entity_label": "r", "workspace_id": "other", "review_state": "proposed"},
+        ),
+        "source_relationship": table("source_relationship"),
+        "provenance_event": table("provenance_event"),
+    }
+    facets = ["works", "people", "sources", "open_questions"]
+    got = {r.candidate_id: (r.facet, r.score, r.ok, r.bad) for r in lead_candidates(t, "s", facets).collect()}
+    assert got == {
+        "source_access:1": ("sources", 2.5 + 2.0 + 1.5 + 1.5 + 1.25, 1, 0),  # a work, a claim, an entity, a success
+        "source_access:2": ("sources", 2.5 - 1.5 - 2 * 2.0, 0, 1),  # two captures without yield, one failure
+        "detected_entity:2": ("people", 2.5 + 1.5 - 1.5, 0, 1),
+        "work:3": ("works", 4.5, 0, 0),
+    }
+    plan = {r.facet: r.score for r in feedback_plan(t, "s", facets).filter("kind = 'facet'").collect()}
+    assert plan == {"works": 2.5 + 4 * 0.25, "people": 2.5 - 1.5 + 3 * 0.25, "sources": 2 * 2.5 + 1.25 - 1.5 + 2 * 0.25, "open_questions": 0.25}
