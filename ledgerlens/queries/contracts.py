@@ -199,7 +199,7 @@ ORACLE = {
     "export_blocks": "SELECT c_mktsegment AS policy_class, c_mktsegment <> 'AUTOMOBILE' AS export_blocked, count(*) AS n FROM customer GROUP BY ALL",
     "handoff_rows": """SELECT row_number() OVER (ORDER BY url) AS sequence, '{"url":"' || url || '"}' AS locator FROM pages""",
     "selection_records": """SELECT 'part:' || p_partkey AS candidate_id, 'lead' AS candidate_type, p_name AS label, round(p_retailprice / 7, 4) AS score, p_partkey < 12 AS selected, CASE WHEN p_partkey < 12 THEN 'eligible' ELSE 'deferred' END AS eligibility_status,
-  CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS reason_codes, CASE WHEN p_partkey < 12 THEN 'rank ' || (p_partkey + 1) ELSE 'rank below limit' END AS rationale FROM part WHERE p_partkey < 60""",
+  CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS reason_codes, CASE WHEN p_partkey < 12 THEN 'rank ' || (p_partkey + 1) ELSE 'rank below limit' END AS rationale FROM part""",
     "bounded_claims": r"SELECT conv_id, turn, coalesce(nullif(substr(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')), 1, 240), ''), 'claim-fallback-empty') AS claim, CAST(2 AS BIGINT) AS blocks FROM conversations",
     "workspace_decisions": "SELECT 'part' AS object_namespace, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber % 2 = 0 AND p_brand = 'Brand#7' UNION ALL SELECT 'supplier', count(*) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber % 2 = 1 AND s_nationkey = 7 HAVING count(*) > 0",
     "artifact_overview": """WITH a AS (SELECT p_brand AS k, max(p_type) AS format FROM part GROUP BY p_brand), io AS (SELECT 'Brand#' || s_nationkey AS k, count(*) FILTER (s_suppkey % 3 <> 0) AS p, count(*) FILTER (s_suppkey % 3 <> 1) AS c FROM supplier GROUP BY 1)

@@ -173,9 +173,9 @@ def facet_scores(spark, d):
 FACET_SQL = """WITH e AS (
   SELECT event_type AS facet, user_id, event_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
 ), s AS (
-  SELECT facet, count(*) FILTER (k > 97 AND user_id % 10 = 0) AS p, count(*) FILTER (k = 0 AND user_id % 10 = 0) AS z, count(*) FILTER (k = 1 AND user_id % 10 = 0) AS l, count(*) FILTER (k = 2 AND user_id % 10 = 0) AS w,
-    count(*) FILTER (k = 3 AND user_id % 10 = 0) AS c, count(*) FILTER (k = 4 AND user_id % 10 = 0) AS n, count(*) FILTER (k = 5 AND user_id % 10 = 0) AS r, count(*) FILTER (k = 6 AND user_id % 10 = 0) AS s,
-    count(*) FILTER (k = 7 AND user_id % 10 = 0) AS f, count(DISTINCT user_id) FILTER (user_id % 50 = 0) AS u, last(k ORDER BY ts, event_id) % 2 = 0 AS last_zero
+  SELECT facet, count(*) FILTER (k > 97) AS p, count(*) FILTER (k = 0) AS z, count(*) FILTER (k = 1) AS l, count(*) FILTER (k = 2) AS w,
+    count(*) FILTER (k = 3) AS c, count(*) FILTER (k = 4) AS n, count(*) FILTER (k = 5) AS r, count(*) FILTER (k = 6) AS s,
+    count(*) FILTER (k = 7) AS f, count(DISTINCT user_id) AS u, last(k ORDER BY ts, event_id) % 2 = 0 AS last_zero
   FROM e GROUP BY facet
 ), scored AS (
   SELECT facet, round(greatest(-100.0, least(100.0, 3.0 * least(p, 5) + 2.5 * least(l, 5) + 2.0 * least(w, 5) + 1.5 * least(c, 5) + 1.5 * least(n, 5) + 1.0 * least(r, 5) + 1.25 * least(s, 5)

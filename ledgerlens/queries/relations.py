@@ -267,9 +267,9 @@ SELECT CASE WHEN g = 1 THEN '1' WHEN g <= 3 THEN '2-3' WHEN g <= 10 THEN '4-10'
     "inverse_edges": "SELECT 'region:' || n_regionkey AS from_object_ref, 'nation:' || n_nationkey AS to_object_ref, 'has_part' AS predicate FROM nation WHERE n_nationkey % 4 > 0",
     "departed_inventory": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)",
     "exact_duplicate_groups": r"SELECT md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "authority_matches": """WITH e AS (SELECT doc_id AS entity_id, 'brand#' || (doc_id % 30) AS l, CASE WHEN doc_id % 2 = 0 THEN 'ECONOMY' ELSE 'PROMO' END AS t FROM documents WHERE doc_id < 500),
-h AS (SELECT entity_id, count(DISTINCT p_partkey) AS m, min(p_partkey) AS c FROM e JOIN part ON lower(p_brand) = l AND p_type = t AND p_size > 45 AND p_partkey % 4 <> 0 GROUP BY entity_id)
-SELECT entity_id, m AS matches, CASE WHEN m = 1 THEN c END AS candidate, CASE WHEN m = 1 THEN 0.75 ELSE 0.5 END::DOUBLE AS match_score, CASE WHEN m = 1 THEN 'proposed' ELSE 'ambiguous' END AS status FROM h""",
+    "authority_matches": """WITH e AS (SELECT doc_id AS entity_id, 'brand#' || (doc_id % 30) AS l, CASE WHEN doc_id % 2 = 0 THEN 'ECONOMY' ELSE 'PROMO' END AS t FROM documents),
+a AS (SELECT lower(p_brand) AS l, p_type AS t, count(DISTINCT p_partkey) AS m, min(p_partkey) AS c FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1, 2)
+SELECT entity_id, m AS matches, CASE WHEN m = 1 THEN c END AS candidate, CASE WHEN m = 1 THEN 0.75 ELSE 0.5 END::DOUBLE AS match_score, CASE WHEN m = 1 THEN 'proposed' ELSE 'ambiguous' END AS status FROM e JOIN a USING (l, t)""",
     "work_matches": f"""WITH {WORKS}, ok AS (SELECT work_id FROM works WHERE review_state = 'reviewed' AND work_id % 3 <> 0), c AS (SELECT doc_id AS candidate_id, i, doc_id + 300 * i AS v FROM documents CROSS JOIN (VALUES (0), (1)) AS t(i))
 SELECT candidate_id, min_by(v, i) AS work_id, count(DISTINCT v) > 1 AS ambiguous FROM c JOIN ok ON v = work_id GROUP BY candidate_id""",
     "merge_repoint": "SELECT CASE WHEN l_suppkey % 7 = 0 THEN l_suppkey + 1 ELSE l_suppkey END AS l_suppkey, count(*) AS n FROM lineitem GROUP BY 1",

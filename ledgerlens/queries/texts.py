@@ -134,7 +134,7 @@ def question_quality(spark, d):
 
 
 QUESTION_SQL = r"""WITH t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'open_question' ELSE role END AS kind,
-  trim(regexp_replace((CASE WHEN turn % 2 = 0 THEN 'What is ' ELSE '' END) || substr(text, 1, 60) || (CASE WHEN turn % 4 = 0 THEN '?' ELSE '' END), '\s+', ' ', 'g')) AS q FROM conversations),
+  trim(regexp_replace((CASE WHEN turn % 2 = 0 THEN 'What is ' ELSE '' END) || text || (CASE WHEN turn % 4 = 0 THEN '?' ELSE '' END), '\s+', ' ', 'g')) AS q FROM conversations),
 w AS (SELECT *, list_filter(list_transform(string_split(q, ' '), lambda x: lower(regexp_replace(x, '^[.,;:!?()\[\]{}"'']+|[.,;:!?()\[\]{}"'']+$', '', 'g'))), lambda x: x <> '') AS ws FROM t),
 n AS (SELECT *, len(ws) AS n, len(list_filter(ws[1:4], lambda x: list_contains(['how','what','when','where','whether','which','who','whom','whose','why'], x))) AS asked,
   len(list_filter(ws, lambda x: len(x) > 4 AND NOT list_contains(['how','what','when','where','whether','which','who','whom','whose','why'], x))) AS long_words FROM w)
@@ -193,7 +193,7 @@ FROM q JOIN hits USING (doc_id) ORDER BY bm25 * 0.95 + CASE authority WHEN 'prim
 SELECT doc_id, CASE WHEN regexp_matches(text, '{_pattern(text.PRIVATE_PATH)}') THEN '[suppressed private path]' WHEN pos IS NULL THEN substr(text, 1, 120) ELSE (CASE WHEN a > 0 THEN '...' ELSE '' END) || substr(text, a + 1, z - a) || (CASE WHEN z < length(text) THEN '...' ELSE '' END) END AS snippet FROM b""",
     "identifier_validity": IDENTIFIER_SQL,
     "url_host_counts": "SELECT lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '')) AS host, count(*) AS pages FROM pages GROUP BY 1",
-    "first_urls": "SELECT doc_id, 'https://example.org/' || doc_id AS url FROM documents",
+    "first_urls": r"""SELECT doc_id, regexp_replace(regexp_extract(text || ' see https://example.org/' || doc_id || '.;', '(https?://[^\s<>()"'']+)', 1), '[.,;]+$', '') AS url FROM documents""",
     "leak_findings": f"WITH {_LEAKS} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, code FROM found",
     "leak_findings_allowed": f"WITH {_LEAKS} SELECT code, count(*) AS n FROM found WHERE NOT (code = 'SECRET_MARKER' AND doc_id % 2 = 0) GROUP BY code",
     "hazard_flags": f"""WITH b AS (SELECT 'document' AS kind, doc_id AS id, text AS body FROM documents UNION ALL SELECT 'page', page_id, html FROM pages), f AS (SELECT kind, id, array_to_string(list_filter([{_HAZARDS}], lambda x: x IS NOT NULL), ',') AS flags FROM b) SELECT * FROM f WHERE flags <> ''""",
