@@ -6,6 +6,12 @@ of a batch are sorted, which walks their trie depth-first: the forward states
 of a word's prefix stay as they are for the next word that shares it, and only
 the letters beyond the common prefix are computed.
 
+A prefix's forward state is a few numbers: where its last piece begins, which
+piece that is, its best score, and its node in the trie of pieces, whose suffix
+links name the pieces that end there, so that no start is tried in vain.  Ids
+are read back along the last pieces once a word ends: memory and time grow with
+a word's letters, not with their square.
+
 For a unigram model the forward state of a prefix is the best score of its
 segmentations (Viterbi).  A BPE model's pieces have ranks instead, whose best
 sum isn't what its library returns.  There the state is the last piece of the
@@ -14,8 +20,10 @@ when, put behind the last piece of what is before it, merging by rank gives
 back those two pieces.  Exactly one piece passes, so the same recursion over the
 same lattice is exact.  ``encode`` picks the rule by the model's type.
 
-Characters without a piece become their UTF-8 bytes, or the unknown id.
-Decoding joins pieces, reads runs of bytes as UTF-8 and turns marks to blanks.
+A model's character map is applied first, by the library's own normaliser.
+Characters without a piece become their UTF-8 bytes, or, a run of them, the
+unknown id.  Decoding joins pieces, reads runs of bytes as UTF-8 and turns
+marks to blanks.
 
 Edge cases: a null or empty text has no ids; texts and words of any length are
 encoded whole; repeated rows are encoded each, their words once a task; an empty
@@ -28,23 +36,67 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizers
+from .substring_dedup import slices
 
 MARK = "▁"
+CHUNK_BYTES = 8 << 20
 WORDS_MOST = 400_000
 PAIRS_MOST = 1_000_000
 UNKNOWN_PENALTY = 10.0
+USER_PENALTY = 0.1
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
+class PieceTrie:
+    """The trie of all pieces, with a link from each node to its longest proper suffix among the nodes."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        parents: list[tuple[int, str]] = [(0, "")]
+        at: list[int | None] = [None]
+        for piece, i in pieces.items():
+            node = 0
+            for letter in piece:
+                if letter not in self.next[node]:
+                    self.next[node][letter] = len(self.next)
+                    self.next.append({})
+                    parents.append((node, letter))
+                    at.append(None)
+                node = self.next[node][letter]
+            at[node] = i
+        self.suffix = [0] * len(self.next)
+        #: the pieces of two letters or more that end at a node, longest first: (letters, id)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        level, depth = [0], 0
+        while level:
+            for node in level:
+                parent, letter = parents[node]
+                if depth > 1:
+                    self.suffix[node] = self.step(self.suffix[parent], letter)
+                own = ((depth, at[node]),) if depth > 1 and at[node] is not None else ()
+                self.ends[node] = own + self.ends[self.suffix[node]]
+            level, depth = [child for node in level for child in self.next[node].values()], depth + 1
+
+    def step(self, node: int, letter: str) -> int:
+        """The node of the longest suffix of (node, letter) that begins a piece."""
+        while (to := self.next[node].get(letter)) is None:
+            if not node:
+                return 0
+            node = self.suffix[node]
+        return to
+
+
 class PieceModel:
     """Pieces of a SentencePiece file and the encoding of marked words by them."""
 
@@ -59,30 +111,44 @@ class PieceModel:
         spec = model.normalizer_spec
         self.dummy, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.normalise = None
-        if spec.precompiled_charsmap or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("models with a character map, unescaped blanks or marks as suffixes are not supported")
+        if spec.precompiled_charsmap:
+            from sentencepiece import SentencePieceNormalizer
+
+            self.normalise = SentencePieceNormalizer(model_proto=proto).normalize
+        if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models with unescaped blanks or marks as suffixes are not supported")
         self.names = [p.piece for p in model.pieces]
         self.kinds = [p.type for p in model.pieces]
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
-        self.score = {p.piece: p.score for p in model.pieces if p.type in (NORMAL, USER)}
+        plain = [p.score for p in model.pieces if p.type == NORMAL]
+        top, bottom = max(plain, default=0.0), min(plain, default=0.0)
+        self.score = {p.piece: len(p.piece.encode()) * top - USER_PENALTY if p.type == USER and self.kind == UNIGRAM else p.score for p in model.pieces if p.type in (NORMAL, USER)}
+        self.score_of = [self.score.get(name, 0.0) for name in self.names]
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.id), default=1)
-        self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
+        self.unknown_score = bottom - UNKNOWN_PENALTY
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("a piece has a mark after another character: words can't be encoded apart")
-        self.packed = {p: np.array([i], "<u4").tobytes() for p, i in self.id.items()}
-        self.memo: dict[tuple[str, str], bool] = {}
+        # a letter without a piece is named by what lies behind all ids
+        self.letters = len(self.names)
+        self.start = self.letters + 0x110000
+        self.width = self.start + 1
+        self.memo: dict[int, bool] = {}
+
+    @cached_property
+    def trie(self) -> PieceTrie:
+        return PieceTrie(self.id)
 
     def words(self, text: str) -> list[str]:
         """The marked words of a text."""
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return []
-        marked = (MARK if self.dummy else "") + text.replace(" ", MARK)
-        if marked[0] == MARK and MARK + MARK not in marked:
+        if self.normalise:
+            marked = self.normalise(text)
+        else:
+            if self.squeeze:
+                text = re.sub(" +", " ", text.strip(" "))
+            marked = (MARK if self.dummy and text else "") + text.replace(" ", MARK)
+        if marked[:1] == MARK and MARK + MARK not in marked:
             return [MARK + w for w in marked[1:].split(MARK)]
         return _UNITS.findall(marked)
 
@@ -100,65 +166,80 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, before: str, piece: str) -> bool:
+    def name(self, piece: int) -> str:
+        return self.names[piece] if piece < self.letters else "" if piece == self.start else chr(piece - self.letters)
+
+    def fits(self, before: int, piece: int) -> bool:
         """Whether ``piece`` behind ``before`` (or at the start) stays as it is when merged by rank."""
-        key = (before, piece)
-        if (known := self.memo.get(key)) is None:
-            if len(self.memo) >= PAIRS_MOST:
-                self.memo.clear()
-            known = self.memo[key] = self.merge(before + piece) == ([before, piece] if before else [piece])
-        return known
-
-    def ids(self, piece: str) -> bytes:
-        """A piece's ids, as little-endian 32-bit numbers."""
-        if (known := self.id.get(piece)) is not None:
-            out = [known]
-        else:
-            out = [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
-        return np.array(out, "<u4").tobytes()
+        if len(self.memo) >= PAIRS_MOST:
+            self.memo.clear()
+        a, b = self.name(before), self.name(piece)
+        fit = self.memo[before * self.width + piece] = self.merge(a + b) == ([a, b] if a else [b])
+        return fit
+
+    def ids(self, pieces: list[int]) -> bytes:
+        """The ids of pieces and of letters without one, as little-endian 32-bit numbers."""
+        if pieces and max(pieces) >= self.letters:
+            if self.bytes:
+                pieces = [i for p in pieces for i in ([p] if p < self.letters else [self.bytes[b] for b in chr(p - self.letters).encode()])]
+            else:
+                runs = groupby(pieces, lambda p: p if p < self.letters else -1)
+                pieces = [i for p, run in runs for i in ([self.unknown] if p < 0 else run)]
+        return np.array(pieces, "<u4").tobytes()
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct marked words, walking their trie depth-first."""
         step = self._rank_steps if self.kind == BPE else self._score_steps
         out: dict[str, bytes] = {}
-        # the state of each prefix of the current word: its last piece, its ids, its score
-        tail, done, best = [""], [b""], [0.0]
+        # the state of each prefix of the current word: where its last piece begins, that piece, its trie node, its score
+        begin, last, node, best = [0], [self.start], [0], [0.0]
         previous = ""
         for word in sorted(words):
             common, most = 0, min(len(previous), len(word))
             while common < most and previous[common] == word[common]:
                 common += 1
-            del tail[common + 1 :], done[common + 1 :], best[common + 1 :]
-            step(word, tail, done, best)
-            out[word] = done[-1]
+            for state in (begin, last, node, best):
+                del state[common + 1 :]
+            step(word, begin, last, node, best)
+            pieces, end = [], len(word)
+            while end:
+                pieces.append(last[end])
+                end = begin[end]
+            out[word] = self.ids(pieces[::-1])
             previous = word
         return out
 
-    def _rank_steps(self, word: str, tail: list[str], done: list[bytes], best: list[float]) -> None:
-        packed, memo, longest = self.packed, self.memo, self.longest
-        for end in range(len(tail), len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end - 1):
-                piece = word[start:end]
-                if piece in packed:
-                    before = tail[start]
-                    fit = memo.get((before, piece))
-                    if self.fits(before, piece) if fit is None else fit:
-                        break
+    def _rank_steps(self, word: str, begin: list[int], last: list[int], node: list[int], best: list[float]) -> None:
+        memo, width, ends, step, single = self.memo, self.width, self.trie.ends, self.trie.step, self.id
+        for end in range(len(last), len(word) + 1):
+            letter = word[end - 1]
+            at = step(node[-1], letter)
+            for length, piece in ends[at]:
+                before = last[end - length]
+                fit = memo.get(before * width + piece)
+                if self.fits(before, piece) if fit is None else fit:
+                    break
             else:
-                start, piece = end - 1, word[end - 1 : end]
-            tail.append(piece)
-            done.append(done[start] + (packed.get(piece) or self.ids(piece)))
-
-    def _score_steps(self, word: str, tail: list[str], done: list[bytes], best: list[float]) -> None:
-        for end in range(len(tail), len(word) + 1):
-            top, begin = best[end - 1] + self.score.get(word[end - 1 : end], self.unknown_score), end - 1
-            for start in range(end - 2, max(-1, end - self.longest - 1), -1):
-                score = self.score.get(word[start:end])
-                if score is not None and best[start] + score >= top:  # of equal scores the longest last piece
-                    top, begin = best[start] + score, start
-            tail.append(word[begin:end])
-            done.append(done[begin] + self.ids(word[begin:end]))
-            best.append(top)
+                length, piece = 1, single.get(letter, self.letters + ord(letter))
+            begin.append(end - length)
+            last.append(piece)
+            node.append(at)
+
+    def _score_steps(self, word: str, begin: list[int], last: list[int], node: list[int], best: list[float]) -> None:
+        ends, step, single, score_of = self.trie.ends, self.trie.step, self.id, self.score_of
+        for end in range(len(last), len(word) + 1):
+            letter = word[end - 1]
+            at = step(node[-1], letter)
+            one = single.get(letter)
+            total, size, which = best[end - 1] + (self.unknown_score if one is None else score_of[one]), 1, self.letters + ord(letter) if one is None else one
+            for length, piece in reversed(ends[at]):
+                score = best[end - length] + score_of[piece]
+                if score >= total:  # of equal scores the longest last piece
+                    total, size, which = score, length, piece
+            begin.append(end - size)
+            last.append(which)
+            node.append(at)
+            best.append(total)
 
     @cached_property
     def surface(self) -> list[bytes]:
@@ -218,9 +299,10 @@ def _encode(name: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = load(name), encoder(name)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                texts = [t.as_py() or "" for t in part.column(1)]
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in slices(batch, sizes, CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = words.encode(texts)
                 columns = {"doc_id": part.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
                 if with_ids:
