@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_unique
 from .workspace import Workspace
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
 def connected_components(edges: DataFrame, space: Workspace, name: str = "edges", rounds: int = 60) -> DataFrame:
@@ -18,17 +19,17 @@ def connected_components(edges: DataFrame, space: Workspace, name: str = "edges"
     Each round links the neighbours of every node to the least of them, first
     the larger neighbours, then the smaller ones; the depth of the trees falls
     by a constant factor a round, and the loop ends when the edges form stars.
-    Minima are combined before each shuffle and the joins that follow have a
-    row for each node on one side, so that a hub of many edges can be split.
+    Minima are combined before each shuffle, and in the joins that follow the
+    edges of a hub are dealt by their other ends.
     """
     now = space.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{name}-0")
-    seen = None
+    seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     for i in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = _least(large)
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        near = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_unique(both, near, ["u"], "n", 2 * seen[0], F.col("v")).filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = join_unique(large, _least(large), ["u"], "n", seen[0], F.col("v"))
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         now = space.keep(small, f"{name}-{i}")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:

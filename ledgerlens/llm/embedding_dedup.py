@@ -17,10 +17,12 @@ they aren't quite, and a test measures the recall.  ``hashes`` grows with the
 number of vectors, so that a bucket holds about ``BUCKET_GOAL`` at most.
 
 Buckets are counted on narrow rows first, and those of one class go.  A pair is
-verified in the first table that brings it together and nowhere else, so links
-are counted without any list of pairs; a bucket sends back each class's number
-of links and a star over what is connected.  Buckets above ``BLOCK`` rows are
-cut into blocks whose pairs are separate buckets, so none is held whole.
+verified in each table that brings it together and counted in the first, which
+its two hashes tell: the task computes them again for linked pairs alone, so
+vectors travel without them.  A bucket sends back each class's number of links
+and a star over what is connected, never a list of pairs.  Buckets above
+``BLOCK`` rows are cut into blocks whose pairs are separate buckets, so none is
+held whole.
 
 Edge cases: a null label, a null or empty vector, one of zeros or with null or
 non-finite components links with nothing (0 links, own component, kept); rows
@@ -41,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .skew import join_unique
 from .workspace import Workspace
 
 PROBES = 2
@@ -112,16 +115,21 @@ def unit(rows: list[list[float]]) -> np.ndarray:
 
 
 def _hash(cosine: float, rows: int):
+    """The buckets that each class looks into, table by table, its own first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                vectors = part.column(1).to_pylist()
+                vectors = part.column(0).to_pylist()
                 sizes = np.array([len(v) for v in vectors])
                 for dim in np.unique(sizes):
                     at = np.flatnonzero(sizes == dim)
-                    own, looks = codes(unit([vectors[i] for i in at]), *plan_tables(int(dim), cosine, rows))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(own.tolist(), pa.list_(pa.int64())), pa.array(looks.reshape(len(at), -1).tolist(), pa.list_(pa.int64()))], names=["node", "own", "looks"])
+                    _, looks = codes(unit([vectors[i] for i in at]), *plan_tables(int(dim), cosine, rows))
+                    rest = part.take(pa.array(at)).columns[1:]
+                    dims = pa.array(np.full(len(at), dim), pa.int32())
+                    each = pa.array(np.full(len(at), looks.shape[2]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*rest, dims, each, pa.array(looks.reshape(len(at), -1).tolist(), pa.list_(pa.int64()))], names=[*part.schema.names[1:], "dim", "each", "looks"])
 
     return run
 
@@ -145,7 +153,7 @@ def _pairs(stored: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[
         at = stop
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, rows: int):
     """Links and stars of all buckets of a bin: every stored row with every row that looks into its bucket."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -169,8 +177,6 @@ def _verify(cosine: float):
         x = _matrix(group.column("embedding"), n)[order].astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        own = _matrix(group.column("own"), n)[order]
-        looks = _matrix(group.column("looks"), n)[order].reshape(n, own.shape[1], -1)
         stored = np.flatnonzero(group.column("stored").to_numpy(zero_copy_only=False)[order] & (block == i))
 
         found_p, found_q = [], []
@@ -182,8 +188,12 @@ def _verify(cosine: float):
             found_q.append(q[near])
         p, q = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_p, found_q))
         fresh = np.ones(len(p), bool)
-        for t in range(own.shape[1]):
-            fresh &= ~((own[p, t][:, None] == looks[q, t]).any(axis=1) & (t < table[p]))
+        linked = np.unique(np.concatenate([p, q]))
+        if len(linked):
+            own, looks = codes(x[linked], *plan_tables(x.shape[1], cosine, rows))
+            a, b = np.searchsorted(linked, p), np.searchsorted(linked, q)
+            for t in range(own.shape[1]):
+                fresh &= ~((own[a, t][:, None] == looks[b, t]).any(axis=1) & (t < table[p]))
         nodes, at = np.unique(node, return_inverse=True)
         links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
         np.add.at(links, at[p[fresh]], copies[q[fresh]])
@@ -202,30 +212,32 @@ def _verify(cosine: float):
     return run
 
 
-def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of ``vectors``."""
+def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, vector: str = "embedding", label: str = "label", planned_for: int = 0) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of ``vectors``; buckets are planned for ``planned_for`` vectors at least."""
     space = Workspace(vectors.sparkSession, "vectors")
     kept = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"  # as given: half the bytes
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast(kept).alias("embedding"), F.col(label).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0.0), F.lit(False))
-    # two 64-bit hashes name a class: equal label and equal components
+    # two 64-bit hashes name a class: equal label and equal components; its vector is picked before the shuffle, so copies stay behind
     named = rows.withColumn("k1", F.when(usable, F.xxhash64("label", "embedding"))).withColumn("k2", F.when(usable, F.xxhash64(F.lit(1), "embedding", "label")))
-    classes = space.keep(named.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
-    n = classes.count()
-
-    chosen = named.select("k1", "k2", "vec_id", "embedding", "label").join(classes, ["k1", "k2"]).filter("vec_id = node").dropDuplicates(["k1", "k2"]).select("node", "copies", "label", "embedding")
-    hashed = chosen.mapInArrow(lambda b: _hash(cosine, n)(x.select(["node", "embedding"]) for x in b), "node long, own array<long>, looks array<long>")
-    hashed = space.keep(hashed, "hashed")
-    chosen = space.keep(chosen, "chosen")
-
-    kind = chosen.select("node", "label", F.size("embedding").alias("dim"))
-    each = F.size("looks") / F.size("own")
-    looking = hashed.select("node", F.posexplode("looks").alias("place", "code"), each.cast("int").alias("each")).select("node", F.expr("place div each").cast("int").alias("t"), "code", (F.col("place") % F.col("each") == 0).alias("stored"))
-    member = space.keep(looking.join(kind, "node"), "member")
+    picked = F.min_by(F.struct("embedding", "label"), "vec_id").alias("v")
+    chosen = named.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), picked)
+    chosen = space.keep(chosen.select("k1", "k2", "node", "copies", "v.label", "v.embedding"), "chosen")
+    classes = chosen.select("k1", "k2", "node", "copies")
+    n, total = chosen.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+
+    n = max(n, planned_for)
+
+    fields = f"node long, label {rows.schema['label'].dataType.simpleString()}, dim int, each int, looks array<long>"
+    hashed = space.keep(chosen.select("embedding", "node", "label").mapInArrow(_hash(cosine, n), fields), "hashed")
+    looking = hashed.select("node", "label", "dim", "each", F.posexplode("looks").alias("place", "code"))
+    member = looking.select("node", "label", "dim", F.expr("place div each").cast("int").alias("t"), "code", (F.col("place") % F.col("each") == 0).alias("stored"))
     bucket = ["label", "dim", "t", "code"]
     full = member.groupBy(bucket).agg(F.count("*").alias("n"), F.max("stored").alias("any")).filter("n > 1 AND any").select(*bucket, "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(full, bucket).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    full = space.keep(full, "buckets")
+    looks, load = hashed.agg(F.coalesce(F.sum(F.size("looks")), F.lit(0))).first()[0], full.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
+    placed = join_unique(member, full, bucket, "n", looks, F.col("node")).filter("blocks IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # block i holds what is stored, block j what looks; a row is in all pairs that its block is in
     span = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_looking = F.transform(span, lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
@@ -233,17 +245,16 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, vector: str =
     pairs = F.when(F.col("stored"), F.array_distinct(F.concat(as_looking, as_stored))).otherwise(as_looking)
     parts = placed.select("node", *bucket, "stored", "block", F.explode(pairs).alias("pair")).select("node", *bucket, "stored", "block", "pair.i", "pair.j")
     # a bin is many whole buckets, so that a call to Python is worth its while
-    total = full.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    bins = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BIN_ROWS))
+    bins = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(load / BIN_ROWS))
     parts = parts.withColumn("bin", F.pmod(F.xxhash64(*bucket, "i", "j"), F.lit(bins)).cast("int"))
-    fat = parts.join(chosen.select("node", "copies", "embedding"), "node").join(hashed, "node")
-    seen = space.keep(fat.groupBy("dim", "bin").applyInArrow(_verify(cosine), "node long, other long, links long"), "seen")
+    fat = parts.join(chosen.select("node", "copies", "embedding"), "node")
+    seen = space.keep(fat.groupBy("dim", "bin").applyInArrow(_verify(cosine, n), "node long, other long, links long"), "seen")
 
     found = connected_components(seen.select(F.col("node").alias("a"), F.col("other").alias("b")).filter("a != b"), space)
     links = seen.groupBy("node").agg(F.sum("links").alias("links"))
-    by_class = classes.join(links, "node", "left").join(found, "node", "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component"))
+    by_class = classes.join(links, "node", "left").join(found, "node", "left").select("k1", "k2", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component"))
     component = F.coalesce("component", "vec_id")
-    return named.select("vec_id", "k1", "k2").join(by_class, ["k1", "k2"], "left").select(
+    return join_unique(named.select("vec_id", "k1", "k2"), by_class, ["k1", "k2"], "copies", total, F.col("vec_id")).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
     )
 
