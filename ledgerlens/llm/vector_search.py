@@ -12,8 +12,10 @@ vectors don't pile up in one.  A task has one shard and one block of queries.
 It builds a ball tree over the shard and, for each query, opens nodes in the
 order of their upper bound <q, centre> + |q| * radius until the bound is below
 the query's k-th score.  That score is shared: queries first search their own
-shard, whose rows lie near them, and take the k-th score found there into every
-other shard, where mostly the root alone is looked at.
+shard, whose rows lie near them.  The k-th score found there then meets the
+bounds of all shards' own balls, which are as many as the centres and travel
+with the task: a query is shipped, with its score, to those shards alone whose
+bound reaches it.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components
 take no part; only vectors of equal length are compared; rows with the query's
@@ -38,7 +40,7 @@ from .workspace import Workspace
 LEAF_ROWS = 64
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
-CENTRES_MOST = 256
+CENTRES_MOST = 512
 
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -150,22 +152,56 @@ def _search_shard(k: int, scale: int):
     return run
 
 
-def _nearest(centres: dict[int, np.ndarray]):
+def _nearest(centres: dict[int, np.ndarray], scale: int):
+    """Each row's length, nearest centre and distance of its whole components to the centre's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4000):
                 part = batch.slice(a, 4000)
                 vectors = part.column("embedding").to_pylist()
-                shard = np.zeros(len(vectors), np.int32)
+                shard, away = np.zeros(len(vectors), np.int32), np.full(len(vectors), np.inf)
                 sizes = np.array([len(v) for v in vectors])
                 for dim in np.unique(sizes):
                     if dim in centres:
                         at = np.flatnonzero(sizes == dim)
-                        x, c = np.array([vectors[i] for i in at], np.float64), centres[int(dim)]
                         with np.errstate(over="ignore", invalid="ignore"):
+                            x, c = np.floor(np.array([vectors[i] for i in at], np.float64) * scale), centres[int(dim)]
                             far = (c**2).sum(axis=1)[None, :] - 2 * (x @ c.T)
-                        shard[at] = np.nan_to_num(far, nan=np.inf, posinf=np.inf).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int32()), pa.array(shard)], names=[*part.schema.names, "dim", "shard"])
+                            shard[at] = np.nan_to_num(far, nan=np.inf, posinf=np.inf).argmin(axis=1)
+                            away[at] = np.sqrt(((x - c[shard[at]]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int32()), pa.array(shard), pa.array(away)], names=[*part.schema.names, "dim", "shard", "away"])
+
+    return run
+
+
+def _promising(centres: dict[int, np.ndarray], radius: dict[tuple[int, int], float], scale: int):
+    """Each query once for every shard whose ball may hold one of its best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            dims = batch.column(names.index("dim")).to_numpy()
+            rows, shards = [], []
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                held = sorted(s for d, s in radius if d == dim) or [0]  # without a centre all rows are in one shard
+                open_to = np.ones((len(at), len(held)), bool)
+                if dim in centres:
+                    c, r = centres[int(dim)][held], np.array([radius[dim, s] for s in held])
+                    part = batch.take(pa.array(at))
+                    least = np.array([-np.inf if v is None else v for v in part.column(names.index("least")).to_pylist()], np.float64)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        q = np.floor(np.array(part.column(names.index("embedding")).to_pylist(), np.float64) * scale)
+                        size = np.sqrt((q**2).sum(axis=1))[:, None]
+                        bound = q @ c.T + size * r + 1e-9 * size * (np.sqrt((c**2).sum(axis=1)) + r) + 1
+                        open_to = ~(bound < least[:, None])  # a bound that overflows keeps its shard
+                i, j = np.nonzero(open_to)
+                rows.append(at[i])
+                shards.append(np.array(held, np.int32)[j])
+            pick = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            out = batch.take(pick)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(shards) if shards else [], pa.int32())], names=[*names, "shard"])
 
     return run
 
@@ -182,13 +218,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     centres: dict[int, list] = {}
     for r in rows.join(F.broadcast(picked), "vec_id").select("embedding").collect():  # CENTRES_MOST ids at most
         centres.setdefault(len(r[0]), []).append(r[0])
-    near = {d: np.array(c, np.float64)[:CENTRES_MOST] for d, c in centres.items()}
+    with np.errstate(over="ignore"):
+        near = {d: np.floor(np.array(c, np.float64)[:CENTRES_MOST] * scale) for d, c in centres.items()}
 
-    dealt = space.keep(rows.mapInArrow(_nearest(near), "vec_id long, embedding array<double>, is_query boolean, dim int, shard int"), "dealt")
-    sizes = dealt.groupBy("dim", "shard").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("cells"))
+    dealt = space.keep(rows.mapInArrow(_nearest(near, scale), "vec_id long, embedding array<double>, is_query boolean, dim int, shard int, away double"), "dealt")
+    sizes = space.keep(dealt.groupBy("dim", "shard").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("cells"), F.max("away").alias("radius")), "sizes")
+    radius = {(r.dim, r.shard): r.radius for r in sizes.filter(F.col("dim").isin(*near)).collect()}  # CENTRES_MOST rows at most
+    sizes = sizes.drop("radius")
     cell = F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int")
     stored = dealt.join(F.broadcast(sizes), ["dim", "shard"]).withColumn("cell", cell)  # a row for each centre at most
-    homes = space.keep(stored.groupBy("dim", "shard", "cell").agg(F.count("*").alias("n")), "shards")
 
     queries = stored.filter("is_query").select("vec_id", "embedding", "dim", "shard", "cell").dropDuplicates(["vec_id"])
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, math.ceil(queries.count() / QUERY_ROWS)))).cast("int"))
@@ -203,7 +241,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     first = meet(queries.select(*key, "vec_id", "embedding", F.lit(None).cast("long").alias("least")), "home")
     floor = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("found")).select(F.col("query_id").alias("vec_id"), F.when(F.col("found") >= k, F.col("low")).alias("least"))
     known = queries.join(floor, "vec_id", "left").select("vec_id", "embedding", "dim", "block", "least", F.struct("shard", "cell").alias("home"))
-    asked = known.join(homes.select("dim", "shard", "cell"), "dim").filter(F.struct("shard", "cell") != F.col("home"))
+    wanted = known.mapInArrow(_promising(near, radius, scale), "vec_id long, embedding array<double>, dim int, block int, least long, home struct<shard:int,cell:int>, shard int")
+    cells = sizes.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    asked = wanted.join(cells, ["dim", "shard"]).filter(F.struct("shard", "cell") != F.col("home"))
     rest = meet(asked.select(*key, "vec_id", "embedding", "least"), "others")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
