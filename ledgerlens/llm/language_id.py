@@ -1,7 +1,7 @@
 """Language identification with averaged hashed subword embeddings.
 
 A text's subwords are the runs of 2 to 4 bytes of its lower-cased words, with a
-blank at each end; everything ASCII that is not a letter is a blank.  Each is
+blank at each end of which a run takes one at most; everything ASCII that is not a letter is a blank.  Each is
 hashed to one of ``BUCKETS`` embeddings; a linear softmax reads their mean.
 Embeddings and softmax are trained together by stochastic gradient descent in
 numpy on random stretches of words, so that short texts are as well placed as
@@ -10,9 +10,11 @@ turns the softmax into calibrated scores, and the rejection threshold is the
 score under which no more than ``REJECT_RIGHT`` of those documents' right
 answers fall, and never above ``REJECT_MOST``.
 
-The fit uses at most ``SAMPLE_DOCS`` labelled documents of at most
-``SAMPLE_CHARS`` characters, those of least hash of doc_id; the driver holds no
-more than that.  Prediction is one map over whole texts: since the model is
+The fit uses at most ``sample_docs`` labelled documents of at most
+``sample_chars`` characters (parameters of ``identify``; longer texts are not
+learnt from but predicted like all), those of least hash of doc_id; the driver
+holds no more than that.  Of rows that share a doc_id the one of least hash is
+learnt from, so the same table gives the same model.  Prediction is one map over whole texts: since the model is
 linear, a subword adds one row of (embeddings x softmax) to its text's sum.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and
@@ -108,6 +110,18 @@ def _stretches(texts: list[str], rng: np.random.Generator, each: int) -> tuple[l
     return out, owner
 
 
+def gradients(embed: np.ndarray, weight: np.ndarray, bias: np.ndarray, bucket: np.ndarray, of: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean cross-entropy: what each subword adds to its embedding's gradient, and the gradients of weights and bias."""
+    n = np.maximum(np.bincount(of, minlength=len(truth)), 1).astype(embed.dtype)
+    mean = np.zeros((len(truth), embed.shape[1]), embed.dtype)
+    np.add.at(mean, of, embed[bucket])
+    mean /= n[:, None]
+    error = softmax(mean @ weight + bias)
+    error[np.arange(len(truth)), truth] -= 1
+    error /= len(truth)
+    return ((error @ weight.T) / n[:, None])[of], mean.T @ error, error.sum(axis=0)
+
+
 def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, rate: float = 4.0, seed: int = 7) -> Model | None:
     """Fit on four fifths of the texts and calibrate on the rest."""
     languages = sorted(set(labels))
@@ -133,17 +147,10 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, r
             bucket, of = subwords([parts[i] for i in pick])
             if not len(bucket):
                 continue
-            n = np.maximum(np.bincount(of, minlength=len(pick)), 1).astype(np.float32)
-            mean = np.zeros((len(pick), WIDTH), np.float32)
-            np.add.at(mean, of, embed[bucket])
-            mean /= n[:, None]
-            error = softmax(mean @ weight + bias)
-            error[np.arange(len(pick)), truth[pick]] -= 1
-            error /= len(pick)
-            back = (error @ weight.T) / n[:, None]
-            weight -= step * (mean.T @ error)
-            bias -= step * 0.1 * error.sum(axis=0)
-            np.add.at(embed, bucket, -step * len(pick) * back[of])
+            back, by_weight, by_bias = gradients(embed, weight, bias, bucket, of, truth[pick])
+            weight -= step * by_weight
+            bias -= step * 0.1 * by_bias
+            np.add.at(embed, bucket, -step * len(pick) * back)
 
     model = Model(languages, (embed @ weight).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
     unseen = np.flatnonzero(held)
@@ -160,15 +167,15 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, r
     return model
 
 
-def sample(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang") -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """The labelled documents to learn from: those of least hash among the usable ones."""
-    rows = docs.filter(usable & F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    ids = [r[0] for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    rows = docs.filter(usable & F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= chars))
+    ids = [r[0] for r in rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if not ids:
         return [], []
-    got = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", text, label).dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r[0])
-    return [r[1] for r in got], [r[2] for r in got]
+    picked = F.min(F.struct(F.xxhash64(text, label), F.col(text).alias("text"), F.col(label).alias("label"))).alias("p")
+    got = sorted(rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(picked).collect(), key=lambda r: r[0])
+    return [r.p.text for r in got], [r.p.label for r in got]
 
 
 def _predict(model: Model | None, text: str, names: list[str], outputs: tuple[str, str, str]):
@@ -197,13 +204,13 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def identify(docs: DataFrame, learn_from: DataFrame | None = None, usable: Column | None = None, text: str = "text", outputs: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+def identify(docs: DataFrame, learn_from: DataFrame | None = None, usable: Column | None = None, text: str = "text", outputs: tuple[str, str, str] = ("lang_pred", "score", "rejected"), sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``docs`` with the predicted language, its score and whether it is rejected.
 
     The model is fitted on the ``usable`` rows of ``learn_from`` (``docs`` itself by default).
     """
     source = docs if learn_from is None else learn_from
-    model = fit(*sample(source, ~held_out() if usable is None else usable, text))
+    model = fit(*sample(source, ~held_out() if usable is None else usable, text, most=sample_docs, chars=sample_chars))
     kept = [f for f in docs.schema.fields if f.name not in outputs]
     schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in zip(outputs, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
     return docs.mapInArrow(_predict(model, text, [f.name for f in kept], outputs), schema)
