@@ -1,17 +1,21 @@
 """Licence scans by canonical digests, on DataFrames only.
 
-A text is put in canonical form (lower case, no attributions, one spelling for
-words that have several, letters and digits only, single blanks) and its
-SHA-256 is hash-joined with the digests of known licences: a match is an entire
-text, however its lines are wrapped.  An attribution is a line that begins with
-"copyright" or "(c)" and goes on with a sign, a year or a name; where a line of
-a licence's body begins so ("copyright notice and ..."), it stays.  Each line
-of a text is looked up the same way among known notices.
-
-Known texts are canonicalised once and joined by digest; Spark broadcasts them
-while they are below its own size threshold and shuffles both sides otherwise.
-Lines are looked up after duplicates of one (document, line) have gone, and
-only lines that match are gathered again.
+Each line of a text is put in canonical form once: lower case, one spelling
+for words that have several, letters and digits only with single blanks
+between, nothing where the line is an attribution.  An attribution begins with "copyright" or "(c)" and goes on with a
+sign, a year or a name; where a line of a licence's body begins so ("copyright
+notice and ..."), it stays.  Three kinds of SHA-256 digest are looked up among those
+of known licences:
+
+* the entire text's, hash-joined with the known ones: ``license_id``;
+* those of runs of whole paragraphs, however their lines are wrapped, so that a
+  licence inside a longer text is found: ``block_licenses``;
+* those of single lines among known notices: ``n_notice_lines``, ``notices``.
+
+The scan is one map over the table.  Known digests are counted first: whole
+texts are broadcast up to ``KNOWN_MOST`` and left to Spark's join beyond that;
+paragraphs and notices, of which a table of licences has few, are literals of
+the plan, and more than ``KNOWN_MOST`` are refused.
 
 Edge cases: a null text has a null digest and no licence; a text without a
 letter or digit is canonically empty and matches nothing; several licences with
@@ -25,7 +29,7 @@ import pkgutil
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Spellings that are taken as equal, in order (found, read as).
@@ -38,15 +42,16 @@ SPELLINGS = [
     ("judgement", "judgment"),
     ("noninfringement", "non infringement"),
     ("whilst", "while"),
-    ("http ", "https "),
+    ("http://", "https://"),
 ]
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved).*$"
 #: What follows "copyright", or "(c)" as an item's letter, where a line is a licence's body and no attribution.
-BODY = "notices?|holders?|owners?|ownership|laws?|licen[cs]e[sd]?|statements?|permissions?|doctrines?|disclaimers?|treaty|treaties|interests?|protections?|patents?|lines?|like|also|and|or|on|in|to|of|for|if|is|are|as|that|those|this|which|under|with|from|shall|may|must"
+BODY = "the software|the library|the program|notices?|holders?|owners?|ownership|laws?|licen[cs]e[sd]?|statements?|permissions?|doctrines?|disclaimers?|treaty|treaties|interests?|protections?|patents?|lines?|like|also|and|or|on|in|to|of|for|if|is|are|as|that|those|this|which|under|with|from|shall|may|must"
 ITEM = "you|under|to|for|if|in|an?|any|all"
-ATTRIBUTION = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright\b(?![^\p{{L}}\p{{N}}\n]*(?:$|(?:{BODY})\b))|\(c\)(?![^\p{{L}}\p{{N}}\n]*(?:{ITEM})\b)|©|all rights reserved).*$"
+ATTRIBUTION = r"^[^\p{L}\p{N}]*(copyright\b|\(c\)|©|all rights reserved)"
+NO_ATTRIBUTION = rf"^[^\p{{L}}\p{{N}}]*(copyright[^\p{{L}}\p{{N}}]*($|({BODY})\b)|\(c\)[^\p{{L}}\p{{N}}]*({ITEM})\b)"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+KNOWN_MOST = 10_000
 
 #: Known licence texts.
 LICENSES = {
@@ -89,7 +94,7 @@ For more information, please refer to <https://unlicense.org>""",
 }
 
 #: Further known texts, in the folder ``licenses``.
-FILES = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"]
+FILES = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
 
 #: Titles that texts are shipped with or, the empty one, without.
 TITLES = {
@@ -109,14 +114,28 @@ NOTICES = {
 }
 
 
-def canonical(text: Column, copyright_lines: bool = True) -> Column:
-    """The canonical form of a text."""
-    out = F.lower(text)
-    if copyright_lines:
-        out = F.regexp_replace(out, ATTRIBUTION, " ")
-    out = F.regexp_replace(out, NOT_WORD, " ")
-    out = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, out)
-    return F.trim(out)
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line of a text."""
+    spelled = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, F.lower(text))
+    words = lambda line: F.trim(F.regexp_replace(line, NOT_WORD, " "))
+    attribution = lambda line: line.rlike(ATTRIBUTION) & ~line.rlike(NO_ATTRIBUTION)
+    return F.transform(F.split(spelled, "\n"), lambda line: F.when(attribution(line), "").otherwise(words(line)))
+
+
+def digest(words: Column) -> Column:
+    """The digest of canonical words."""
+    return F.sha2(words, 256)
+
+
+def entire(lines: Column) -> Column:
+    """Canonical lines as one run of words."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def paragraphs(lines: Column) -> Column:
+    """The digests of the paragraphs of canonical lines; a paragraph ends at a line without words."""
+    runs = F.split(F.trim(F.array_join(lines, "\n"), F.lit("\n")), "\n\n+")
+    return F.transform(F.filter(runs, lambda x: x != ""), lambda x: digest(F.replace(x, F.lit("\n"), F.lit(" "))))
 
 
 def known_forms() -> dict[str, list[str]]:
@@ -131,40 +150,85 @@ def known_forms() -> dict[str, list[str]]:
     return forms
 
 
+def _texts(spark: SparkSession, known: dict[str, list[str]]) -> DataFrame:
+    rows = [(name, text) for name, texts in known.items() for text in texts]
+    lines = spark.createDataFrame(rows, "license_id string, text string").select("license_id", canonical_lines(F.col("text")).alias("lines"))
+    return lines.filter(entire(F.col("lines")) != "")
+
+
 def known_digests(spark: SparkSession, licenses: dict[str, list[str]]) -> DataFrame:
     """(digest, license_id) of each distinct canonical form."""
-    rows = [(name, text) for name, texts in licenses.items() for text in texts]
-    known = spark.createDataFrame(rows, "license_id string, text string").withColumn("canonical", canonical(F.col("text")))
-    return known.filter("canonical != ''").groupBy(F.sha2("canonical", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return _texts(spark, licenses).groupBy(digest(entire(F.col("lines"))).alias("digest")).agg(F.min("license_id").alias("license_id"))
+
+
+def known_blocks(spark: SparkSession, licenses: dict[str, list[str]]) -> DataFrame:
+    """(first, n, digest, license_id): first paragraph, number of paragraphs and digest of each distinct form's run of paragraphs."""
+    rows = _texts(spark, licenses).select("license_id", paragraphs(F.col("lines")).alias("p"))
+    return rows.groupBy(F.get("p", F.lit(0)).alias("first"), F.size("p").alias("n"), block_digest(F.col("p")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+
 
+def block_digest(run: Column) -> Column:
+    return F.sha2(F.array_join(run, " "), 256)
 
-def scan(docs: DataFrame, licenses: DataFrame, notices: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text_digest, license_id, n_notice_lines, notices) for each row.
 
-    ``licenses`` and ``notices`` have (digest, license_id), one row for each digest.
+def _bounded(known: DataFrame, what: str) -> list[Row]:
+    rows = known.limit(KNOWN_MOST + 1).collect()
+    if len(rows) > KNOWN_MOST:
+        raise ValueError(f"more than {KNOWN_MOST} {what}")
+    return rows
+
+
+def _named(digests: Column, names: dict[str, str]) -> Column:
+    """The names of known digests, in order of occurrence."""
+    if not names:
+        return F.array().cast("array<string>")
+    by_digest = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.transform(F.filter(digests, lambda d: d.isin(*names)), lambda d: F.element_at(by_digest, d))
+
+
+def scan(docs: DataFrame, licenses: DataFrame, notices: DataFrame, blocks: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """(doc_id, text_digest, license_id, block_licenses, n_notice_lines, notices) for each row.
+
+    ``licenses`` and ``notices`` have (digest, license_id), ``blocks`` what ``known_blocks`` returns, one row for each digest.
     """
-    rows = docs.select("doc_id", F.col(text).alias("text"), F.sha2(canonical(F.col(text)), 256).alias("text_digest"))
-    # a row's own name for its lines: its document and its raw text
-    raw = F.xxhash64("text")
-    lines = rows.select("doc_id", raw.alias("raw"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    matched = lines.select("doc_id", "raw", "line_no", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(notices.withColumnRenamed("license_id", "notice"), "digest").distinct()
-    found = matched.groupBy("doc_id", "raw").agg(F.count("*").alias("n_notice_lines"), F.array_join(F.sort_array(F.collect_set("notice")), ",").alias("notices"))
-    whole = rows.select("doc_id", "text_digest", raw.alias("raw")).join(licenses.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    return whole.join(found, ["doc_id", "raw"], "left").select("doc_id", "text_digest", "license_id", F.coalesce("n_notice_lines", F.lit(0)).cast("long").alias("n_notice_lines"), "notices")
+    notice = {r.digest: r.license_id for r in _bounded(notices, "notices")}
+    block = _bounded(blocks, "blocks") if blocks is not None else []
+    few = len(licenses.limit(KNOWN_MOST + 1).collect()) <= KNOWN_MOST
+
+    rows = docs.select("doc_id", canonical_lines(F.col(text)).alias("lines"))
+    rows = rows.select("doc_id", digest(entire(F.col("lines"))).alias("text_digest"), F.transform("lines", digest).alias("line_digests"), paragraphs(F.col("lines")).alias("p"))
+    # places where a known block may begin, then the runs from there that are as long as one
+    starts = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.get("p", i - 1).isin(*{r["first"] for r in block}) if block else F.lit(False))
+    lengths = F.array(*(F.lit(n) for n in sorted({r.n for r in block}))) if block else F.array().cast("array<int>")
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(lengths, lambda n: i + n - 1 <= F.size("p")), lambda n: block_digest(F.slice("p", i, n)))))
+    rows = rows.select("doc_id", "text_digest", _named(F.col("line_digests"), notice).alias("found"), F.when(F.size("p") > 0, _named(runs, {r.digest: r.license_id for r in block})).alias("inside"))
+
+    known = licenses.withColumnRenamed("digest", "text_digest")
+    names = lambda c: F.when(F.size(c) > 0, F.array_join(F.array_sort(F.array_distinct(c)), ","))
+    return rows.join(F.broadcast(known) if few else known, "text_digest", "left").select(
+        "doc_id", "text_digest", "license_id", names("inside").alias("block_licenses"), F.coalesce(F.greatest(F.size("found"), F.lit(0)), F.lit(0)).cast("long").alias("n_notice_lines"), names("found").alias("notices")
+    )
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licences and notices of every text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs, known_digests(spark, known_forms()), known_digests(spark, NOTICES))
+    forms = known_forms()
+    return scan(docs, known_digests(spark, forms), known_digests(spark, NOTICES), known_blocks(spark, forms))
 
 
-def _canonical_sql(x: str) -> str:
-    out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g')"
-    out = f"regexp_replace({out}, '{NOT_WORD}', ' ', 'g')"
+def _lines_sql(x: str) -> str:
+    x = f"lower({x})"
     for found, read_as in SPELLINGS:
-        out = f"replace({out}, '{found}', '{read_as}')"
-    return f"trim({out})"
+        x = f"replace({x}, '{found}', '{read_as}')"
+    return (
+        f"list_transform(string_split({x}, chr(10)), lambda l: CASE WHEN regexp_matches(l, '{ATTRIBUTION}') AND NOT regexp_matches(l, '{NO_ATTRIBUTION}') THEN '' "
+        f"ELSE trim(regexp_replace(l, '{NOT_WORD}', ' ', 'g')) END)"
+    )
+
+
+def _digest_sql(x: str) -> str:
+    return f"sha256({x})"
 
 
 def _values(known: dict[str, list[str]]) -> str:
@@ -172,19 +236,28 @@ def _values(known: dict[str, list[str]]) -> str:
     return ", ".join(f"({quote(name)}, {quote(text)})" for name, texts in known.items() for text in texts)
 
 
+_ENTIRE = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
+_PARAGRAPHS = f"list_transform(list_filter(regexp_split_to_array(trim(array_to_string(lines, chr(10)), chr(10)), '\n\n+'), lambda x: x <> ''), lambda x: {_digest_sql('replace(x, chr(10), chr(32))')})"
+
 OP4_SQL = f"""
-WITH licenses AS (
-  SELECT sha256({_canonical_sql("t")}) AS digest, min(name) AS license_id FROM (VALUES {_values({k: [v] for k, v in LICENSES.items()})}) AS l(name, t) GROUP BY 1
+WITH forms AS (
+  SELECT name, {_lines_sql("t")} AS lines FROM (VALUES {_values(known_forms())}) AS l(name, t)
+), licenses AS (
+  SELECT {_digest_sql(_ENTIRE)} AS digest, min(name) AS license_id FROM forms GROUP BY 1
+), blocks AS (
+  SELECT p, len(p) AS n, p[1] AS p1, min(name) AS name FROM (SELECT name, {_PARAGRAPHS} AS p FROM forms) GROUP BY 1, 2, 3
 ), notices AS (
-  SELECT sha256({_canonical_sql("t")}) AS digest, min(name) AS notice FROM (VALUES {_values(NOTICES)}) AS l(name, t) GROUP BY 1
+  SELECT {_digest_sql(_ENTIRE)} AS digest, min(name) AS notice FROM (SELECT name, {_lines_sql("t")} AS lines FROM (VALUES {_values(NOTICES)}) AS l(name, t)) GROUP BY 1
 ), docs AS (
-  SELECT doc_id, text, sha256({_canonical_sql("text")}) AS text_digest FROM documents
-), lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs
+  SELECT doc_id, lines, {_PARAGRAPHS} AS p FROM (SELECT doc_id, {_lines_sql("text")} AS lines FROM documents)
 ), found AS (
   SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT notice)), ',') AS notices
-  FROM lines JOIN notices ON sha256({_canonical_sql("line")}) = digest GROUP BY doc_id
+  FROM (SELECT doc_id, unnest(lines) AS line FROM docs) JOIN notices ON {_digest_sql("line")} = digest GROUP BY doc_id
+), places AS (
+  SELECT doc_id, p AS ps, unnest(p) AS p1, unnest(range(1, len(p) + 1)) AS i FROM docs
+), inside AS (
+  SELECT doc_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM places JOIN blocks USING (p1) WHERE ps[i:i + n - 1] = p GROUP BY doc_id
 )
-SELECT docs.doc_id, text_digest, license_id, CAST(coalesce(n, 0) AS BIGINT) AS n_notice_lines, notices
-FROM docs LEFT JOIN licenses ON text_digest = digest LEFT JOIN found ON found.doc_id = docs.doc_id
+SELECT docs.doc_id, {_digest_sql(_ENTIRE)} AS text_digest, license_id, names AS block_licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_notice_lines, notices
+FROM docs LEFT JOIN licenses ON {_digest_sql(_ENTIRE)} = digest LEFT JOIN found ON found.doc_id = docs.doc_id LEFT JOIN inside ON inside.doc_id = docs.doc_id
 """
