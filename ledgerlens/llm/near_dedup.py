@@ -24,7 +24,8 @@ with a probability of one in a million at most.
    left out; the blocks' stars are joined by a second components pass.
 
 Edge cases: null, empty or blank texts have no set, link with nothing and are
-kept; rows that share a doc_id are one document; repeated rows are exact
+kept; a null doc_id can't be reached by links: its row has a null component and
+a null ``kept``; rows that share a doc_id are one document; repeated rows are exact
 copies; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .skew import join_unique
 from .substring_dedup import slices
 from .words import U, Words, mix, text_bytes
 from .workspace import Workspace
@@ -187,7 +189,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     rows, bands = banding(percent / 100)
     signed = space.keep(docs.mapInArrow(_sign(shingle, rows, bands), _SIGNATURES), "signed")
 
-    classes = space.keep(signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
+    classes = space.keep(signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")), "classes")
+    total = classes.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    # by class and document: a hot set has one such row, or as many as its least document has
     chosen = signed.join(classes, (signed.set_key == classes.set_key) & (signed.doc_id == classes.node), "left_semi")
     member = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket", "least")
@@ -204,7 +208,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     links = texts.groupBy("root", "i", "j").applyInArrow(_confirm(shingle, percent, 100), _EDGES)
     found = connected_components(links, space, "links")
 
-    named = signed.join(classes, "set_key", "left").join(found, "node", "left")
+    by_class = classes.join(found, "node", "left")
+    named = join_unique(signed.select("doc_id", "n_shingles", "set_key"), by_class, ["set_key"], "n_rows", total, F.col("doc_id"))
     component = F.coalesce("root", "node", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 

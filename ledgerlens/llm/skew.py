@@ -20,7 +20,8 @@ def join_unique(rows: DataFrame, side: DataFrame, keys: list[str], weight: str,
     """
     others = [c for c in side.columns if c not in keys]
     hot = side.filter(F.col(weight) * HOT > total).select(*keys, F.struct(*others).alias("_hot"))
-    rest = side.select(*keys, F.struct(*others).alias("_rest"), F.lit(0).cast("long").alias("_salt"))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("long")  # a literal would be folded, and rows dealt by the keys alone
+    rest = side.select(*keys, F.struct(*others).alias("_rest"), zero.alias("_salt"))
     apart = reduce(or_, (F.col(k).isNull() for k in keys), F.col("_hot").isNotNull())
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(apart, F.xxhash64(spread)).otherwise(F.lit(0)).cast("long"))
     joined = salted.join(rest, [*keys, "_salt"], "left")
