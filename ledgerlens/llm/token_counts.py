@@ -1,13 +1,21 @@
 """Token counts through a cache keyed by content and tokenizer digests.
 
-The cache is a Parquet table (content_digest, tokenizer_digest, n_bytes,
-n_tokens).  Contents are normalised only as far as no tokenizer can tell the
-difference: null becomes empty.  Distinct misses alone are encoded: a task
-sends each digest that it meets once, with its text compressed, so a text that
-a third of all rows share crosses the shuffle once per task; stored digests are
-taken out by an anti-join, what is left is dealt by digest, encoded once by the
-tokenizer's own library and appended to the cache, and the documents are
-joined with the cache.
+The cache is a Parquet table (content_digest, n_bytes, n_tokens) with a folder
+for each tokenizer version.  Contents are normalised only as far as no tokenizer
+can tell the difference: null becomes empty.
+
+1. Digests alone are grouped and anti-joined with the cache: no text moves yet,
+   and none ever does when the cache knows all of them.
+2. Misses up to ``MISSES_MOST`` are broadcast, so that only their texts leave
+   the scan; more are joined by digest.  Either way a task sends each missing
+   text once, compressed, so a text that a third of all rows share crosses the
+   shuffle once per task.  Each is encoded once by the tokenizer's own library
+   and appended to the cache.
+3. Documents are joined with the counts of their digests; digests of many rows
+   are broadcast (``skew``).
+
+Two calls on one cache at a time may both append what neither had found; equal
+rows of the cache count once.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); texts of any
 length are encoded whole; repeated rows share one encoding; strings of special
@@ -26,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizers
+from .skew import join_unique
 from .workspace import Workspace
 
 LIMIT = 4096
-CACHE = "content_digest binary, tokenizer_digest string, n_bytes long, n_tokens long"
+MISSES_MOST = 100_000
+CACHE = "content_digest binary, n_bytes long, n_tokens long"
 
 
 def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,13 +49,11 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             keys, packed = [], []
-            for text in batch.column(0).slice(a, 500).cast(pa.large_binary()):
-                raw = text.as_py() or b""
-                key = hashlib.sha256(raw).digest()
+            for key, text in zip(batch.column(0).slice(a, 500).to_pylist(), batch.column(1).slice(a, 500).cast(pa.large_binary()), strict=True):
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    packed.append(squeeze.compress(raw))
+                    packed.append(squeeze.compress(text.as_py() or b""))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["content_digest", "packed"])
 
@@ -58,7 +66,6 @@ def _encode(name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        digest = tokenizers.digest(name)
         restore = zstandard.ZstdDecompressor()
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
@@ -71,8 +78,8 @@ def _encode(name: str):
                 if keys:
                     tokens = lengths([x.decode() for x in raw])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.binary()), pa.array([digest] * len(keys), pa.string()), pa.array([len(x) for x in raw], pa.int64()), pa.array(tokens, pa.int64())],
-                        names=["content_digest", "tokenizer_digest", "n_bytes", "n_tokens"],
+                        [pa.array(keys, pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array(tokens, pa.int64())],
+                        names=["content_digest", "n_bytes", "n_tokens"],
                     )
 
     return run
@@ -84,20 +91,29 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     Without a path the cache is a fresh one, of this call.
     """
     spark = docs.sparkSession
-    path = cache_path or f"{Workspace(spark, 'tokens').path}/cache"
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(path)  # the first call makes the folder
-    stored = spark.read.schema(CACHE).parquet(path).filter(F.col("tokenizer_digest") == tokenizers.digest(tokenizer))
-
-    texts = docs.select(F.col(text).alias("text")).mapInArrow(_distinct_texts, "content_digest binary, packed binary")
-    misses = texts.join(stored.select("content_digest"), "content_digest", "left_anti").repartition(tasks, "content_digest")
-    misses.mapInArrow(_encode(tokenizer), CACHE).write.mode("append").parquet(path)
-
-    spark.catalog.refreshByPath(path)
-    counts = spark.read.schema(CACHE).parquet(path).filter(F.col("tokenizer_digest") == tokenizers.digest(tokenizer)).select("content_digest", "n_bytes", "n_tokens")
-    digest = F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("content_digest"))
-    return rows.join(counts.dropDuplicates(["content_digest"]), "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    space = Workspace(spark, "tokens")
+    path = f"{cache_path or space.path + '/cache'}/{tokenizers.digest(tokenizer)}"
+    spark.createDataFrame([], CACHE).write.mode("ignore").parquet(path)  # the first call makes the folder
+    digest = F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)).alias("content_digest")
+
+    known = space.keep(docs.select(digest).groupBy("content_digest").agg(F.count("*").alias("n_rows")), "digests")
+    stored = spark.read.schema(CACHE).parquet(path)
+    misses = space.keep(known.join(stored, "content_digest", "left_anti").select("content_digest"), "misses")
+    total, n_misses = known.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0], misses.count()
+    if n_misses:
+        texts = docs.select(digest, F.col(text).alias("text"))
+        fields = "content_digest binary, packed binary"
+        if n_misses <= MISSES_MOST:
+            dealt = texts.join(F.broadcast(misses), "content_digest", "left_semi").mapInArrow(_distinct_texts, fields).repartition("content_digest")
+        else:
+            dealt = texts.mapInArrow(_distinct_texts, fields).join(misses.hint("shuffle_hash"), "content_digest", "left_semi")
+        dealt.mapInArrow(_encode(tokenizer), CACHE).write.mode("append").parquet(path)
+        spark.catalog.refreshByPath(path)
+
+    counts = spark.read.schema(CACHE).parquet(path).dropDuplicates(["content_digest"]).join(known, "content_digest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest)
+    counted = join_unique(rows, counts, ["content_digest"], "n_rows", total, F.col("doc_id"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
