@@ -200,7 +200,31 @@ def test_sum_of_squares_takes_the_least_change():
             change[level] = int((after[1:] ** 2).sum() - (packer.count[1:] ** 2).sum())
         best = min(change.values())
         assert packer.level_for(length) == max(k for k, v in change.items() if v == best)
-        packer.place((i, 0, length, np.zeros(length, "<u4")))
+        list(packer.place((i, 0, length, np.zeros(length, "<u4"))))
+
+
+def test_sum_of_squares_keeps_few_windows_open():
+    import numpy as np
+
+    from ledgerlens.llm.packing import SumOfSquares
+
+    r = random.Random(5)
+    packer, size, items, out = SumOfSquares(40, most=6), 40, {}, []
+    for i in range(500):
+        items[i] = np.arange(r.randrange(1, size), dtype="<u4")
+        filled = list(packer.place((i, 0, len(items[i]), items[i])))
+        assert all(sum(len(p[3]) for p in w) == size for w in filled)
+        out += filled
+        assert packer.n_open == packer.count.sum() == sum(map(len, packer.open))
+        assert packer.n_open <= 6
+    by_rule = len(out)
+    out += packer.dissolve()
+    assert len(out) - by_rule <= 6 and [sum(len(p[3]) for p in w) for w in out[:-1]] == [size] * (len(out) - 1)
+    pieces = {}
+    for doc, start, _, ids in (p for w in out for p in w):
+        pieces.setdefault(doc, []).append((start, ids))
+    for i, ids in items.items():
+        assert np.concatenate([x for _, x in sorted(pieces[i], key=lambda p: p[0])]).tolist() == ids.tolist()
 
 
 def test_byte_bpe_ids_are_the_librarys():
@@ -221,17 +245,31 @@ def test_token_counts(docs, rows, empty, tmp_path):
     library = sentence_pieces("piece_bpe_32k.model")
     want = sorted((x[0], len((x[1] or "").encode()), len(library.encode(x[1] or ""))) for x in rows)
     cache = str(tmp_path / "cache")
+    stored = lambda: docs.sparkSession.read.option("recursiveFileLookup", "true").parquet(cache).count()
     for _ in range(2):  # the second time from the cache
         got = token_counts(docs, limit=100, cache_path=cache).collect()
         assert sorted((g.doc_id, g.n_bytes, g.n_tokens) for g in got) == want
         assert all(g.over_limit == (g.n_tokens > 100) for g in got)
-        assert docs.sparkSession.read.parquet(cache).count() == len({x[1] or "" for x in rows})
+        assert stored() == len({x[1] or "" for x in rows})
     other = token_counts(docs, "byte_bpe_50k.json", cache_path=cache)
     assert other.count() == len(rows)
-    assert docs.sparkSession.read.parquet(cache).count() == 2 * len({x[1] or "" for x in rows})
+    assert stored() == 2 * len({x[1] or "" for x in rows})
     assert token_counts(empty).count() == 0
 
 
+def test_token_counts_of_more_misses_than_are_broadcast(docs, rows, tmp_path, monkeypatch):
+    from ledgerlens.llm import skew, token_counts
+    from ledgerlens.llm.tokenizers import sentence_pieces
+
+    monkeypatch.setattr(token_counts, "MISSES_MOST", 3)
+    monkeypatch.setattr(skew, "HOT", 20)  # the exact copies are a hot text
+    library = sentence_pieces("piece_bpe_32k.model")
+    cache = str(tmp_path / "cache")
+    token_counts.token_counts(docs.filter("doc_id < 20"), cache_path=cache)
+    got = token_counts.token_counts(docs, cache_path=cache).collect()
+    assert sorted((g.doc_id, g.n_tokens) for g in got) == sorted((x[0], len(library.encode(x[1] or ""))) for x in rows)
+
+
 def test_language_id(docs, rows, empty):
     from ledgerlens.llm.language_id import held_out, identify
 
@@ -274,6 +312,54 @@ def test_license_scan(spark, docs, rows, empty):
     assert scan(empty, *known).count() == 0
 
 
+def test_licenses_however_wrapped_and_titled(spark):
+    import textwrap
+
+    from ledgerlens.llm.license_scan import LICENSES, NOTICES, known_digests, known_forms, scan
+
+    known = known_digests(spark, known_forms()), known_digests(spark, NOTICES)
+    holder = lambda text: text.replace("<year> <holders>", "2021 Someone Else")
+    wrap = lambda text, width: "\n\n".join(p if p.strip().startswith("Copyright") else textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+    cases = [("ISC", "Permission" + holder(LICENSES["ISC"]).partition("Permission")[2].replace("above copyright", "above\ncopyright"))]
+    for name, forms in known_forms().items():
+        cases += [(name, form) for form in forms]
+        # an attribution is a line of its own, as is the GPL's; the appendices have them within paragraphs
+        whole = [forms[-1].replace("<https://fsf.org/>\n", "<https://fsf.org/>\n\n")] if "END OF TERMS" in forms[0] else forms[:2]
+        cases += [(name, wrap(holder(form), width)) for form in whole for width in (44, 60, 72, 79, 100_000)]
+    cases += [("MIT", holder(LICENSES["MIT"]).replace("MIT License", "The MIT License (MIT)").replace("Copyright (c)", line)) for line in ("Copyright", "(C)", "© ", "Copyright: Jane Doe,", "Copyright The Authors")]
+    cases += [(None, LICENSES["MIT"] + "\ncopyright notice of another kind"), (None, known_forms()["GPL-3.0"][0].replace("version", "edition"))]
+    docs = spark.createDataFrame(list(enumerate(text for _, text in cases)), "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in scan(docs, *known).collect()}
+    assert [(i, got[i], text[:80]) for i, (name, text) in enumerate(cases) if got[i] != name] == []
+
+
+def test_license_blocks_inside_texts(spark, tmp_path):
+    import duckdb
+
+    from ledgerlens.llm.license_scan import LICENSES, OP4_SQL, known_forms, op4_license_scan
+
+    forms = known_forms()
+    mit = LICENSES["MIT"].replace("<year> <holders>", "2020 A. Person")
+    texts = [
+        "A readme of some words.\n\n" + mit + "\n\ncode follows here",
+        "/*\n * " + mit.replace("\n", "\n * ") + "\n */\n\nint main;",
+        mit + "\n\n" + forms["Apache-2.0"][0] + "\n\nLicensed under the MIT Licence.",
+        forms["LGPL-3.0"][0] + "\n----\n" + forms["CC0-1.0"][0],
+        forms["GPL-2.0"][-1], forms["LGPL-2.1"][0],
+        mit.replace("without restriction", "with restrictions"), mit.rpartition("\n\n")[0],
+        "", None, "...", LICENSES["Zlib"] + " more",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {g.doc_id: g for g in op4_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i].block_licenses for i in range(12)] == ["MIT", "MIT", "Apache-2.0,MIT", "CC0-1.0,LGPL-3.0", "GPL-2.0", "LGPL-2.1", None, None, None, None, None, None]
+    assert [got[i].license_id for i in range(12)] == [None, None, None, None, "GPL-2.0", "LGPL-2.1"] + [None] * 6
+    assert got[2].notices == "MIT"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = "doc_id, text_digest, license_id, block_licenses, n_notice_lines, notices"
+    assert sorted(map(tuple, op4_license_scan(spark, str(tmp_path)).select(*columns.split(", ")).collect())) == sorted(con.execute(f"SELECT {columns} FROM ({OP4_SQL})").fetchall())
+
+
 def test_piece_codec(docs, rows, empty):
     from ledgerlens.llm.piece_codec import decode, encode, encode_digests
     from ledgerlens.llm.tokenizers import sentence_pieces
@@ -330,6 +416,7 @@ def test_unigram_words_have_the_best_score():
 
 def test_pipeline_stages(spark, docs, rows):
     import corpus_pipeline
+    from ledgerlens.llm.tokenizers import byte_bpe
 
     now = docs.select("doc_id", "text", "lang", "source", "n_chars")
     kept = []
@@ -339,10 +426,40 @@ def test_pipeline_stages(spark, docs, rows):
         kept.append(now)
         if name != "packing":
             assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    by_id = {x[0]: x for x in rows}
     letters = {x[0] for x in rows if re.search(r"[^\W\d_]", x[1] or "")}
     first = {r.doc_id for r in kept[0].collect()}
     assert first <= letters
+    assert all(r.text == by_id[r.doc_id][1] for r in kept[0].collect())
     want = _components([x for x in rows if x[0] in first], 5, 80)
     assert sorted(r.doc_id for r in kept[1].collect()) == sorted({c for _, c in want.values()})
-    assert {r.doc_id for r in kept[2].collect()} == {r.doc_id for r in kept[1].collect()}
-    assert {r.doc_id for r in kept[3].collect()} == {r.doc_id for r in kept[2].collect()}
+    assert all(r.text == by_id[r.doc_id][1] for r in kept[1].collect())
+    # texts after the third stage, by brute force over what the second kept
+    words = {r.doc_id: WORD.findall(r.text) for r in kept[1].collect()}
+    starts = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    texts = {}
+    for doc, w in words.items():
+        gone = {j for i in range(len(w) - 34) if starts[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        texts[doc] = " ".join(v for i, v in enumerate(w) if i not in gone) if gone else by_id[doc][1]
+    assert {r.doc_id: (r.text, r.n_chars) for r in kept[2].collect()} == {d: (t, len(t)) for d, t in texts.items()}
+    assert any(t != by_id[d][1] for d, t in texts.items())
+    import numpy as np
+
+    library, lengths = byte_bpe("byte_bpe_50k.json"), Counter()
+    ids = {d: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for d, t in texts.items()}
+    for r in kept[3].collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        lengths[r.doc_id] += r.length
+    assert lengths == {d: len(x) for d, x in ids.items()}
+
+
+def test_pipeline_rows_without_or_with_one_doc_id(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(40))
+    given = [(1, long, "a"), (2, long, "b"), (None, long, "c"), (None, long, "c"), (None, long, "d"), (3, "first text of three", "e"), (3, "second text of three", "f"), (4, None, "g")]
+    docs = spark.createDataFrame([(i, t, "en", s, 5) for i, t, s in given], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = sorted((r.doc_id or 0, r.source) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs.repartition(parts), "").collect())
+        assert got[:3] == [(0, "c"), (0, "d"), (1, "a")] and got[4:] == [(4, "g")] and got[3][0] == 3
+        assert got == (first := got if parts == 1 else first)

@@ -36,10 +36,12 @@ def _plain(v):
     return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_embedding_duplicates(spark, rows, monkeypatch, block):
-    from ledgerlens.llm import embedding_dedup
+@pytest.mark.parametrize(("block", "planned", "hashes"), [(4096, 0, 1), (5, 0, 1), (4096, 100_000, 2), (5, 10**6, 3)])
+def test_embedding_duplicates(spark, rows, monkeypatch, block, planned, hashes):
+    from ledgerlens.llm import embedding_dedup, skew
 
+    assert embedding_dedup.plan_tables(16, 0.98, max(planned, 150))[0] == hashes
+    monkeypatch.setattr(skew, "HOT", 20)  # the twenty equal vectors are hot classes
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     links, root = Counter(), {x[0]: x[0] for x in rows}
 
@@ -58,7 +60,7 @@ def test_embedding_duplicates(spark, rows, monkeypatch, block):
                 links[rows.index(b) if b is not rows[0] and b is not rows[75] else [k for k in range(i) if rows[k] is b][0]] += 1
                 p, q = find(a[0]), find(b[0])
                 root[max(p, q)] = min(p, q)
-    got = embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    got = embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, VECTORS), planned_for=planned).collect()
     assert len(got) == len(rows)
     components = {g.vec_id: g.component_id for g in got}
     assert components == {x[0]: find(x[0]) for x in rows}
@@ -105,12 +107,16 @@ def test_vector_search(spark, rows, monkeypatch, shard):
     assert vector_search.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 7 == 0).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1024, 10])
+def test_components(spark, monkeypatch, hot):
+    from ledgerlens.llm import skew
     from ledgerlens.llm.components import connected_components
+
+    monkeypatch.setattr(skew, "HOT", hot)
     from ledgerlens.llm.workspace import Workspace
 
     r = random.Random(1)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1030)] + [(5, 5)]
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1030)] + [(5, 5)] + [(2000, i) for i in range(2001, 2200)] + [(3000, i) for i in range(2800, 3000)]
     root = {}
 
     def find(x):
@@ -144,11 +150,12 @@ def _maximal(turns):
     }
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_chat_format(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "part"), [(1024, 1024), (2, 1024), (2, 3), (1024, 3)])
+def test_chat_format(spark, monkeypatch, block, part):
     from ledgerlens.llm import chat_format
 
     monkeypatch.setattr(chat_format, "BLOCK", block)
+    monkeypatch.setattr(chat_format, "PART_TURNS", part)
     r = random.Random(2)
     turns = []
     for c in range(30):
@@ -168,6 +175,36 @@ def test_chat_format(spark, monkeypatch, block):
         text = "".join(got[c][p][1] for p in sorted(got[c]))
         assert text == "".join(f"<|im_start|>{r}\n{t.replace('<|im_end|>', '<| im_end|>')}<|im_end|>\n" for r, t in s)
         assert {n for n, _ in got[c].values()} == {len(s)}
-        assert len(got[c]) == len({None if t[1] is None else t[1] // block for t in turns if t[0] == c})
-        assert sorted(got[c]) == list(range(len(got[c])))
+        assert sorted(got[c]) == list(range(-(-len(s) // part)))
     assert chat_format.format_chats(spark.createDataFrame([], CHATS)).count() == 0
+
+
+def test_chat_of_far_numbers_is_one_row(spark, tmp_path):
+    """Turn numbers on both sides of a block's edge, null ones and more turns than a part, against the SQL."""
+    import duckdb
+
+    from ledgerlens.llm.chat_format import OP6_SQL, op6_chat_format
+
+    turns = [(1, t, "user", f"a{t}") for t in (0, 1023, 1024, 2048)] + [(2, None, "user", "n"), (2, 0, "user", "z"), (3, -5, "user", "m"), (3, 10**12, "user", "p")]
+    turns += [(4, t * 3, "user", f"long {t}") for t in range(2500)] + [(5, t, "user", f"long {t}") for t in range(1400)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, op6_chat_format(spark, str(tmp_path)).select("conv_id", "n_turns", "part", "rendered").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT conv_id, n_turns, part, rendered FROM ({OP6_SQL})").fetchall())
+    assert [g[:3] for g in got] == [(1, 4, 0), (2, 2, 0), (3, 2, 0), (4, 2500, 0), (4, 2500, 1), (4, 2500, 2)]
+
+
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_join_unique_deals_hot_and_null_keys_apart(spark, monkeypatch, hot):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm import skew
+
+    monkeypatch.setattr(skew, "HOT", hot)
+    rows = [(i, "a", 1) for i in range(50)] + [(50 + i, "b", i % 3) for i in range(6)] + [(60, None, 1), (61, "a", None), (62, "z", 1)]
+    side = spark.createDataFrame([("a", 1, 50, "hot"), ("b", 0, 2, "zero"), ("b", 1, 2, None)], "k string, l int, n int, v string")
+    got = skew.join_unique(spark.createDataFrame(rows, "id int, k string, l int"), side, ["k", "l"], "n", 59, F.col("id"))
+    assert got.columns == ["id", "k", "l", "n", "v"]
+    want = {("a", 1): (50, "hot"), ("b", 0): (2, "zero"), ("b", 1): (2, None)}
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(*r, *want.get(r[1:], (None, None))) for r in rows]
