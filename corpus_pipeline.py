@@ -6,7 +6,7 @@ and read again; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.language_id import held_out, identify
@@ -23,9 +23,17 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies (five words, 0.8)."""
+    """One document, that of the least doc_id, of each group of near copies (five words, 0.8).
+
+    Rows that share a doc_id are one document; the row of least hash over all
+    columns stands for it.  Rows without a doc_id are linked with nothing: one of
+    each distinct row stays.
+    """
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept, docs.doc_id == kept["_kept_id"], "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    named = rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    return named.unionByName(docs.filter("doc_id IS NULL").distinct())
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +41,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = substring_dedup(docs)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    length = F.when(changed, F.length("kept_text").cast("long"))
+    new = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = length.otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*(new.get(c, F.col(c)) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
