@@ -134,10 +134,49 @@ UNIQUE = {"correction_ledger", "crown_jewel_backup_manifest", "crown_jewel_store
 INNER = {"source_locus_jsonl": ("parent_locus_id", "locus_id"), "migration_ledger": ("rollback_of_event_id", "event_id"), "field_review_state": ("superseded_by", "field_key"), "source_adapter": ("after_step_id", "step_id")}
 
 
+#: Columns that the rules of a contract read, besides its key; absent ones are null.
+FIELDS = {
+    "candidate_feedback_plan": "score rank kind reason",
+    "canonical_graph_model_outline": "table_name sidecar requires_sidecar",
+    "correction_ledger": "action source_object_refs result_object_refs rationale",
+    "crown_jewel_backup_manifest": "sha256",
+    "crown_jewel_store_manifest": "path",
+    "crown_jewel_store_policy": "retain_days",
+    "evidence_locator": "locator_kind span_start span_end label",
+    "field_review_state": "review_state superseded_by",
+    "gather_candidate_batch": "candidate_type text",
+    "jsonl": "line",
+    "knowledge_tree_build_manifest": "sha256",
+    "knowledge_tree_export": "review_state public_summary",
+    "legacy_subject_substrate": "present",
+    "llm_prompt_fixture": "text",
+    "local_search_projection": "title review_state profile publication_state indexed_text",
+    "local_search_results": "rank result_class snippet",
+    "migration_ledger": "migration_type rollback_of_event_id",
+    "public_knowledge_tree_presentation": "title route",
+    "public_safekeeping_manifest": "sha256 visibility",
+    "release_readiness": "status",
+    "scheduler_failure_state_reconciliation": "state failure_streak",
+    "source_acquisition_execution": "content_hash status byte_count",
+    "source_adapter": "input_family rights_posture",
+    "source_adapter_handoff": "locator",
+    "source_locus_jsonl": "locus_type review_state productivity_score",
+    "static_knowledge_tree_output": "content",
+    "static_page_family_query_contract": "query visibility",
+    "subject_manifest": "label",
+    "topic_workspace_registry": "lifecycle_state schedule_posture workspace_root",
+}
+TYPES = {
+    "score": "double", "rank": "int", "requires_sidecar": "boolean", "source_object_refs": "array<string>", "result_object_refs": "array<string>", "retain_days": "int", "span_start": "long",
+    "span_end": "long", "present": "boolean", "failure_streak": "int", "byte_count": "long", "sequence": "int", "productivity_score": "double",
+}
+
+
 def validate(artifact: str, rows: DataFrame) -> DataFrame:
     """(key, code) of everything that an artifact's rows break; a rule on a column that is absent is broken by every row."""
     key, rules = contracts()[artifact]
-    needed = {c: F.lit(None).cast("string") for c in _columns(artifact) if c not in rows.columns}
+    fields = FIELDS.get(artifact, "").split() + ([INNER[artifact][0]] if artifact in INNER else [])
+    needed = {c: F.lit(None).cast(TYPES.get(c, "string")) for c in [key, *fields] if c not in rows.columns}
     full = rows.withColumns(needed) if needed else rows
     found = check_rules(full, key, rules)
     if artifact in UNIQUE:
@@ -148,18 +187,6 @@ def validate(artifact: str, rows: DataFrame) -> DataFrame:
     return found
 
 
-def _columns(artifact: str) -> list[str]:
-    text = {
-        "knowledge_tree_export": ["public_summary", "review_state"],
-        "field_review_state": ["superseded_by"],
-        "migration_ledger": ["rollback_of_event_id", "migration_type"],
-        "source_locus_jsonl": ["parent_locus_id", "locus_type", "review_state"],
-        "source_adapter": ["after_step_id", "rights_posture"],
-        "topic_workspace_registry": ["workspace_root"],
-    }
-    return text.get(artifact, [])
-
-
 def report(artifact: str, rows: DataFrame) -> DataFrame:
     """(artifact, inspected, rejected, status, codes) of a validation."""
     found = validate(artifact, rows)
