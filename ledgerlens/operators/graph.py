@@ -67,20 +67,25 @@ def component_sizes(labels: DataFrame, top: int = 10) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(top)
 
 
-def lineage(edges: DataFrame, seeds: DataFrame, depth: int = 20) -> DataFrame:
-    """Every path from the seeds along edges (src, dst): (seed, node, depth, chain), none through a node twice."""
-    edges.createOrReplaceTempView("_lineage_edges")
-    seeds.createOrReplaceTempView("_lineage_seeds")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(seed, node, depth, chain) AS (
-          SELECT node, node, 0, concat('|', node, '|') FROM _lineage_seeds
-          UNION ALL
-          SELECT w.seed, e.dst, w.depth + 1, concat(w.chain, e.dst, '|')
-          FROM walk w JOIN _lineage_edges e ON e.src = w.node
-          WHERE instr(w.chain, concat('|', e.dst, '|')) = 0 AND w.depth < {depth}
-        )
-        SELECT seed, node, depth, chain FROM walk
-    """)
+def lineage(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """Every path from the seeds along edges (src, dst): (seed, node, depth, chain), none through a node twice.
+
+    Paths grow by one edge a round, from the ends that the last round reached
+    (a checkpoint each), until none grows or has ``depth`` edges.
+    """
+    use_checkpoint_dir(edges.sparkSession)
+    steps = edges.select(F.col("src").alias("node"), "dst")
+    reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.concat(F.lit("|"), "node", F.lit("|")).alias("chain")).checkpoint()
+    found = reached
+    while depth is None or depth > 0:
+        unseen = ~F.contains("chain", F.concat(F.lit("|"), "dst", F.lit("|")))
+        grown = reached.join(steps, "node").filter(unseen).select("seed", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("chain", "dst", F.lit("|")).alias("chain"))
+        reached = grown.checkpoint()
+        if reached.isEmpty():
+            break
+        found = found.unionByName(reached)
+        depth = None if depth is None else depth - 1
+    return found
 
 
 def inverse_edges(edges: DataFrame, predicates: DataFrame) -> DataFrame:
