@@ -46,7 +46,9 @@ def route(candidates: DataFrame) -> dict[str, DataFrame]:
         "work": family("work").withColumns({"work_key_v1": key, "title": first_nonblank(field("title"), F.substring_index(F.trim("text"), "\n", 1)), "work_type": field("work_type"), "rights_posture": field("rights_posture"), "first_seen_at": F.col("created_at"), "last_seen_at": F.col("created_at")}),
         "source_access": family("source_access").withColumns({"source_lead_id": F.coalesce(field("source_lead_id"), lead), "original_locator": field("original_locator"), "canonical_url": field("canonical_url"), "citation_hint": first_nonblank(field("citation_hint"), F.col("text")), "access_class": field("access_class"), "first_seen_at": F.col("created_at"), "last_seen_at": F.col("created_at")}),
         "source_claim": family("source_claim").withColumns({"source_claim_key_v1": identity.claim_key(F.col("workspace_id"), field("claim_type"), field("about_object_ref"), claim_text), "about_object_ref": field("about_object_ref"), "claim_text": claim_text, "claim_type": field("claim_type"), "is_open_question": F.coalesce(claim_text.contains("?"), F.lit(False)) | (F.col("facet") == "open_questions")}),
-        "extraction_detected_entity": family("extraction_detected_entity").withColumns({"entity_label": first_nonblank(field("entity_label"), F.col("text")), "normalized_label": label_ascii(first_nonblank(field("entity_label"), F.col("text"))), "entity_type": field("entity_type")}),
+        "extraction_detected_entity": family("extraction_detected_entity").withColumns({"entity_label": first_nonblank(field("entity_label"), F.col("text")), "normalized_label": label_ascii(first_nonblank(field("entity_label"), F.col("text"))), "entity_type": field("entity_type"),
+            "extraction_id": field("extraction_id").try_cast("bigint"), "capture_event_id": field("capture_event_id").try_cast("bigint"),
+            "source_span_start": field("source_span_start").try_cast("int"), "source_span_end": field("source_span_end").try_cast("int")}),
         "source_relationship": family("source_relationship").withColumns({"from_object_ref": field("from_object_ref"), "to_object_ref": field("to_object_ref"), "predicate": field("predicate"), "target_label": field("target_label"), "evidence_note": F.coalesce(field("evidence_note"), none)}),
     }
 
@@ -55,7 +57,7 @@ KEYS = {
     "work": ("work_id", ["work_key_v1"], WORK_RULES),
     "source_access": ("source_access_id", ["source_lead_id", "original_locator", "workspace_id"], {"last_seen_at": "latest", "first_seen_at": "earliest", "review_state": "review_state", **ENVELOPE}),
     "source_claim": ("source_claim_id", ["source_claim_key_v1"], {"claim_text": "text", "review_state": "review_state", **ENVELOPE}),
-    "extraction_detected_entity": ("detected_entity_id", ["normalized_label", "entity_type", "workspace_id"], {"review_state": "review_state", **ENVELOPE}),
+    "extraction_detected_entity": ("detected_entity_id", ["provenance_event_ref", *schemas.IDENTITY["extraction_detected_entity"], "workspace_id"], {"review_state": "review_state", **ENVELOPE}),
     "source_relationship": ("source_relationship_id", ["from_object_ref", "to_object_ref", "predicate", "target_label", "evidence_note", "workspace_id"], {"review_state": "review_state", **ENVELOPE}),
 }
 

@@ -159,3 +159,42 @@ def test_identity_of_locators_and_lineage(spark):
     assert [tuple(r) for r in conflicts.collect()] == [("doi", "10.1234/x")]
     captures, done = execution_rows(spark.createDataFrame([("c", "t", "m", "h", 3, "text", "w", None, None, None, None, None, None)], "capture_id string, captured_at string, capture_method string, content_hash string, byte_count long, content_type string, workspace_id string, extraction_id string, extraction_method string, input_hash string, output_hash string, byte_count_out long, extraction_status string"))
     assert captures.count() == 1 and done.count() == 0
+
+
+def test_every_contract_takes_rows_of_its_key_alone(spark):
+    from ledgerlens.plans import audits
+
+    assert set(audits.FIELDS) == set(audits.contracts())
+    for artifact, (key, rules) in audits.contracts().items():
+        rows = spark.createDataFrame([(None,)], f"{key} {audits.TYPES.get(key, 'string')}")
+        codes = {r.code for r in audits.validate(artifact, rows).collect()}
+        assert codes and codes <= {*rules, "DUPLICATE_KEY"}, artifact
+        assert audits.report(artifact, rows.limit(0)).first().status == "pass", artifact
+
+
+def test_lineage_of_any_length(spark):
+    from ledgerlens.operators.graph import lineage
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)] + [("n30", "n0"), ("n2", "x")], "src string, dst string")
+    seeds = spark.createDataFrame([("n0",)], "node string")
+    first = lineage(edges, seeds)
+    other = lineage(edges.filter("src = 'n2'"), spark.createDataFrame([("n2",)], "node string"))
+    assert {(r.node, r.depth) for r in first.collect()} == {(f"n{i}", i) for i in range(31)} | {("x", 3)}
+    assert {(r.node, r.depth) for r in other.collect()} == {("n2", 0), ("n3", 1), ("x", 1)}
+    assert {r.depth for r in lineage(edges, seeds, depth=4).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_equal_labels_of_two_extractions_are_two_entities(spark):
+    import json
+
+    from ledgerlens.plans import ingest
+
+    rows = [(f"c{i}", "entity", json.dumps({"entity_label": "Ada", "entity_type": "person", "extraction_id": e, "capture_event_id": 7, "source_span_start": s, "source_span_end": s + 3})) for i, (e, s) in enumerate([(1, 0), (2, 0), (1, 9), (1, 0)])]
+    assert ingest.KEYS["extraction_detected_entity"][1][1:5] == ["extraction_id", "capture_event_id", "normalized_label", "entity_type"]
+    columns = "candidate_id string, candidate_type string, payload_json string"
+    frame = spark.createDataFrame(rows, columns)
+    for name in ("run_id", "facet", "subject_id", "review_status", "text", "created_at"):
+        frame = frame.selectExpr("*", f"'x' AS {name}")
+    routed = ingest.route(frame.selectExpr("*", "1 AS sequence", "'extraction_detected_entity' AS family"))["extraction_detected_entity"]
+    key = ingest.KEYS["extraction_detected_entity"][1]
+    assert routed.count() == 4 and routed.select(*key).distinct().count() == 3
