@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions.states import keeps_envelope, merge_review_state
 from ..functions.values import instant
 from ..schemas import TABLES
@@ -29,8 +31,8 @@ RULES: dict[str, Rule] = {
     "first": lambda old, new, keep: F.coalesce(old, new),
     "envelope": lambda old, new, keep: F.when(keep, old).otherwise(F.coalesce(new, old)),
     "review_state": lambda old, new, keep: merge_review_state(old, new),
-    "earliest": lambda old, new, keep: F.when(new.isNull() | (instant(old) <= instant(new)), old).otherwise(new),
-    "latest": lambda old, new, keep: F.when(new.isNull() | (instant(old) >= instant(new)), old).otherwise(new),
+    "earliest": lambda old, new, keep: F.when(instant(new).isNull() | (instant(old) <= instant(new)), old).otherwise(new),
+    "latest": lambda old, new, keep: F.when(instant(new).isNull() | (instant(old) >= instant(new)), old).otherwise(new),
     "max": lambda old, new, keep: F.greatest(old, new),
 }
 
@@ -41,28 +43,77 @@ WORK_RULES = {"work_type": "text", "title": "text", "rights_posture": "text", "r
 def merge(old: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[str, str], arrival: str | None = None) -> DataFrame:
     """``old`` with ``new`` merged in by a null-safe key; columns without a rule are replaced.
 
-    Several new rows of one key fold in, in the order of ``arrival``, as if they
-    came one after another: round n merges the n-th row of every key, so the
-    rounds are as many as the most rows that a key has.
+    Keys of ``old`` are unique.  Several new rows of one key fold in, in the order
+    of ``arrival``, as if they came one after another: a running window finds the
+    state that each row met, one aggregation folds every column, one join merges.
     """
-    columns = old.columns
-    rounds = 1
-    staged = new
-    if arrival:
-        staged = new.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(arrival)))
-        rounds = staged.agg(F.max("_nth")).first()[0] or 0
-    out = old
-    for n in range(1, rounds + 1):
-        part = staged.filter(F.col("_nth") == n).drop("_nth") if arrival else staged
-        out = _merge_once(out, part, key, rules).select(*columns)
-    return out
+    if arrival is None:
+        return _merge_once(old, new, key, rules)
+    folded = _fold(old, new, key, rules, arrival)
+    both = old.withColumn("_old", F.lit(True)).alias("a").join(folded.alias("b"), _same(key), "full_outer")
+    is_old, is_new = F.col("_old").isNotNull(), F.col("b._new").isNotNull()
+
+    def merged(c: str) -> Column:
+        if c in key:
+            return F.when(is_old, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+        if c not in new.columns:
+            return F.col(f"a.{c}")
+        was = F.when(is_old, F.col(f"a.{c}")).otherwise(F.col(f"b._base.{c}"))
+        return F.when(is_new, RULES[rules.get(c, "replace")](was, F.col(f"b._rest.{c}"), F.lit(False))).otherwise(was)
+
+    return both.select(*(merged(c).alias(c) for c in old.columns))
+
+
+def _same(key: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key))
+
+
+def _fold(old: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[str, str], arrival: str) -> DataFrame:
+    """A row for each key of ``new``: ``_base``, its first row where the table has none, and ``_rest``, all others folded."""
+    columns = [c for c in old.columns if c in new.columns and c not in key]
+    stated = "review_state" in columns
+    met = F.col("review_state").alias("_met") if stated else F.lit(None).cast("string").alias("_met")
+    had = old.select(*key, met, F.lit(True).alias("_had")).alias("b")
+    rows = new.alias("a").join(had, _same(key), "left").select("a.*", "_met", "_had")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(arrival)))
+    before = Window.partitionBy(*key).orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    decided = F.when(~F.col("review_state").isin(*vocab.LEADS), F.col("review_state")) if stated else F.lit(None).cast("string")
+    met = F.coalesce(F.last(decided, ignorenulls=True).over(before), F.col("_met"))
+    keep = keeps_envelope(met, F.col("review_state")) if stated else F.lit(False)
+    rows = rows.withColumn("_keep", keep).withColumn("_rest", F.col("_had").isNotNull() | (F.col("_nth") > 1))
+
+    def last(value: Column, ok: Column | None = None) -> Column:
+        counts = F.col("_rest") & value.isNotNull() & (F.lit(True) if ok is None else ok)
+        return F.max_by(value, F.when(counts, F.col("_nth")))
+
+    def folded(c: str) -> Column:
+        value, rule, nth = F.col(c), rules.get(c, "replace"), F.col("_nth")
+        at = F.when(F.col("_rest"), instant(value)) if rule in ("earliest", "latest") else None
+        match rule:
+            case "text":
+                return last(blank_to_null(value))
+            case "first":
+                return F.min_by(value, F.when(F.col("_rest") & value.isNotNull(), nth))
+            case "envelope":
+                return last(value, ~F.col("_keep"))
+            case "review_state":
+                return F.coalesce(last(decided), last(value))
+            case "earliest":
+                return F.min_by(value, F.when(at.isNotNull(), F.struct(at, nth)))
+            case "latest":
+                return F.max_by(value, F.when(at.isNotNull(), F.struct(at, -nth)))
+            case "max":
+                return F.max(F.when(F.col("_rest"), value))
+        return last(value)
+
+    base = F.first(F.when(~F.col("_rest"), F.struct(*columns)), ignorenulls=True)
+    return rows.groupBy(*key).agg(F.lit(True).alias("_new"), base.alias("_base"), F.struct(*(folded(c).alias(c) for c in columns)).alias("_rest"))
 
 
 def _merge_once(old: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[str, str]) -> DataFrame:
     a = old.withColumn("_old", F.lit(True)).alias("a")
     b = new.withColumn("_new", F.lit(True)).alias("b")
-    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key))
-    both = a.join(b, same, "full_outer")
+    both = a.join(b, _same(key), "full_outer")
     is_old, is_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     keep = keeps_envelope(F.col("a.review_state"), F.col("b.review_state")) if "review_state" in old.columns and "review_state" in new.columns else F.lit(False)
 
@@ -125,30 +176,46 @@ def review_decisions(targets: DataFrame, decisions: DataFrame, key: str) -> tupl
     return updated, history
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed a table since this one read it."""
+
+
 class Snapshot:
-    """A store of Parquet tables: each commit writes new versions and then one manifest that names them.
+    """A store of Parquet tables: each commit writes new versions and then the next numbered manifest that names them.
 
     Readers see the manifest before or after a commit, never between; old
-    versions stay readable.  Paths go through Hadoop's file systems, so any
-    shared store will do.
+    versions stay readable.  A manifest is put in place by a rename that never
+    replaces a file, so of two writers one is first: the other goes on with the
+    next number, or gets ``CommitConflict`` where its tables were built on
+    versions that are no longer the newest.  Paths go through Hadoop's file
+    systems; the store needs a rename that is atomic.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
+        self._read: dict[str, str | None] = {}
 
     def _fs(self):
         root = self._jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        file = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
-        if not self._fs().exists(file):
+    def _newest(self) -> int:
+        """The number of the newest manifest, 0 before the first."""
+        found = self._fs().globStatus(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-*.json"))
+        return max((int(f.getPath().getName()[9:-5]) for f in found or ()), default=0)
+
+    def _manifest(self, number: int) -> dict[str, str]:
+        if not number:
             return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest-{number:012d}.json").collect()))
+
+    def manifest(self) -> dict[str, str]:
+        return self._manifest(self._newest())
 
     def table(self, name: str) -> DataFrame:
-        version = self.manifest().get(name)
+        """The newest version; a later commit of the table holds only while it still is the newest."""
+        version = self._read[name] = self.manifest().get(name)
         schema = TABLES.get(name)
         if version is None:
             if schema is None:
@@ -161,14 +228,33 @@ class Snapshot:
         version = f"v={uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{name}/{version}")
-        manifest = self.manifest() | dict.fromkeys(tables, version)
+        while True:
+            number = self._newest()
+            now = self._manifest(number)
+            stale = sorted(t for t in tables if now.get(t) != self._read.get(t, now.get(t)))
+            if stale:
+                raise CommitConflict(f"committed by another writer since they were read: {', '.join(stale)}")
+            manifest = now | dict.fromkeys(tables, version)
+            if self._publish(number + 1, manifest, version):
+                self._read |= dict.fromkeys(tables, version)
+                return manifest
+
+    def _publish(self, number: int, manifest: dict[str, str], version: str) -> bool:
+        """Put the manifest in place; False where another writer took its number."""
         fs, Path = self._fs(), self._jvm.org.apache.hadoop.fs.Path
-        staged, final = Path(f"{self.path}/manifest.{version}"), Path(f"{self.path}/manifest.json")
+        staged, final = Path(f"{self.path}/staged.{version}"), Path(f"{self.path}/manifest-{number:012d}.json")
         stream = fs.create(staged, True)
         stream.write(json.dumps(manifest, sort_keys=True).encode())
         stream.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(staged, final, overwrite)
-        return manifest
+        try:
+            context.rename(staged, final, self._no_options())
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+                raise
+            fs.delete(staged, False)
+            return False
+        return True
+
+    def _no_options(self):
+        return self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)

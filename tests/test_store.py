@@ -30,6 +30,31 @@ def test_merge_folds_arrivals_in_order(spark):
     assert (got[None].title, got[None].confidence_score) == ("N2", 0.2)
 
 
+def test_merge_of_many_arrivals_is_merges_one_by_one(spark):
+    """Random states, blanks, nulls and ties: one pass gives what a merge for each arrival gives."""
+    import random
+
+    from ledgerlens.operators.upsert import WORK_RULES, merge
+
+    r = random.Random(5)
+    states = ["proposed", "needs_review", "accepted", "reviewed", "rejected", "superseded", None]
+    stamps = ["2024-01-01T00:00:00Z", "2024-01-01T01:00:00+01:00", "2024-03-01T00:00:00Z", "no date", None]
+    schema = "k string, title string, review_state string, confidence_score double, publication_state string, first_seen_at string, last_seen_at string, accepted_for_citation int, note string"
+
+    def row(k):
+        return (k, r.choice(["", " ", None, "T1 ", "T2"]), r.choice(states), r.choice([None, 0.1, 0.5, 0.9]), r.choice([None, "a", "b"]), r.choice(stamps), r.choice(stamps), r.choice([None, 0, 1]), r.choice([None, "x", "y"]))
+
+    keys = [f"k{i}" for i in range(60)] + [None]
+    old = spark.createDataFrame([row(k) for k in keys[::2]], schema)
+    new = [(n, *row(k)) for k in keys for n in range(r.randrange(6))]
+    got = merge(old, spark.createDataFrame(new, "at int, " + schema), ["k"], WORK_RULES, arrival="at")
+    want = old
+    for n in range(6):
+        want = merge(want, spark.createDataFrame([x[1:] for x in new if x[0] == n], schema), ["k"], WORK_RULES)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
 def test_merge_twice_is_once(spark):
     from ledgerlens.operators.fingerprint import fingerprint
     from ledgerlens.operators.upsert import WORK_RULES, merge
@@ -42,6 +67,27 @@ def test_merge_twice_is_once(spark):
     assert once.count() == 30
 
 
+def test_snapshot_keeps_both_writers_or_refuses_one(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ledgerlens.operators.upsert import CommitConflict, Snapshot
+
+    path = f"file://{tmp_path}/store"
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    Snapshot(spark, path).commit({"t": rows(0)})
+    names = [f"t{i}" for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda n: Snapshot(spark, path).commit({n: rows(1, 2)}), names))
+    assert set(Snapshot(spark, path).manifest()) == {"t", *names}
+    first, second = Snapshot(spark, path), Snapshot(spark, path)
+    a, b = first.table("t").union(rows(1)), second.table("t").union(rows(2))
+    first.commit({"t": a})
+    with pytest.raises(CommitConflict, match="t"):
+        second.commit({"t": b})
+    second.commit({"t": second.table("t").union(rows(2))})
+    assert sorted(x for (x,) in Snapshot(spark, path).table("t").collect()) == [0, 1, 2]
+
+
 def test_snapshot_commits_all_tables_or_none(spark, tmp_path):
     from ledgerlens.operators.upsert import Snapshot
     from ledgerlens.schemas import conform
