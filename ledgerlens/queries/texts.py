@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import states, text, values
 from ..operators import scan, search
+from ..session import use_checkpoint_dir
 from .views import WORKS, read, works
 
 
@@ -59,6 +62,22 @@ f AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (t0 > 0) AS d0, count
 hits AS (SELECT doc_id, -greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / av)) - greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / av)) AS bm25 FROM c, f WHERE t0 > 0 AND t1 > 0)"""
 
 
+def _index(spark, d):
+    use_checkpoint_dir(spark)
+    rows = _projection(spark, d)
+    return search.Index(spark, f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}").build(rows), rows
+
+
+def indexed_topk(spark, d):
+    """The page of bm25_topk from a stored index."""
+    index, rows = _index(spark, d)
+    return index.search(rows, "the of", "source_work").select("object_ref", "object_type", "result_class", "title", F.round("score", 6).alias("score"))
+
+
+def indexed_match_count(spark, d):
+    return _index(spark, d)[0].match_count("der und", "all")
+
+
 def snippets(spark, d):
     return read(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), ["the", "und"]).alias("snippet"))
 
@@ -162,7 +181,7 @@ def confidence_bands(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_projection, search_exclusions, postings_df, bm25_scores, bm25_topk, search_match_count, snippets, identifier_validity, url_host_counts, first_urls, leak_findings, leak_findings_allowed,
+        search_projection, search_exclusions, postings_df, bm25_scores, bm25_topk, search_match_count, indexed_topk, indexed_match_count, snippets, identifier_validity, url_host_counts, first_urls, leak_findings, leak_findings_allowed,
         hazard_flags, text_profile, redacted_texts, chunk_text, question_quality, scalar_texts, scalar_values, confidence_bands,
     )
 }
@@ -212,3 +231,4 @@ SELECT *, array_to_string(list_filter([CASE WHEN duplicate_block_count > 0 THEN
   round(least(1.0, (p_size + 10) / greatest(1, 10 * (p_partkey % 4))), 4) AS productivity FROM (SELECT *, round((p_retailprice - 905) / 10, 4) AS b FROM part)""",
     "confidence_bands": f"WITH {WORKS} SELECT CASE WHEN confidence_score < 0.25 THEN 'very_low' WHEN confidence_score < 0.5 THEN 'low' WHEN confidence_score < 0.75 THEN 'medium' WHEN confidence_score < 0.9 THEN 'high' ELSE 'very_high' END AS band, count(*) AS n FROM works GROUP BY 1",
 }
+ORACLE |= {"indexed_topk": ORACLE["bm25_topk"], "indexed_match_count": ORACLE["search_match_count"]}
