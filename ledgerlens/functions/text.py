@@ -49,6 +49,12 @@ def label_norm(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).casefold())
 
 
+def label(column: Column) -> Column:
+    """The label form that keys are made of: ASCII texts stay in the JVM, only others go through ``label_norm``."""
+    plain = ~column.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, F.lower(F.trim(F.regexp_replace(column, r"[\s\x1c-\x1f]+", " ")))).otherwise(label_norm(F.when(~plain, column)))
+
+
 def slug(column: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), "[^a-z0-9]+", "-"), "(^-+)|(-+$)", "")
 

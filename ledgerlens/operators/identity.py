@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.states import first_nonblank, is_searchable
-from ..functions.text import label_ascii
+from ..functions.text import label
 
 
 def work_key(explicit: Column, scheme: Column, value: Column, title: Column, work_type: Column, source: Column, year: Column, text: Column) -> Column:
     """The identity of a work: its key, an identifier, title with type and source, title and year, title, the first line."""
-    named = label_ascii(title)
+    named = label(title)
     has = lambda c: F.coalesce(F.trim(c.cast("string")) != "", F.lit(False))
     part = lambda *cs: F.concat_ws("|", *cs)
     return F.coalesce(
@@ -23,12 +23,12 @@ def work_key(explicit: Column, scheme: Column, value: Column, title: Column, wor
         F.when(has(title) & has(work_type) & has(source), part(F.lit("source"), named, work_type, source)),
         F.when(has(title) & has(year), part(F.lit("dated"), named, year.cast("string"))),
         F.when(has(title), part(F.lit("title"), named)),
-        F.when(has(text), part(F.lit("line"), label_ascii(F.substring_index(F.trim(text), "\n", 1)))),
+        F.when(has(text), part(F.lit("line"), label(F.substring_index(F.trim(text), "\n", 1)))),
     )
 
 
 def claim_key(scope: Column, claim_type: Column, about: Column, text: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.coalesce(scope, F.lit("")), F.coalesce(claim_type, F.lit("")), F.coalesce(about, F.lit("")), label_ascii(F.coalesce(text, F.lit("")))), 256)
+    return F.sha2(F.concat_ws("\x1f", F.coalesce(scope, F.lit("")), F.coalesce(claim_type, F.lit("")), F.coalesce(about, F.lit("")), label(F.coalesce(text, F.lit("")))), 256)
 
 
 def keep_first(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.states import first_nonblank
-from ..functions.text import identifier, label_ascii
+from ..functions.text import identifier, label
 from ..functions.values import content_id, year
 from ..operators import identity
 from ..operators.upsert import ENVELOPE, WORK_RULES, Snapshot, assign_ids, insert_new, merge
@@ -46,7 +46,7 @@ def route(candidates: DataFrame) -> dict[str, DataFrame]:
         "work": family("work").withColumns({"work_key_v1": key, "title": first_nonblank(field("title"), F.substring_index(F.trim("text"), "\n", 1)), "work_type": field("work_type"), "rights_posture": field("rights_posture"), "first_seen_at": F.col("created_at"), "last_seen_at": F.col("created_at")}),
         "source_access": family("source_access").withColumns({"source_lead_id": F.coalesce(field("source_lead_id"), lead), "original_locator": field("original_locator"), "canonical_url": field("canonical_url"), "citation_hint": first_nonblank(field("citation_hint"), F.col("text")), "access_class": field("access_class"), "first_seen_at": F.col("created_at"), "last_seen_at": F.col("created_at")}),
         "source_claim": family("source_claim").withColumns({"source_claim_key_v1": identity.claim_key(F.col("workspace_id"), field("claim_type"), field("about_object_ref"), claim_text), "about_object_ref": field("about_object_ref"), "claim_text": claim_text, "claim_type": field("claim_type"), "is_open_question": F.coalesce(claim_text.contains("?"), F.lit(False)) | (F.col("facet") == "open_questions")}),
-        "extraction_detected_entity": family("extraction_detected_entity").withColumns({"entity_label": first_nonblank(field("entity_label"), F.col("text")), "normalized_label": label_ascii(first_nonblank(field("entity_label"), F.col("text"))), "entity_type": field("entity_type"),
+        "extraction_detected_entity": family("extraction_detected_entity").withColumns({"entity_label": first_nonblank(field("entity_label"), F.col("text")), "normalized_label": label(first_nonblank(field("entity_label"), F.col("text"))), "entity_type": field("entity_type"),
             "extraction_id": field("extraction_id").try_cast("bigint"), "capture_event_id": field("capture_event_id").try_cast("bigint"),
             "source_span_start": field("source_span_start").try_cast("int"), "source_span_end": field("source_span_end").try_cast("int")}),
         "source_relationship": family("source_relationship").withColumns({"from_object_ref": field("from_object_ref"), "to_object_ref": field("to_object_ref"), "predicate": field("predicate"), "target_label": field("target_label"), "evidence_note": F.coalesce(field("evidence_note"), none)}),
@@ -161,7 +161,7 @@ def contradiction_edges(pairs: DataFrame, namespace: str = "source_claim") -> Da
 def backfill_legacy(leads: DataFrame) -> dict[str, DataFrame]:
     """Works and accesses of old lead rows (lead_id, title, locator, url, workspace_id)."""
     titled = leads.filter(F.coalesce(F.trim("title") != "", F.lit(False)))
-    works = titled.select(F.concat_ws("|", F.lit("title"), label_ascii(F.col("title"))).alias("work_key_v1"), "title", "workspace_id", F.lit("needs_review").alias("review_state")).dropDuplicates(["work_key_v1"])
+    works = titled.select(F.concat_ws("|", F.lit("title"), label(F.col("title"))).alias("work_key_v1"), "title", "workspace_id", F.lit("needs_review").alias("review_state")).dropDuplicates(["work_key_v1"])
     access = leads.select(F.col("lead_id").alias("source_lead_id"), F.col("locator").alias("original_locator"), F.col("url").alias("canonical_url"), "workspace_id", F.lit("needs_review").alias("review_state"))
     return {"work": schemas.conform(works, "work"), "source_access": schemas.conform(access, "source_access")}
 

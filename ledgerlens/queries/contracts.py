@@ -49,6 +49,26 @@ def store_cycle_yields(spark, d):
     return loop.cycle_yields(tables, loop.gather_events(tables["provenance_event"])).select("event_key", "subject", "facet", "cycle_depth", "work", "source_claim", "source_relationship", "extraction_detected_entity", "accepted_record", "reviewable_record", "useful")
 
 
+def store_loop_health(spark, d):
+    """Health of every customer's newest orders: relationship lines that were not accepted contradict, customers are decisions."""
+    tables = _store(spark, d)
+    tables["source_relationship"] = tables["source_relationship"].withColumn("predicate", F.when(F.col("review_state") == "accepted", "mentions").otherwise("contradicts"))
+    tables["source_claim"] = tables["source_claim"].withColumn("created_at", F.lit("2001-12-31T00:00:00Z"))
+    decisions = read(spark, d, "customer").select(F.lit("review_decision_accept").alias("event_type"), F.lit("2001-12-31T00:00:00Z").alias("event_timestamp"))
+    tables["provenance_event"] = tables["provenance_event"].unionByName(schemas.conform(decisions, "provenance_event"))
+    return loop.loop_health(tables, F.lit("2002-01-10 00:00:00").cast("timestamp"))
+
+
+STORE_HEALTH = f"""WITH {FAMILY_ROWS}, y AS (SELECT o_orderkey, o_custkey, o_orderdate, count(*) FILTER (review_state = 'needs_review') AS reviewable, count(*) FILTER (family = 'source_claim') AS claims,
+    count(*) FILTER (family = 'source_relationship' AND review_state <> 'accepted') AS bad, count(*) FILTER (family = 'source_relationship' AND review_state = 'needs_review') AS undecided,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders LEFT JOIN family_rows ON event_key = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate QUALIFY rn <= 5),
+g AS (SELECT o_custkey, count(*) AS cycles, CAST(sum(bad) AS BIGINT) AS contradictions, CAST(sum(undecided) AS BIGINT) AS unresolved, sum(claims) AS claims, sum(reviewable) AS reviewable, max_by(reviewable, rn) AS a, min_by(reviewable, rn) AS b FROM y GROUP BY o_custkey),
+h AS (SELECT *, round(contradictions / nullif(claims, 0), 4) AS rate, round((SELECT count(*) FROM customer) / nullif(reviewable, 0), 4) AS coverage, (SELECT count(*) FROM family_rows WHERE family = 'source_claim' AND review_state = 'needs_review') AS backlog,
+    CASE WHEN cycles < 2 THEN 'insufficient_data' WHEN b > a THEN 'rising' WHEN b < a THEN 'declining' ELSE 'flat' END AS trend FROM g)
+SELECT CAST(o_custkey AS VARCHAR) AS subject, cycles, contradictions, unresolved, rate AS contradictions_per_claim, coverage AS resolution_coverage, backlog, trend,
+  CASE WHEN cycles < 2 THEN 'insufficient_data' WHEN coalesce(rate, 0) > 0.25 THEN 'contradiction_spike' WHEN coalesce(coverage, 1) < 0.5 AND backlog > 25 THEN 'review_lagging' WHEN backlog > 25 THEN 'accumulating' WHEN trend = 'declining' THEN 'stalled' ELSE 'healthy' END AS status FROM h"""
+
+
 def store_population(spark, d):
     return prj.population({**_store(spark, d), "topic_extension": schemas.conform(read(spark, d, "region").limit(0), "topic_extension")})
 
@@ -181,13 +201,14 @@ def contract_report(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        store_saturation, store_cycle_yields, store_population, latest_events, access_counts_by_event, allowed_pages, export_blocks, handoff_rows, selection_records, bounded_claims, workspace_decisions, artifact_overview,
+        store_saturation, store_cycle_yields, store_loop_health, store_population, latest_events, access_counts_by_event, allowed_pages, export_blocks, handoff_rows, selection_records, bounded_claims, workspace_decisions, artifact_overview,
         entity_workspaces, reconciliation_moves, locus_defaults, structured_counterparts, backup_differences, intake_stages, bibliography, closure_of_store, contract_report,
     )
 }
 
 ORACLE = {
     "store_saturation": STORE_SATURATION,
+    "store_loop_health": STORE_HEALTH,
     "store_cycle_yields": f"""WITH {FAMILY_ROWS} SELECT 'prov:' || o_orderkey AS event_key, CAST(o_custkey AS VARCHAR) AS subject, o_orderpriority AS facet, CAST(o_orderkey % 9 AS INTEGER) AS cycle_depth, count(*) FILTER (family = 'work') AS work, count(*) FILTER (family = 'source_claim') AS source_claim,
   count(*) FILTER (family = 'source_relationship') AS source_relationship, count(*) FILTER (family = 'extraction_detected_entity') AS extraction_detected_entity, count(*) FILTER (review_state = 'accepted') AS accepted_record, count(*) FILTER (review_state = 'needs_review') AS reviewable_record,
   CAST(count(family) + 2 * count(*) FILTER (review_state = 'accepted') + count(*) FILTER (review_state = 'needs_review') AS DOUBLE) AS useful FROM orders LEFT JOIN family_rows ON event_key = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority""",

@@ -212,8 +212,8 @@ def correction_lineage(spark, d):
 
 
 def content_keys(spark, d):
-    rows = read(spark, d, "nation")
-    return rows.select("n_nationkey", content_id("nation", F.col("n_name"), F.col("n_regionkey")).alias("content_id"), uuid5(NAMESPACE, F.col("n_name")).alias("uuid"))
+    rows = read(spark, d, "customer")
+    return rows.select("c_custkey", content_id("customer", F.col("c_name"), F.col("c_nationkey")).alias("content_id"), uuid5(NAMESPACE, F.col("c_name")).alias("uuid"))
 
 
 def work_keys(spark, d):
@@ -237,7 +237,12 @@ CLAIMS = "claims AS (SELECT p_partkey AS id, p_brand || '|' || p_type || '|' ||
 KNOWN = "known AS (SELECT 'part:' || p_partkey AS ref FROM part WHERE p_size < 25 UNION SELECT 'supplier:' || s_suppkey FROM supplier)"
 IO = "io AS (SELECT 'part-' || l_partkey AS k, 's' || l_suppkey AS s, CASE l_returnflag WHEN 'N' THEN 'read' ELSE 'write' END AS dir FROM lineitem)"
 
+CONTENT_KEYS = f"""WITH s AS (SELECT *, sha1(unhex('{NAMESPACE.replace("-", "")}') || encode(c_name)) AS s FROM customer)
+SELECT c_custkey, 'customer:' || substr(sha256(c_name || chr(31) || c_nationkey), 1, 24) AS content_id,
+  substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(s, 17, 1)) - 1) % 4 + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12) AS uuid FROM s"""
+
 ORACLE = {
+    "content_keys": CONTENT_KEYS,
     "scope_union_distinct": "SELECT c_custkey AS id FROM customer WHERE c_nationkey = 1 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000",
     "exists_or_scope": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 3)",
     "left_join_chain_coalesce": """SELECT coalesce(p_type, o_orderstatus, c_mktsegment, '[none]') AS workspace, count(*) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 25

@@ -317,3 +317,14 @@ def test_json_is_one_value(spark):
     got = df.select(is_json(F.col("t")).alias("ok"), json_number(F.col("t"), "k").alias("k")).collect()
     assert [r.ok for r in got] == [True, False, False, True, False, False, False, False, False, True, True, True]
     assert [r.k for r in got] == [1, None, None, None, None, None, None, None, None, None, None, 7]
+
+
+def test_labels_are_composed_and_folded(spark):
+    import unicodedata
+
+    from ledgerlens.functions.text import label
+
+    texts = ["  A\tB\x1cc ", "\uff26\uff55\uff4c\uff4c  Width", "e\u0301tude", "\u00e9tude", "STRASSE", "Stra\u00dfe", "\ufb01n", "\u00a0x\u2003y", "", None]
+    got = [r.got for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", label(F.col("t")).alias("got")).orderBy("i").collect()]
+    assert got == [None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in texts]
+    assert got[2] == got[3] and got[4] == got[5]
