@@ -13,6 +13,7 @@ from ..functions.values import is_json
 from ..operators import graph
 from ..operators.fingerprint import fingerprint
 from ..operators.scan import check_references, check_rules, check_unique
+from . import corrections
 
 #: Reference columns of each table: (column, how it names its target).
 REFERENCES = {
@@ -99,7 +100,7 @@ def contracts() -> dict[str, tuple[str, dict[str, Column]]]:
     return {
         "candidate_feedback_plan": ("candidate_id", {"SCORE_RANGE": F.col("score").between(-100, 100), "RANK": F.col("rank") >= 1, "KIND": _in("kind", "facet", "lead", "deferred", "next_action"), "REASON": _has("reason")}),
         "canonical_graph_model_outline": ("family", {"TABLE": _has("table_name"), "SIDECAR": _has("sidecar") | ~F.col("requires_sidecar")}),
-        "correction_ledger": ("event_id", {"ACTION": _in("action", "correct", "merge", "split", "supersede", "retract"), "SOURCES": F.size("source_object_refs") > 0, "RESULTS": (F.col("action") == "retract") | (F.size("result_object_refs") > 0), "RATIONALE": _has("rationale")}),
+        "correction_ledger": ("event_id", corrections.rules()),
         "crown_jewel_backup_manifest": ("path", {"PATH": _relative("path"), "HASH": _sha("sha256")}),
         "crown_jewel_store_manifest": ("store_key", {"KEY": _has("store_key"), "PATH": _relative("path")}),
         "crown_jewel_store_policy": ("store_key", {"KEY": _has("store_key"), "RETENTION": F.col("retain_days") > 0}),
@@ -130,7 +131,7 @@ def contracts() -> dict[str, tuple[str, dict[str, Column]]]:
 
 
 #: Contracts whose key occurs once, and references inside one artifact (column, the column that it names).
-UNIQUE = {"correction_ledger", "crown_jewel_backup_manifest", "crown_jewel_store_manifest", "evidence_locator", "field_review_state", "gather_candidate_batch", "knowledge_tree_build_manifest", "migration_ledger", "source_adapter_handoff", "source_locus_jsonl", "subject_manifest", "topic_workspace_registry"}
+UNIQUE = {"crown_jewel_backup_manifest", "crown_jewel_store_manifest", "evidence_locator", "field_review_state", "gather_candidate_batch", "knowledge_tree_build_manifest", "migration_ledger", "source_adapter_handoff", "source_locus_jsonl", "subject_manifest", "topic_workspace_registry"}
 INNER = {"source_locus_jsonl": ("parent_locus_id", "locus_id"), "migration_ledger": ("rollback_of_event_id", "event_id"), "field_review_state": ("superseded_by", "field_key"), "source_adapter": ("after_step_id", "step_id")}
 
 
@@ -138,7 +139,7 @@ INNER = {"source_locus_jsonl": ("parent_locus_id", "locus_id"), "migration_ledge
 FIELDS = {
     "candidate_feedback_plan": "score rank kind reason",
     "canonical_graph_model_outline": "table_name sidecar requires_sidecar",
-    "correction_ledger": "action source_object_refs result_object_refs rationale",
+    "correction_ledger": " ".join(corrections.FIELDS),
     "crown_jewel_backup_manifest": "sha256",
     "crown_jewel_store_manifest": "path",
     "crown_jewel_store_policy": "retain_days",
@@ -167,7 +168,7 @@ FIELDS = {
     "topic_workspace_registry": "lifecycle_state schedule_posture workspace_root",
 }
 TYPES = {
-    "score": "double", "rank": "int", "requires_sidecar": "boolean", "source_object_refs": "array<string>", "result_object_refs": "array<string>", "retain_days": "int", "span_start": "long",
+    "score": "double", "rank": "int", "requires_sidecar": "boolean", **dict.fromkeys(corrections.ARRAYS, "array<string>"), "seq": "long", "retain_days": "int", "span_start": "long",
     "span_end": "long", "present": "boolean", "failure_streak": "int", "byte_count": "long", "sequence": "int", "productivity_score": "double",
 }
 
@@ -184,6 +185,8 @@ def validate(artifact: str, rows: DataFrame) -> DataFrame:
     if artifact in INNER:
         column, target = INNER[artifact]
         found = found.unionByName(check_references(full, key, column, full, target))
+    if artifact == "correction_ledger":
+        found = found.unionByName(corrections.lineage_findings(full))
     return found
 
 

@@ -192,6 +192,30 @@ def closure_of_store(spark, d):
     return audits.closure_audit(tables)
 
 
+def correction_findings(spark, d):
+    """Orders as correction events of ten workspaces' ledgers: the rows of each code."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    no_refs = F.array().cast("array<string>")
+    events = read(spark, d, "orders").select(
+        F.when(order % 40 == 0, text("cle:c", customer)).otherwise(text("cle:", order)).alias("event_id"), (customer % 10).cast("string").alias("workspace_id"), order.alias("seq"),
+        F.when(F.col("o_orderstatus") == "P", "split").otherwise("merge").alias("action"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("changed_at"), F.lit("operator").alias("changed_by"),
+        F.when(order % 13 == 0, " ").otherwise("same record").alias("rationale"), F.lit(None).cast("string").alias("note"), F.array(text("work:", customer)).alias("source_object_refs"),
+        F.array(F.when(order % 7 == 0, text("work:", customer + 10)).otherwise(text("work:", order + 100000000))).alias("result_object_refs"), F.when(order % 11 == 0, no_refs).otherwise(F.array(F.lit("prov:a"))).alias("provenance_event_refs"),
+        *(no_refs.alias(c) for c in ("review_queue_refs", "evidence_locator_refs", "field_review_entry_refs")),
+    )
+    return audits.validate("correction_ledger", events).groupBy("code").agg(F.count("*").alias("n"))
+
+
+CORRECTIONS = """WITH e AS (SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'cle:c' || o_custkey ELSE 'cle:' || o_orderkey END AS id, o_custkey % 10 AS ws, o_orderkey AS seq, o_orderdate AS ts, o_orderstatus AS st, 'work:' || o_custkey AS src,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'work:' || (o_custkey + 10) ELSE 'work:' || (o_orderkey + 100000000) END AS res FROM orders),
+k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY ws, id ORDER BY seq) = 1), f AS (SELECT ws, src AS ref, min(seq) AS first_seq FROM k GROUP BY ALL), l AS (SELECT ts, lag(ts) OVER (PARTITION BY ws ORDER BY seq) AS b FROM k),
+c AS (SELECT 'INVALID_RATIONALE' AS code FROM e WHERE seq % 13 = 0 UNION ALL SELECT 'PROVENANCE_REF_REQUIRED' FROM e WHERE seq % 11 = 0 UNION ALL SELECT 'INVALID_RESULT_CARDINALITY' FROM e WHERE st = 'P'
+  UNION ALL (SELECT 'DUPLICATE_EVENT_ID' FROM e EXCEPT ALL SELECT 'DUPLICATE_EVENT_ID' FROM k) UNION ALL SELECT 'EVENTS_OUT_OF_ORDER' FROM l WHERE ts < b
+  UNION ALL SELECT 'SOURCE_OBJECT_NOT_CURRENT' FROM k JOIN f ON f.ws = k.ws AND ref = src AND seq > first_seq UNION ALL SELECT 'RESULT_OBJECT_ALREADY_SUPERSEDED' FROM k JOIN f ON f.ws = k.ws AND ref = res AND seq >= first_seq)
+SELECT code, count(*) AS n FROM c GROUP BY code"""
+
+
 def contract_report(spark, d):
     lines = read(spark, d, "events").select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 10 == 0, F.concat("props", F.lit("x"))).otherwise(F.col("props")).alias("line"))
     spaces = read(spark, d, "customer").select(F.concat(F.lit("w"), (F.col("c_custkey") % 1490).cast("string")).alias("workspace_id"), F.when(F.col("c_nationkey") > 2, "active").otherwise("odd").alias("lifecycle_state"), F.lit("scheduled").alias("schedule_posture"), F.when(F.col("c_nationkey") > 1, "a/b").otherwise("/a").alias("workspace_root"))
@@ -202,13 +226,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_saturation, store_cycle_yields, store_loop_health, store_population, latest_events, access_counts_by_event, allowed_pages, export_blocks, handoff_rows, selection_records, bounded_claims, workspace_decisions, artifact_overview,
-        entity_workspaces, reconciliation_moves, locus_defaults, structured_counterparts, backup_differences, intake_stages, bibliography, closure_of_store, contract_report,
+        entity_workspaces, reconciliation_moves, locus_defaults, structured_counterparts, backup_differences, intake_stages, bibliography, closure_of_store, contract_report, correction_findings,
     )
 }
 
 ORACLE = {
     "store_saturation": STORE_SATURATION,
     "store_loop_health": STORE_HEALTH,
+    "correction_findings": CORRECTIONS,
     "store_cycle_yields": f"""WITH {FAMILY_ROWS} SELECT 'prov:' || o_orderkey AS event_key, CAST(o_custkey AS VARCHAR) AS subject, o_orderpriority AS facet, CAST(o_orderkey % 9 AS INTEGER) AS cycle_depth, count(*) FILTER (family = 'work') AS work, count(*) FILTER (family = 'source_claim') AS source_claim,
   count(*) FILTER (family = 'source_relationship') AS source_relationship, count(*) FILTER (family = 'extraction_detected_entity') AS extraction_detected_entity, count(*) FILTER (review_state = 'accepted') AS accepted_record, count(*) FILTER (review_state = 'needs_review') AS reviewable_record,
   CAST(count(family) + 2 * count(*) FILTER (review_state = 'accepted') + count(*) FILTER (review_state = 'needs_review') AS DOUBLE) AS useful FROM orders LEFT JOIN family_rows ON event_key = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority""",

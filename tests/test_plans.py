@@ -116,6 +116,27 @@ def test_closure(store):
     assert got["source_claim.about_object_ref"].orphan == 1
 
 
+def test_correction_ledger(spark):
+    from ledgerlens.plans.audits import validate
+
+    def event(n, sources, results, **other):
+        base = {"event_id": f"cle:{n}", "action": "merge", "changed_at": f"2024-01-{n:02}T00:00:00Z", "changed_by": "op", "rationale": "same", "note": None, "workspace_id": "w", "seq": n, "source_object_refs": sources, "result_object_refs": results}
+        return {**base, "review_queue_refs": [], "provenance_event_refs": ["prov:a-1"], "evidence_locator_refs": ["evl:x"], "field_review_entry_refs": [], **other}
+
+    schema = "event_id string, action string, changed_at string, changed_by string, rationale string, note string, workspace_id string, seq long, " + ", ".join(f"{c} array<string>" for c in ("source_object_refs", "result_object_refs", "review_queue_refs", "provenance_event_refs", "evidence_locator_refs", "field_review_entry_refs"))
+    check = lambda *events: sorted((r.key, r.code) for r in validate("correction_ledger", spark.createDataFrame(list(events), schema)).collect())
+    assert check(event(1, ["work:1", "work:2"], ["work:3"]), event(2, ["work:3"], ["work:4", "work:5"], action="split")) == []
+    assert check(event(1, ["work:1"], ["work:2"]), event(2, ["work:1"], ["work:9"]), event(3, ["work:8"], ["work:1"]), event(4, ["work:1"], ["work:7"], workspace_id="v")) == [("cle:2", "SOURCE_OBJECT_NOT_CURRENT"), ("cle:3", "RESULT_OBJECT_ALREADY_SUPERSEDED")]
+    assert check(event(1, ["work:1"], ["work:2"], seq=2), event(2, ["work:5"], ["work:6"], seq=1), event(1, ["work:7"], ["work:8"], seq=3)) == [("cle:1", "DUPLICATE_EVENT_ID"), ("cle:1", "EVENTS_OUT_OF_ORDER")]
+    assert check(event(1, ["work:1"], ["work:1"])) == [("cle:1", "OVERLAPPING_OBJECT_REFS"), ("cle:1", "RESULT_OBJECT_ALREADY_SUPERSEDED")]
+    assert check(event(1, ["work:1", "work:2"], ["work:3"], action="split")) == [("cle:1", "INVALID_RESULT_CARDINALITY"), ("cle:1", "INVALID_SOURCE_CARDINALITY")]
+    bad = event(1, ["page:1"], ["work:2"], event_id="E1", action="drop", changed_at="soon", changed_by=" ", rationale=None, note=" ", review_queue_refs=["x"], provenance_event_refs=None, evidence_locator_refs=["evl:"], field_review_entry_refs=["frs:a", "frs:a"])
+    assert [c for _, c in check(bad)] == [
+        "DUPLICATE_ARRAY_ITEM", "INVALID_ACTION", "INVALID_CHANGED_AT", "INVALID_CHANGED_BY", "INVALID_EVENT_ID", "INVALID_EVIDENCE_LOCATOR_REF", "INVALID_NOTE", "INVALID_OBJECT_REF", "INVALID_PROVENANCE_EVENT_REF", "INVALID_RATIONALE", "INVALID_REVIEW_QUEUE_REF", "PROVENANCE_REF_REQUIRED",
+    ]
+    assert validate("correction_ledger", spark.createDataFrame([("cle:1",)], "event_id string")).count() > 5
+
+
 def test_contracts(spark):
     from ledgerlens.plans.audits import contracts, report, rollup, validate
 
@@ -124,8 +145,6 @@ def test_contracts(spark):
     assert {(r.key, r.code) for r in validate("source_locus_jsonl", loci).collect()} == {("b", "STATE"), ("b", "SCORE"), ("b", "TYPE"), ("b", "DUPLICATE_KEY"), ("b", "UNKNOWN_REFERENCE")}
     lines = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": 1, "a": 2}'), (3, "{")], "line_no int, line string")
     assert {(r.key, r.code) for r in validate("jsonl", lines).collect()} == {("2", "JSON"), ("3", "JSON")}
-    ledger = spark.createDataFrame([("e1", "add", "x", ["a"], ["b"]), ("e2", "retract", "y", ["b"], []), ("e3", "merge", " ", [], ["c"])], "event_id string, action string, rationale string, source_object_refs array<string>, result_object_refs array<string>")
-    assert {(r.key, r.code) for r in validate("correction_ledger", ledger).collect()} == {("e1", "ACTION"), ("e3", "SOURCES"), ("e3", "RATIONALE")}
     manifest = spark.createDataFrame([("a/b", "0" * 64), ("/abs", "0" * 64), ("a/../b", "x")], "path string, sha256 string")
     bad = report("crown_jewel_backup_manifest", manifest).first()
     assert (bad.inspected, bad.rejected, bad.status, bad.codes) == (3, 2, "fail", "HASH,PATH")
