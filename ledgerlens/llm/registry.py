@@ -11,6 +11,7 @@ from .license_scan import OP4_SQL, op4_license_scan
 from .near_dedup import OP3_SQL, op3_near_dedup
 from .packing import op9_packing
 from .piece_codec import op7_piece_codec
+from .quality_rules import OP13_SQL, op13_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op5_token_counts
 from .vector_search import OP10_SQL, op10_vector_search
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_vector_search": op10_vector_search,
+    "op13_quality_rules": op13_quality_rules,
     "pipeline": pipeline,
 }
 
@@ -36,4 +38,5 @@ ORACLE = {
     "op6_chat_format": OP6_SQL,
     "op8_embedding_dedup": OP8_SQL,
     "op10_vector_search": OP10_SQL,
+    "op13_quality_rules": OP13_SQL,
 }
