@@ -14,6 +14,7 @@ from .piece_codec import op7_piece_codec
 from .quality_rules import OP13_SQL, op13_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op5_token_counts
+from .vector_codes import OP12_SQL, op12_vector_codes
 from .vector_search import OP10_SQL, op10_vector_search
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_vector_search": op10_vector_search,
+    "op12_vector_codes": op12_vector_codes,
     "op13_quality_rules": op13_quality_rules,
     "pipeline": pipeline,
 }
@@ -38,5 +40,6 @@ ORACLE = {
     "op6_chat_format": OP6_SQL,
     "op8_embedding_dedup": OP8_SQL,
     "op10_vector_search": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_quality_rules": OP13_SQL,
 }
