@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import run as pipeline
 
 from .chat_format import OP6_SQL, op6_chat_format
+from .collocations import OP11_SQL, op11_collocations
 from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .language_id import op2_language_id
 from .license_scan import OP4_SQL, op4_license_scan
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_vector_search": op10_vector_search,
+    "op11_collocations": op11_collocations,
     "op12_vector_codes": op12_vector_codes,
     "op13_quality_rules": op13_quality_rules,
     "pipeline": pipeline,
@@ -40,6 +42,7 @@ ORACLE = {
     "op6_chat_format": OP6_SQL,
     "op8_embedding_dedup": OP8_SQL,
     "op10_vector_search": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_vector_codes": OP12_SQL,
     "op13_quality_rules": OP13_SQL,
 }

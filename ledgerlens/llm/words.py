@@ -60,10 +60,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a run of documents: ``hash`` by word, ``first`` (of each document, and the end), and byte bounds."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
         if lower:
             data = LOWER[data]
-        solid = ~SPACE[data]
+        solid = ~space[data]
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
