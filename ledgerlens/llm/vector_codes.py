@@ -194,7 +194,8 @@ def train(rows: DataFrame, scale: int = SCALE, parts: int = PARTS, entries: int
     books: Books = {}
     for (length,) in rows.select(F.size("embedding")).distinct().collect():
         seeds = rows.filter(F.size("embedding") == length).orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries)
-        x = floors(np.array([r["embedding"] for r in seeds.select("embedding").collect()], np.float64).reshape(-1, length), scale)
+        first = [r["embedding"] for r in seeds.select("embedding").collect()]  # ``entries`` at most
+        x = floors(np.array(first, np.float64).reshape(len(first), length), scale)
         books[length] = [x[:, a:b] for a, b in cuts(length, parts)]
     for _ in range(rounds):
         sums = rows.select("embedding").mapInArrow(_sums(books, scale), "length int, part int, entry int, position int, limb int, total long, n long")
