@@ -47,7 +47,7 @@ from .words import LOWER, SPACE, U, Words, grams, mix, text_bytes
 from .workspace import Workspace
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BITS_EACH = 16
 BITS_MOST = 1 << 29
 SLICE_BITS = 1 << 19
@@ -131,15 +131,16 @@ def bit_table(level: DataFrame, size: int, phrases: int) -> np.ndarray:
 
 def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
     """The ``size`` words from each place ``at``, joined by one space."""
-    length = np.stack([end[at + j] - start[at + j] for j in range(size)], axis=1) if len(at) else np.zeros((0, size), np.int64)
-    word_at = np.cumsum((length + 1).ravel()) - (length + 1).ravel()  # each word and one space after it
-    total = int((length + 1).sum())
+    where = np.int32 if len(data) < 1 << 28 else np.int64  # half the memory for all but huge texts
+    each = (at[:, None] + np.arange(size)).ravel()
+    begin, sizes = start[each], end[each] - start[each]
+    word_at = np.cumsum(sizes + 1) - sizes - 1  # each word and one space after it
+    total = int((sizes + 1).sum())
+    within = np.arange(int(sizes.sum()), dtype=where)
+    within -= np.repeat((np.cumsum(sizes) - sizes).astype(where), sizes)
     out = np.full(total, 32, np.uint8)
-    begin = np.stack([start[at + j] for j in range(size)], axis=1).ravel() if len(at) else np.zeros(0, np.int64)
-    sizes = length.ravel()
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[np.repeat(word_at, sizes) + within] = data[np.repeat(begin, sizes) + within]
-    ends = np.cumsum((length + 1).sum(axis=1))
+    out[np.repeat(word_at.astype(where), sizes) + within] = data[np.repeat(begin.astype(where), sizes) + within]
+    ends = (word_at + sizes + 1)[size - 1 :: size]
     keep = np.ones(total, bool)
     keep[ends - 1] = False  # the space after the last word
     offsets = np.concatenate([[0], ends - np.arange(1, len(at) + 1)]).astype(np.int64)
@@ -162,7 +163,8 @@ def count_chunk(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, size: in
         fits &= shorter[:-1] & shorter[1:]
     at = np.flatnonzero(fits)
     _, first, count = np.unique(keys(grams(words.hash, size)[at], lang[doc[at]]), return_index=True, return_counts=True)
-    at = at[first]
+    order = np.argsort(words.hash[at[first]], kind="stable")  # those that begin alike lie together, which compresses better
+    at, count = at[first][order], count[order]
     return langs.take(pa.array(doc[at])), spelled(data, words.start, words.end, at, size).cast(pa.string()), pa.array(count.astype(np.int64))
 
 
