@@ -103,18 +103,6 @@ def yield_trend(cycles: DataFrame, by: Sequence[str], order: str, value: str) ->
     return ends.select(*by, F.when(F.col("n") < 2, "insufficient_data").when(step > 0, "rising").when(step < 0, "declining").otherwise("flat").alias("trend"))
 
 
-def health_status(cycles: Column, contradiction_rate: Column, resolution_coverage: Column, backlog: Column, oldest_days: Column, trend: Column) -> Column:
-    """The loop's health, by the first condition that holds."""
-    return (
-        F.when(cycles < 2, "insufficient_data")
-        .when(F.coalesce(contradiction_rate, F.lit(0.0)) > 0.25, "contradiction_spike")
-        .when((F.coalesce(resolution_coverage, F.lit(1.0)) < 0.5) & (backlog > 25), "review_lagging")
-        .when((backlog > 25) | (oldest_days > 30), "accumulating")
-        .when(trend == "declining", "stalled")
-        .otherwise("healthy")
-    )
-
-
 def contradiction_rates(total: Column, unresolved: Column, cycles: Column, claims: Column) -> list[Column]:
     return [total.alias("contradictions"), unresolved.alias("unresolved"), ratio(total, cycles).alias("per_cycle"), ratio(total, claims).alias("per_claim")]
 

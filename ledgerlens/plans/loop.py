@@ -1,4 +1,4 @@
-"""Saturation, loop health and the feedback plan of every subject, from the store's tables.
+"""Saturation and the feedback plan of every subject, from the store's tables.
 
 ``tables`` maps table names to DataFrames (``Snapshot.table`` gives them).
 """
@@ -88,25 +88,6 @@ def topic_saturation(tables: dict[str, DataFrame], workspaces: DataFrame, policy
     return out.withColumn("next_eligible_cycle", F.when(F.col("state") == "cooldown", F.coalesce("depth", F.lit(0)) + p["cooldown_cycles"] + 1)).drop("depth")
 
 
-def loop_health(tables: dict[str, DataFrame], now: Column, lookback: int = 5) -> DataFrame:
-    """Health of each subject's newest cycles with the counts that decide it."""
-    events = op.newest(gather_events(tables["provenance_event"], raw_text_order=True), ["subject"], [F.desc("at"), F.desc("provenance_event_id")], lookback)
-    yields = cycle_yields(tables, events)
-    trend = op.yield_trend(yields.withColumn("place", -F.col("rn")), ["subject"], "place", "reviewable_record")
-    edges = tables["source_relationship"].filter("predicate = 'contradicts'").groupBy(F.col("provenance_event_ref").alias("event_key")).agg(F.count("*").alias("bad"), F.count_if(~F.coalesce(F.col("review_state"), F.lit("")).isin(vocab.HEALTH_RESOLVED)).alias("open"))
-    facts = yields.join(edges, "event_key", "left").groupBy("subject").agg(
-        F.count("*").alias("cycles"), F.coalesce(F.sum("bad"), F.lit(0)).alias("contradictions"), F.coalesce(F.sum("open"), F.lit(0)).alias("unresolved"), F.sum("source_claim").alias("claims"), F.sum("reviewable_record").alias("reviewable"),
-        F.min("at").alias("since"),
-    )
-    decisions = tables["provenance_event"].filter(F.col("event_type").startswith("review_decision_")).select(F.col("event_timestamp").alias("decided"), F.lit(1).alias("one"))
-    total = decisions.agg(F.count("*").alias("decisions"))
-    waiting = tables["source_claim"].filter(F.coalesce(F.col("review_state"), F.lit("")).isin(vocab.HEALTH_PENDING)).agg(F.count("*").alias("backlog"), F.max((F.unix_micros(now) - F.unix_micros(instant(F.col("created_at")))) / 86_400_000_000.0).alias("oldest"))
-    joined = facts.join(trend, "subject").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(waiting))  # one row each
-    rate = F.when(F.col("claims") > 0, F.round(F.col("contradictions") / F.col("claims"), 4))
-    coverage = F.when((F.col("decisions") > 0) & (F.col("reviewable") > 0), F.round(F.col("decisions") / F.col("reviewable"), 4))
-    return joined.select("subject", "cycles", "contradictions", "unresolved", rate.alias("contradictions_per_claim"), coverage.alias("resolution_coverage"), "backlog", "trend", op.health_status(F.col("cycles"), rate, coverage, F.col("backlog"), F.coalesce("oldest", F.lit(0.0)), F.col("trend")).alias("status"))
-
-
 def scoped_works(tables: dict[str, DataFrame], subject: str) -> DataFrame:
     """(work_id) of the subject's workspace, and of other workspaces' works about it."""
     ids = tables["work"].filter(F.col("workspace_id") == subject).select("work_id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import projections as prj
-from ..plans import audits, ingest, loop, reports
+from ..plans import audits, health, ingest, loop, reports
 from .views import FAMILY_ROWS, family_rows, read
 
 
@@ -50,23 +52,51 @@ def store_cycle_yields(spark, d):
 
 
 def store_loop_health(spark, d):
-    """Health of every customer's newest orders: relationship lines that were not accepted contradict, customers are decisions."""
+    """Health of every customer: orders are cycles, some of them in the ledger; half the claims and relationships were decided, at times before the window."""
     tables = _store(spark, d)
-    tables["source_relationship"] = tables["source_relationship"].withColumn("predicate", F.when(F.col("review_state") == "accepted", "mentions").otherwise("contradicts"))
-    tables["source_claim"] = tables["source_claim"].withColumn("created_at", F.lit("2001-12-31T00:00:00Z"))
-    decisions = read(spark, d, "customer").select(F.lit("review_decision_accept").alias("event_type"), F.lit("2001-12-31T00:00:00Z").alias("event_timestamp"))
-    tables["provenance_event"] = tables["provenance_event"].unionByName(schemas.conform(decisions, "provenance_event"))
-    return loop.loop_health(tables, F.lit("2002-01-10 00:00:00").cast("timestamp"))
-
-
-STORE_HEALTH = f"""WITH {FAMILY_ROWS}, y AS (SELECT o_orderkey, o_custkey, o_orderdate, count(*) FILTER (review_state = 'needs_review') AS reviewable, count(*) FILTER (family = 'source_claim') AS claims,
-    count(*) FILTER (family = 'source_relationship' AND review_state <> 'accepted') AS bad, count(*) FILTER (family = 'source_relationship' AND review_state = 'needs_review') AS undecided,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders LEFT JOIN family_rows ON event_key = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate QUALIFY rn <= 5),
-g AS (SELECT o_custkey, count(*) AS cycles, CAST(sum(bad) AS BIGINT) AS contradictions, CAST(sum(undecided) AS BIGINT) AS unresolved, sum(claims) AS claims, sum(reviewable) AS reviewable, max_by(reviewable, rn) AS a, min_by(reviewable, rn) AS b FROM y GROUP BY o_custkey),
-h AS (SELECT *, round(contradictions / nullif(claims, 0), 4) AS rate, round((SELECT count(*) FROM customer) / nullif(reviewable, 0), 4) AS coverage, (SELECT count(*) FROM family_rows WHERE family = 'source_claim' AND review_state = 'needs_review') AS backlog,
-    CASE WHEN cycles < 2 THEN 'insufficient_data' WHEN b > a THEN 'rising' WHEN b < a THEN 'declining' ELSE 'flat' END AS trend FROM g)
-SELECT CAST(o_custkey AS VARCHAR) AS subject, cycles, contradictions, unresolved, rate AS contradictions_per_claim, coverage AS resolution_coverage, backlog, trend,
-  CASE WHEN cycles < 2 THEN 'insufficient_data' WHEN coalesce(rate, 0) > 0.25 THEN 'contradiction_spike' WHEN coalesce(coverage, 1) < 0.5 AND backlog > 25 THEN 'review_lagging' WHEN backlog > 25 THEN 'accumulating' WHEN trend = 'declining' THEN 'stalled' ELSE 'healthy' END AS status FROM h"""
+    since = F.concat(F.lit("2001-0"), (F.col("event_key") % 9 + 1).cast("string"), F.lit("-01T00:00:00Z"))
+    for name in ("work", "source_claim", "source_relationship", "extraction_detected_entity"):
+        rows = family_rows(spark, d).filter(F.col("family") == name).join(read(spark, d, "orders").select(F.col("o_orderkey").alias("event_key"), F.col("o_custkey").cast("string").alias("workspace_id")), "event_key")
+        rows = rows.withColumn("provenance_event_ref", _ref("prov:", "event_key")).withColumn("created_at", since).withColumn("record_last_updated", since)
+        rows = rows.withColumn("predicate", F.when(F.col("review_state") == "accepted", "mentions").otherwise("contradicts")).withColumn(f"{name}_id", F.col("event_key") * 10 + F.col("line"))
+        tables[name] = schemas.conform(rows, name)
+    decided = []
+    for name in ("source_claim", "source_relationship", "work"):
+        id_ = F.col(f"{name}_id")
+        odd = tables[name].filter(id_ % 2 == 1).select(F.lit("review_decision_accept").alias("event_type"), F.lit(name).alias("object_namespace"), id_.cast("string").alias("object_id"), F.concat(F.lit("199"), (id_ % 9).cast("string"), F.lit("-06-01T00:00:00Z")).alias("event_timestamp"))
+        decided.append(schemas.conform(odd, "provenance_event"))
+    tables["provenance_event"] = reduce(lambda a, b: a.unionByName(b), decided, tables["provenance_event"])
+    tables["capture_event"], tables["extraction_record"] = (schemas.conform(read(spark, d, "region").limit(0), t) for t in ("capture_event", "extraction_record"))
+    figures = F.when(F.col("c_custkey") % 6 != 0, F.to_json(F.struct((F.col("c_custkey") % 4).alias("new_reviewable_count"), F.lit(10).alias("new_source_claim_count"), (F.col("c_custkey") % 5).alias("new_contradiction_count"))))
+    ledger = read(spark, d, "customer").filter(F.col("c_custkey") % 3 == 0).select(F.col("c_custkey").cast("string").alias("cycle_event_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("workspace_id"), F.col("c_custkey").cast("string").alias("subject_key"), F.lit("1998-01-01T00:00:00Z").alias("started_at"), figures.alias("row_count_delta_json"))
+    tables["cycle_event"] = ledger
+    return health.loop_health(tables, read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("scope")), "2002-01-10T00:00:00Z")
+
+
+STORE_HEALTH = f"""WITH {FAMILY_ROWS}, r AS (SELECT family, event_key, line, review_state, o_custkey AS scope, event_key * 10 + line AS id, make_timestamp(2001, CAST(event_key % 9 + 1 AS BIGINT), 1, 0, 0, 0) AS since FROM family_rows JOIN orders ON o_orderkey = event_key),
+g AS (SELECT o_custkey AS scope, o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at_, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders QUALIFY nth <= 5),
+gc AS (SELECT g.scope, at_, nth, count(*) FILTER (review_state = 'needs_review') AS reviewable, count(*) FILTER (review_state = 'accepted') AS accepted, count(*) FILTER (family = 'source_claim') AS claims,
+    count(*) FILTER (family = 'source_relationship' AND review_state <> 'accepted') AS contradictions FROM g LEFT JOIN r ON r.event_key = o_orderkey GROUP BY g.scope, at_, nth, o_orderkey),
+lc AS (SELECT c_custkey AS scope, '1998-01-01T00:00:00Z' AS at_, 1 AS nth, c_custkey % 4 AS reviewable, 0 AS accepted, 10 AS claims, c_custkey % 5 AS contradictions FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 6 <> 0),
+cy AS (SELECT * FROM gc WHERE scope NOT IN (SELECT scope FROM lc) UNION ALL SELECT * FROM lc),
+f AS (SELECT scope, count(*) AS cycles, CAST(sum(reviewable) AS BIGINT) AS reviewable, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(contradictions) AS BIGINT) AS contradictions, max_by(at_, nth) AS since,
+    max_by(reviewable, nth) AS a, min_by(reviewable, nth) AS b FROM cy GROUP BY scope),
+d AS (SELECT r.scope, '199' || (id % 9) || '-06-01T00:00:00Z' AS decided_at FROM r WHERE family IN ('source_claim', 'source_relationship') AND id % 2 = 1),
+dc AS (SELECT d.scope, count(*) FILTER (f.since IS NULL OR (decided_at >= f.since AND decided_at <= '2002-01-10T00:00:00Z')) AS decisions FROM d LEFT JOIN f ON f.scope = d.scope GROUP BY d.scope),
+e AS (SELECT scope, count(*) AS all_contradictions, count(*) FILTER (review_state = 'needs_review') AS unresolved FROM r WHERE family = 'source_relationship' AND review_state <> 'accepted' GROUP BY scope),
+p AS (SELECT scope, family, epoch_us(TIMESTAMP '2002-01-10') / 86400000000.0 - epoch_us(since) / 86400000000.0 AS age, row_number() OVER (PARTITION BY scope ORDER BY since DESC) AS k, count(*) OVER (PARTITION BY scope) AS n FROM r WHERE review_state = 'needs_review'),
+b AS (SELECT scope, count(*) AS backlog, count(*) FILTER (family = 'work') AS pw, count(*) FILTER (family = 'source_claim') AS pc, count(*) FILTER (family = 'source_relationship') AS pr, count(*) FILTER (family = 'extraction_detected_entity') AS pe, min(age) AS least,
+    (min(age) FILTER (k = (n + 1) // 2) + min(age) FILTER (k = (n + 2) // 2)) / 2 AS median, min(age) FILTER (k = floor((n - 1) * 0.9 + 0.5) + 1) AS p90 FROM p GROUP BY scope),
+j AS (SELECT c_custkey, coalesce(cycles, 0) AS cycles, coalesce(reviewable, 0) AS reviewable, coalesce(accepted, 0) AS accepted, coalesce(claims, 0) AS claims, coalesce(contradictions, 0) AS contradictions, coalesce(all_contradictions, 0) AS all_contradictions,
+    coalesce(unresolved, 0) AS unresolved, coalesce(backlog, 0) AS backlog, coalesce(pw, 0) AS pw, coalesce(pc, 0) AS pc, coalesce(pr, 0) AS pr, coalesce(pe, 0) AS pe, decisions, round(least, 2) AS least_age_days, round(median, 2) AS median_age_days, round(p90, 2) AS p90_age_days,
+    round(contradictions / nullif(cycles, 0), 4) AS per_cycle, round(contradictions / nullif(claims, 0), 4) AS per_claim, round(decisions / nullif(reviewable, 0), 4) AS coverage,
+    CASE WHEN coalesce(cycles, 0) < 2 THEN 'insufficient_data' WHEN b > a THEN 'rising' WHEN b < a THEN 'declining' ELSE 'flat' END AS trend
+  FROM customer LEFT JOIN f ON f.scope = c_custkey LEFT JOIN dc ON dc.scope = c_custkey LEFT JOIN e ON e.scope = c_custkey LEFT JOIN b ON b.scope = c_custkey)
+SELECT CAST(c_custkey AS VARCHAR) AS scope, cycles, reviewable, accepted, claims, contradictions, all_contradictions, unresolved, backlog, pw AS pending_work, pc AS pending_source_claim, pr AS pending_source_relationship, pe AS pending_extraction_detected_entity,
+  CAST(0 AS BIGINT) AS pending_authority_reconciliation, CAST(0 AS BIGINT) AS pending_source_access, CAST(0 AS BIGINT) AS pending_capture_event, CAST(0 AS BIGINT) AS pending_extraction_record, per_cycle AS contradictions_per_cycle, per_claim AS contradictions_per_claim,
+  decisions IS NOT NULL AS decisions_known, decisions, coverage AS resolution_coverage, least_age_days, median_age_days, p90_age_days, trend,
+  CASE WHEN cycles = 0 THEN 'insufficient_data' WHEN per_claim > 0.25 THEN 'contradiction_spike' WHEN coverage < 0.5 OR least_age_days > 30 THEN 'review_lagging' WHEN backlog > 25 THEN 'accumulating'
+    WHEN cycles >= 2 AND trend IN ('flat', 'declining') AND reviewable = 0 THEN 'stalled' ELSE 'healthy' END AS status FROM j"""
 
 
 def store_population(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.values import age_days, json_number
 from ..operators import cycles as op
+from ..plans.health import health_status
 from .views import FAMILIES, FAMILY_ROWS, cycles, family_rows, micros, read
 
 
@@ -137,7 +138,7 @@ def loop_health_status(spark, d):
     rate = F.when(F.col("n") > 0, F.round(F.col("contradictions") / F.col("n") - 0.2, 4))
     coverage = F.when(F.col("n") > 0, (F.col("n") - F.col("backlog")) / F.col("n"))
     joined = facts.join(_trends(spark, d), "subject")
-    status = op.health_status(F.col("cycles"), rate, coverage, F.col("backlog"), F.col("oldest") - 2400, F.col("trend"))
+    status = health_status(F.col("cycles"), rate, coverage, F.col("oldest") - 2400, F.col("backlog"), F.col("trend"), F.col("backlog"))
     return joined.select("subject", "cycles", "backlog", "contradictions", "trend", status.alias("status"))
 
 
@@ -146,10 +147,10 @@ HEALTH_SQL = f"""WITH {YIELDS}, {TRENDS}, facts AS (
     max((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(o_orderdate)) / 86400000000.0) AS oldest
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey
 )
-SELECT subject, cycles, backlog, contradictions, trend, CASE WHEN cycles < 2 THEN 'insufficient_data'
+SELECT subject, cycles, backlog, contradictions, trend, CASE WHEN cycles = 0 THEN 'insufficient_data'
   WHEN coalesce(round(contradictions / nullif(n, 0) - 0.2, 4), 0.0) > 0.25 THEN 'contradiction_spike'
-  WHEN coalesce((n - backlog) / nullif(n, 0), 1.0) < 0.5 AND backlog > 25 THEN 'review_lagging'
-  WHEN backlog > 25 OR oldest - 2400 > 30 THEN 'accumulating' WHEN trend = 'declining' THEN 'stalled' ELSE 'healthy' END AS status
+  WHEN coalesce((n - backlog) / nullif(n, 0), 1.0) < 0.5 OR oldest - 2400 > 30 THEN 'review_lagging'
+  WHEN backlog > 25 THEN 'accumulating' WHEN cycles >= 2 AND trend IN ('flat', 'declining') AND backlog = 0 THEN 'stalled' ELSE 'healthy' END AS status
 FROM facts JOIN trends USING (subject)"""
 
 

@@ -43,12 +43,12 @@ def family_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as rows of four families with a review state; the order is the cycle's event."""
     names = F.array(*map(F.lit, FAMILIES))
     state = F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "N", "needs_review").otherwise("rejected")
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_key"), names[F.col("l_linenumber") % 4].alias("family"), state.alias("review_state"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_key"), names[F.col("l_linenumber") % 4].alias("family"), state.alias("review_state"), F.col("l_linenumber").alias("line"))
 
 
 FAMILY_ROWS = """family_rows AS (
   SELECT l_orderkey AS event_key, (['work', 'source_claim', 'source_relationship', 'extraction_detected_entity'])[l_linenumber % 4 + 1] AS family,
-    CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'needs_review' ELSE 'rejected' END AS review_state
+    CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'needs_review' ELSE 'rejected' END AS review_state, l_linenumber AS line
   FROM lineitem
 )"""
 

@@ -86,7 +86,8 @@ def tables(snapshot):
 
 
 def test_saturation_health_and_feedback(spark, store):
-    from ledgerlens.plans.loop import feedback_plan, loop_health, topic_saturation
+    from ledgerlens.plans.health import loop_health
+    from ledgerlens.plans.loop import feedback_plan, topic_saturation
 
     snapshot, _, _ = store
     t = tables(snapshot)
@@ -95,8 +96,8 @@ def test_saturation_health_and_feedback(spark, store):
     assert (got["demo"].state, got["demo"].cycles) == ("active_bootstrap", 2) and (got["idle"].state, got["idle"].cycles) == ("active_bootstrap", 0)
     short = {r.subject: r for r in topic_saturation(t, spaces, {"lookback_cycles": 2}).collect()}
     assert short["demo"].state in ("active", "saturated") and short["demo"].backlog > 0
-    health = loop_health(t, F.lit("2024-03-01 00:00:00").cast("timestamp")).collect()
-    assert [(h.subject, h.cycles) for h in health] == [("demo", 2)]
+    health = {h.scope: h for h in loop_health(t, spaces.select(F.col("workspace_id").alias("scope")), "2024-03-01T00:00:00Z").collect()}
+    assert (health["demo"].cycles, health["idle"].cycles, health["idle"].status) == (2, 0, "insufficient_data")
     plan = feedback_plan(t, "demo", ["works", "people", "sources", "open_questions"], max_leads=2, max_deferred=5).collect()
     kinds = {}
     for r in plan:
