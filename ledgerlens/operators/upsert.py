@@ -128,9 +128,19 @@ def _merge_once(old: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[
     return both.select(*(merged(c).alias(c) for c in old.columns))
 
 
-def insert_new(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The rows of ``new`` whose key the table does not hold; the first writer wins."""
-    fresh = new.dropDuplicates(list(key))
+def first_rows(rows: DataFrame, key: Sequence[str], arrival: Sequence[str] = ()) -> DataFrame:
+    """The first row of each key by ``arrival``, then by the row's contents, so that the order of rows means nothing."""
+    if set(rows.columns) == set(key):
+        return rows.distinct()
+    columns = [F.col(c) for c in rows.columns]
+    order = F.struct(*(F.col(c).alias(f"a{i}") for i, c in enumerate(arrival)), F.to_json(F.struct(*columns)).alias("row"))
+    picked = rows.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key))).agg(F.min_by(F.struct(*columns), order).alias("_row"))
+    return picked.select("_row.*")
+
+
+def insert_new(old: DataFrame, new: DataFrame, key: Sequence[str], arrival: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``new`` whose key the table does not hold; the first writer by ``arrival`` wins."""
+    fresh = first_rows(new, key, arrival)
     same = reduce(lambda x, y: x & y, (fresh[k].eqNullSafe(old[k]) for k in key))
     return fresh.join(old, same, "left_anti")
 
@@ -163,8 +173,9 @@ def review_decisions(targets: DataFrame, decisions: DataFrame, key: str) -> tupl
     """(targets with the decided states, history rows) for decisions of key, expected_state, new_state, changed_by, changed_at, reason.
 
     A decision applies where the expected state is the present one (or none was expected) and the state changes; a second run changes nothing.
+    Of several decisions on a target the first by ``changed_at`` counts; ``operators.decisions`` folds all of them.
     """
-    d = decisions.dropDuplicates([key]).alias("d")
+    d = first_rows(decisions, [key], ["changed_at"]).alias("d")
     t = targets.alias("t")
     hit = (F.col("d.expected_state").isNull() | (F.col("d.expected_state") == F.col("t.review_state"))) & (F.col("d.new_state") != F.col("t.review_state"))
     joined = t.join(d, F.col(f"t.{key}") == F.col(f"d.{key}"), "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))

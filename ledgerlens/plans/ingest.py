@@ -96,7 +96,7 @@ def ingest_candidates(store: Snapshot, candidates: DataFrame) -> DataFrame:
     ).distinct()
     old = store.table("provenance_event")
     top = old.agg(F.max("provenance_event_id")).first()[0] or 0
-    fresh = assign_ids(schemas.conform(insert_new(old, event, ["provenance_event_key_v1"]), "provenance_event"), "provenance_event_id", top + 1, ["provenance_event_key_v1"])
+    fresh = assign_ids(schemas.conform(insert_new(old, event, ["provenance_event_key_v1"], ["event_timestamp"]), "provenance_event"), "provenance_event_id", top + 1, ["provenance_event_key_v1"])
     tables["provenance_event"] = old.unionByName(schemas.conform(fresh, "provenance_event"))
     report = store.spark.createDataFrame(reports.collect(), reports.schema)  # five rows, taken before the commit changes what they count
     store.commit(tables)

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fingerprint import fingerprint
+from ..operators.upsert import first_rows
+from ..session import use_checkpoint_dir
+
 
+def append_events(df: DataFrame, path: str, key: str, arrival: Sequence[str] = ()) -> int:
+    """Append rows whose key the JSON log does not hold yet, the first of each by ``arrival``; the number written.
 
-def append_events(df: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key the JSON log does not hold yet; the number written."""
+    What is new is settled once, before it is counted and written.
+    """
     spark = df.sparkSession
     try:
         have = spark.read.schema(df.schema).json(path).select(key)
-        fresh = df.dropDuplicates([key]).join(have, key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
             raise
-        fresh = df.dropDuplicates([key])
-    n = fresh.count()
+        have = df.limit(0).select(key)
+    use_checkpoint_dir(spark)
+    fresh = first_rows(df, [key], arrival).join(have, key, "left_anti").checkpoint()
     fresh.write.mode("append").json(path)
-    return n
+    return fresh.count()
 
 
 def spool(df: DataFrame, operation: str, failure: str, path: str) -> None:
