@@ -28,7 +28,7 @@ URL = r"""https?://[^\s<>()"']+"""
 #: Hazard families, text that addresses a model and markup that runs.
 HAZARD_RULES = {
     "prompt_injection_text": r"(?i)(ignore previous instructions|\bsystem prompt\b|\bdeveloper message\b|\brun shell command\b|\btool call\b)",
-    "hostile_markup": r"(<!--|<[sS][cC][rR][iI][pP][tT]|</[A-Za-z])",
+    "hostile_markup": r"(<!--|(?i:<script)|</[A-Za-z])",
 }
 
 

@@ -130,8 +130,9 @@ def outcomes(tables: dict[str, DataFrame], decisions: DataFrame) -> DataFrame:
         folded = _fold(judged)
         out = judged.join(folded, ["kind", "id", "turn"], "left").checkpoint()
         merged = out.filter((F.col("action") == "accept_merge") & (F.col("status") == "completed"))
-        first = merged.groupBy("loser").agg(F.min_by("winner", "turn").alias("first_winner"))
-        late = merged.join(first, "loser").filter("winner != first_winner").select("kind", "id", "turn", F.lit(True).alias("late"))
+        first = merged.groupBy("loser").agg(F.min(F.struct("turn", "winner")).alias("first"))
+        others = out.filter((F.col("action") == "accept_merge") & F.col("refusal").isNull()).join(first, "loser")
+        late = others.filter((F.col("winner") != F.col("first.winner")) & (F.col("turn") > F.col("first.turn"))).select("kind", "id", "turn", F.lit(True).alias("late"))
         if late.isEmpty():
             return out.withColumn("status", F.coalesce("status", F.concat(F.lit("refused: "), "refusal")))
         again = judged.join(late, ["kind", "id", "turn"], "left")
