@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _name in ("cycles", "relations", "texts", "store", "streams", "contracts", "artifacts", "decisions", "reconciled"):
+for _name in ("cycles", "relations", "texts", "store", "streams", "contracts", "artifacts", "decisions", "reconciled", "rebuilt"):
     _module = import_module(f"{__name__}.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
