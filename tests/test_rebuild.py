@@ -79,21 +79,17 @@ def test_replay_and_verdict(spark, tmp_path):
     bad = batch("run3", "people", [candidate(1, "work", {"title": "Third", "year": "soon"}, "reviewed"), candidate(2, "work", {"title": "Fourth"}, "reviewed")], "2024-03-01")
     for name, content in (("one", batch("run1", "works", FIRST)), ("two", other), ("bad", bad)):
         (tmp_path / f"{name}.json").write_text(json.dumps(content))
-    store = Snapshot(spark, f"file://{tmp_path}/store")
-    ingest_candidates(store, candidates(spark, f"{tmp_path}/one.json"))
-    tables = ["work", "source_claim", "source_relationship", "provenance_event"]
-    one = candidates(spark, f"{tmp_path}/one.json")
-    runs, compared, verdict = rebuild.audit(store, Snapshot(spark, f"file://{tmp_path}/again"), one, tables)
-    assert verdict == "rebuildable" and {x.status for x in compared.collect()} == {"match"} and [x.invalid for x in runs.collect()] == [0]
-    both = one.unionByName(candidates(spark, f"{tmp_path}/bad.json"))
-    runs, compared, verdict = rebuild.audit(store, Snapshot(spark, f"file://{tmp_path}/faulty"), both, tables)
-    assert {x.run_id: (x.replayed, x.invalid, x.codes) for x in runs.collect()}["run3"] == (0, 1, "year_invalid")
-    assert verdict == "not_rebuildable" and {x.status for x in compared.collect()} == {"match"}  # the bad run left nothing
-    ingest_candidates(store, candidates(spark, f"{tmp_path}/two.json"))  # what the artifacts at hand don't explain
-    _, compared, verdict = rebuild.audit(store, Snapshot(spark, f"file://{tmp_path}/short"), one, tables)
-    assert verdict == "not_rebuildable" and {x.table for x in compared.collect() if x.status == "different"} >= {"work", "provenance_event"}
-    runs, compared, verdict = rebuild.audit(store, Snapshot(spark, f"file://{tmp_path}/whole"), candidates(spark, f"{tmp_path}/two.json").unionByName(one), tables)
-    assert verdict == "rebuildable", compared.collect()  # two runs in one merge, as if one after the other
+    store, scratch = (Snapshot(spark, f"file://{tmp_path}/{name}") for name in ("store", "scratch"))
+    batches = {name: candidates(spark, f"{tmp_path}/{name}.json") for name in ("one", "two", "bad")}
+    for name in ("one", "two"):
+        ingest_candidates(store, batches[name])
+    given = batches["two"].unionByName(batches["bad"]).unionByName(batches["one"])
+    runs, compared, verdict = rebuild.audit(store, scratch, given, ["work", "provenance_event"])
+    assert {x.run_id: (x.invalid, x.codes) for x in runs.collect()} == {"run1": (0, ""), "run2": (0, ""), "run3": (1, "year_invalid")}
+    found = compared.collect()  # two runs in one merge give what one after the other gave, and the bad run left nothing
+    assert verdict == "not_rebuildable" and {x.status for x in found} == {"match"}, found
+    short = rebuild.compare_stores({"work": store.table("work")}, {"work": scratch.table("work").filter("title != 'Other'")}).first()
+    assert (short.rows, short.rebuilt_rows, short.unequal_buckets, short.status) == (2, 1, 1, "different")
 
 
 def test_final_status():
