@@ -61,6 +61,18 @@ def hash_tree(df: DataFrame, key: Sequence[str], skip: Sequence[str] = SKIP, lev
     return cut.groupBy("level", "path").agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in LANES))
 
 
+def _signed(df: DataFrame, key: Sequence[str], skip: Sequence[str], digits: int, sign: int) -> DataFrame:
+    sides = [F.lit(int(sign == s)).cast("bigint").alias(c) for c, s in (("left_rows", 1), ("right_rows", -1))]
+    return df.select(bucket(key, digits).alias("path"), *lanes(_compared(df, skip))).select("path", *sides, *((F.col(h) * sign).cast("decimal(28,0)").alias(h) for h in LANES))
+
+
+def bucket_differences(left: DataFrame, right: DataFrame, key: Sequence[str], digits: int = LEVELS[-1], skip: Sequence[str] = SKIP) -> DataFrame:
+    """(path, left_rows, right_rows, equal) of the leaves of two tables at hand: one exchange of sums, in which equal rows cancel out."""
+    rows = _signed(left, key, skip, digits, 1).unionByName(_signed(right, key, skip, digits, -1))
+    summed = rows.groupBy("path").agg(F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"), *(F.sum(h).alias(h) for h in LANES))
+    return summed.select("path", "left_rows", "right_rows", reduce(lambda x, y: x & y, (F.col(h) == 0 for h in LANES), F.col("left_rows") == F.col("right_rows")).alias("equal"))
+
+
 def unequal_buckets(left: DataFrame, right: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     """(path, left_rows, right_rows) of the leaves in which two trees differ; below an equal bucket nothing is compared."""
     parents, above = None, 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.values import year
-from ..operators.fingerprint import LEVELS, differing_keys, hash_tree, unequal_buckets
+from ..operators.fingerprint import LEVELS, bucket_differences, differing_keys
 from ..operators.upsert import Snapshot
 from .audits import PRIMARY
 from .ingest import field, ingest_candidates
@@ -36,20 +36,20 @@ def comparable(df: DataFrame, table: str) -> DataFrame:
     return df.drop(*OWN, *([PRIMARY[table]] if table in PRIMARY else []))
 
 
-def compare_table(name: str, original: DataFrame, rebuilt: DataFrame, key: Sequence[str], levels: Sequence[int] = LEVELS) -> DataFrame:
-    """(table, rows, rebuilt_rows, unequal_buckets, status) of one table, in one exchange of bucket sums for each side."""
-    trees = [hash_tree(df, key, levels=levels) for df in (original, rebuilt)]
-    counts = [t.filter("level = 0").select(F.lit(side).alias("side"), "n") for side, t in zip(("a", "b"), trees)]
-    buckets = unequal_buckets(*trees, levels=levels).select(F.lit("differ").alias("side"), F.lit(1).cast("bigint").alias("n"))
-    total = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
-    summed = counts[0].unionByName(counts[1]).unionByName(buckets).agg(total("a").alias("rows"), total("b").alias("rebuilt_rows"), total("differ").alias("unequal_buckets"))
+def compare_table(name: str, original: DataFrame, rebuilt: DataFrame, key: Sequence[str], digits: int = LEVELS[-1]) -> DataFrame:
+    """(table, rows, rebuilt_rows, unequal_buckets, status) of one table, in one exchange of bucket sums."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    summed = bucket_differences(original, rebuilt, key, digits).agg(total("left_rows")("rows"), total("right_rows")("rebuilt_rows"), F.count_if(~F.col("equal")).alias("unequal_buckets"))
     return summed.select(F.lit(name).alias("table"), "rows", "rebuilt_rows", "unequal_buckets", F.when(F.col("unequal_buckets") == 0, "match").otherwise("different").alias("status"))
 
 
-def differences(original: DataFrame, rebuilt: DataFrame, key: Sequence[str], levels: Sequence[int] = LEVELS) -> DataFrame:
-    """The keys whose rows a rebuild misses, adds or changes: ``differing_keys`` in the unequal buckets of the trees."""
-    buckets = unequal_buckets(hash_tree(original, key, levels=levels), hash_tree(rebuilt, key, levels=levels), levels=levels)
-    return differing_keys(original, rebuilt, key, buckets, levels[-1])
+def differences(original: DataFrame, rebuilt: DataFrame, key: Sequence[str], digits: int = LEVELS[-1]) -> DataFrame:
+    """The keys whose rows a rebuild misses, adds or changes: ``differing_keys`` in the unequal buckets.
+
+    Of tables whose ``hash_tree`` is stored, ``unequal_buckets`` finds these from the trees alone.
+    """
+    buckets = bucket_differences(original, rebuilt, key, digits).filter("NOT equal")
+    return differing_keys(original, rebuilt, key, buckets, digits)
 
 
 def compare_stores(original: dict[str, DataFrame], rebuilt: dict[str, DataFrame]) -> DataFrame:
