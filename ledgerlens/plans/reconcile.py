@@ -83,7 +83,7 @@ def structured(claims: DataFrame) -> DataFrame:
     )
 
 
-def _finding(rule: str, namespace: str, rationale: Column, second_namespace: str | None = None, second_id: str | None = None) -> list[Column]:
+def _finding(rule: str | Column, namespace: str, rationale: Column, second_namespace: str | None = None, second_id: str | None = None) -> list[Column]:
     none = F.lit(None)
     return [
         F.lit(rule).alias("rule"), F.lit(namespace).alias("namespace"), "offending_id", "target_claim_id", "workspace_id", "provenance_event_ref", rationale.alias("rationale"),
@@ -178,16 +178,17 @@ def impossible_edges(edges: DataFrame, claims: DataFrame) -> DataFrame:
     whole = info.join(lives.groupBy("edge_id").agg(*(c.alias(name) for name, c in measures.items())), "edge_id")
     ahead = F.col("subject_born") > F.col("object_died")
     behind = ~F.coalesce(ahead, F.lit(False)) & (F.col("object_born") > F.col("subject_died"))
-    found = [first]
+    said = []
     for test, born_role, dead_role in ((ahead, "subject", "object"), (behind, "object", "subject")):
         told = F.concat(F.lit("relationship "), number("edge_id"), F.lit(f" predicate met is impossible: {born_role} birth year "), number(f"{born_role}_born"), F.lit(f" is after {dead_role} death year "), number(f"{dead_role}_died"))
-        found.append(whole.filter((F.col("kind") == "met") & test).withColumn("target_claim_id", F.col(f"{dead_role}_death")).select(*_finding(LIFESPAN_OVERLAP, "source_relationship", told)))
+        said.append(F.when((F.col("kind") == "met") & test, F.struct(F.lit(LIFESPAN_OVERLAP).alias("rule"), F.col(f"{dead_role}_death").alias("target"), told.alias("told"))))
     for role, ref in (("subject", "from_object_ref"), ("object", "to_object_ref")):
         before, after = F.col(f"{role}_before"), F.col(f"{role}_after")
         fact = F.coalesce(before, after)
         told = F.concat(start, F.lit(" has event year "), number("event_year"), F.when(before.isNotNull(), " before birth year ").otherwise(" after death year "), fact["year"].cast("string"), F.lit(f" for {role} "), ref)
-        found.append(whole.filter(fact.isNotNull()).withColumn("target_claim_id", fact["fact_id"]).select(*_finding(EVENT_OUTSIDE, "source_relationship", told)))
-    return reduce(DataFrame.unionByName, found)
+        said.append(F.when(fact.isNotNull(), F.struct(F.lit(EVENT_OUTSIDE).alias("rule"), fact["fact_id"].alias("target"), told.alias("told"))))
+    each = whole.withColumn("x", F.explode(F.array_compact(F.array(*said)))).withColumn("target_claim_id", F.col("x.target"))
+    return first.unionByName(each.select(*_finding(F.col("x.rule"), "source_relationship", F.col("x.told"))))
 
 
 def findings(claims: DataFrame, relationships: DataFrame, event: str | None = None) -> DataFrame:
