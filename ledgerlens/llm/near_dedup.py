@@ -14,14 +14,17 @@ chooses rows and bands so that a pair at the threshold itself shares no band
 with a probability of one in a million at most.
 
 1. Equal sets collapse into one class before anything is compared.
-2. Each band bucket with two classes or more gives a star to its least class:
-   edges grow with the members of a bucket, never with its pairs.
-3. Components of those edges are the candidate groups.  A group's full sets
-   meet once, in one task, which finds *every* link that connects it: a
-   breadth-first search over an inverted index of the documents not yet
-   reached.  A group above ``GROUP_SHINGLES`` is cut into blocks and each pair
-   of blocks is a task, so no task holds an unbounded group and no pair is
-   left out; the blocks' stars are joined by a second components pass.
+2. Inside each band bucket the members are held against each other by sketch
+   (``band_pairs``): only pairs whose whole signatures agree about as often as
+   the threshold asks become edges, so weakly similar documents that share a
+   bucket by chance don't grow into one group with the corpus.
+3. Components of those edges are the candidate groups, and only their texts are
+   exchanged.  A group's full sets meet once, in one task, which finds *every*
+   link that connects it: a breadth-first search over an inverted index of the
+   documents not yet reached.  A group above ``GROUP_SHINGLES`` is cut into
+   blocks and each pair of blocks is a task, so no task holds an unbounded
+   group and no pair is left out; the blocks' stars are joined by a second
+   components pass.
 
 Edge cases: null, empty or blank texts have no set, link with nothing and are
 kept; a null doc_id can't be reached by links: its row has a null component and
@@ -31,7 +34,6 @@ copies; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -40,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .band_pairs import banding, candidate_links, in_blocks, only_with
 from .components import connected_components
 from .skew import join_unique
 from .substring_dedup import slices
@@ -48,22 +51,11 @@ from .workspace import Workspace
 
 CHUNK_BYTES = 4 << 20
 GROUP_SHINGLES = 2_000_000
-MISS = 1e-6
-VALUES = 80
 
-_SIGNATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_SIGNATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 _EDGES = "a long, b long"
 
 
-def banding(similarity: float) -> tuple[int, int]:
-    """(rows, bands): the most rows whose bands, within ``VALUES`` values, miss a pair at ``similarity`` with at most ``MISS``."""
-    for rows in range(8, 0, -1):
-        bands = math.ceil(math.log(MISS) / math.log(1 - similarity**rows))
-        if rows * bands <= VALUES:
-            return rows, bands
-    return 1, VALUES
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
     words = Words(data, offsets, lower=True)
@@ -102,6 +94,8 @@ def _sign(shingle: int, rows: int, bands: int):
                 flat = np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, U)
                 at = np.cumsum(sizes[full]) - sizes[full]
                 keys: list = [None] * len(sets)
+                sketches: list = [None] * len(sets)
+                sketch = np.zeros((len(full), 2 * perms), np.uint8)
                 code = np.zeros((len(full), bands), U)
                 if len(full):
                     with np.errstate(over="ignore"):
@@ -111,13 +105,17 @@ def _sign(shingle: int, rows: int, bands: int):
                         for p in range(perms):
                             values = flat * factors[p]
                             for q, value in ((2 * p, np.minimum.reduceat(values, at)), (2 * p + 1, np.maximum.reduceat(values, at))):
+                                sketch[:, q] = mix(value, q) & U(255)
                                 if (band := q // rows) < bands:
                                     code[:, band] = mix(code[:, band] + value, band + 1)
+                for i, x in zip(full, sketch, strict=True):
+                    sketches[i] = x.tobytes()
                 band_at = np.zeros(len(sets) + 1, np.int32)
                 band_at[1:] = np.cumsum(np.where(sizes > 0, bands, 0))
+                codes = pa.ListArray.from_arrays(pa.array(band_at), pa.array(code.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(band_at), pa.array(code.ravel().view(np.int64)))],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(keys, pa.binary()), codes, pa.array(sketches, pa.binary())],
+                    names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
                 )
 
     return run
@@ -189,26 +187,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     rows, bands = banding(percent / 100)
     signed = space.keep(docs.mapInArrow(_sign(shingle, rows, bands), _SIGNATURES), "signed")
 
-    classes = space.keep(signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")), "classes")
-    total = classes.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-    # by class and document: a hot set has one such row, or as many as its least document has
-    chosen = signed.join(classes, (signed.set_key == classes.set_key) & (signed.doc_id == classes.node), "left_semi")
-    member = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket", "least")
-    stars = member.join(shared, "bucket").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = connected_components(stars, space, "candidates")
+    once = [F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")]  # equal for equal sets
+    classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"), *once)
+    classes = space.keep(classes, "classes")
+    total, n_classes = classes.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count("*")).first()
+    pairs = candidate_links(classes, n_classes, 2 * -(-rows * bands // 2), percent / 100)
+    groups = connected_components(pairs, space, "candidates")
 
-    sized = groups.join(chosen.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
+    sized = groups.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node")
     blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("n_blocks"))
-    here = F.pmod(F.xxhash64("node"), "n_blocks").cast("int")
-    parts = groups.join(blocks, "root").withColumn("here", here)
-    others = F.when(F.col("n_blocks") == 1, F.array("here")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("n_blocks") - 1), F.col("here")))
-    parts = parts.select("node", "root", "here", F.explode(others).alias("there")).select("node", "root", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"))
-    texts = parts.join(docs, parts.node == docs.doc_id).select("root", "i", "j", "node", "text")
+    parts = in_blocks(groups.join(blocks, "root"), "node", ["node", "root"])
+    wanted = only_with(docs, groups.select(F.col("node").alias("doc_id")), "doc_id")
+    texts = parts.join(wanted, parts.node == wanted.doc_id).select("root", "i", "j", "node", "text")
     links = texts.groupBy("root", "i", "j").applyInArrow(_confirm(shingle, percent, 100), _EDGES)
     found = connected_components(links, space, "links")
 
-    by_class = classes.join(found, "node", "left")
+    by_class = classes.select("set_key", "node", "n_rows").join(found, "node", "left")
     named = join_unique(signed.select("doc_id", "n_shingles", "set_key"), by_class, ["set_key"], "n_rows", total, F.col("doc_id"))
     component = F.coalesce("root", "node", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

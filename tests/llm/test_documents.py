@@ -124,11 +124,11 @@ def test_near_duplicates_of_a_split_group(docs, rows, monkeypatch):
 
 
 def test_banding_misses_one_in_a_million_at_most():
-    from ledgerlens.llm.near_dedup import banding
+    from ledgerlens.llm.band_pairs import VALUES, banding
 
     for similarity in (0.5, 0.8, 0.85, 0.95):
         rows, bands = banding(similarity)
-        assert rows * bands <= 80
+        assert rows * bands <= VALUES
         assert (1 - similarity**rows) ** bands <= 1e-6
 
 
