@@ -88,6 +88,58 @@ def lineage(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Dat
     return found
 
 
+def artifact_chains(links: DataFrame, prompts: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """Every chain of surfaces that artifacts join: (start, depth, producer, artifact_key, consumer, chain).
+
+    ``links`` are (artifact_key, producer, consumer) as ``producer_consumer`` gives them: each starts a chain of its own,
+    and so does each with a prompt before it that ``prompts`` (prompt, surface) says its producer uses.  A row is the chain's
+    last link; no chain meets a surface twice.  Null ends join nothing.  Chains are as many as the paths are: where only
+    what can be reached is asked, use ``reach``.
+    """
+    use_checkpoint_dir(links.sparkSession)
+    links = links.select("producer", "artifact_key", "consumer").dropna().distinct()
+    step = F.concat(F.lit(" --"), "artifact_key", F.lit("--> "), "consumer")
+    last = ["producer", "artifact_key", "consumer"]
+    own = links.select(F.col("producer").alias("start"), *last, F.concat("producer", step).alias("chain"), F.concat_ws("|", F.lit(""), "producer", "consumer", F.lit("")).alias("seen"))
+    if prompts is not None:
+        bound = prompts.select("prompt", F.col("surface").alias("producer")).dropna().distinct().join(links, "producer")
+        named = F.concat("prompt", F.lit(" --uses_prompt--> "), "producer", step)
+        seen = F.concat_ws("|", F.lit(""), "prompt", "producer", "consumer", F.lit(""))
+        own = own.unionByName(bound.select(F.col("prompt").alias("start"), *last, named.alias("chain"), seen.alias("seen")))
+    reached = own.withColumn("depth", F.lit(1)).checkpoint()
+    found, level = reached, 1
+    while depth is None or level < depth:
+        level += 1
+        ends = reached.select("start", "chain", "seen", F.col("consumer").alias("producer"))
+        grown = ends.join(links, "producer").filter(~F.contains("seen", F.concat(F.lit("|"), "consumer", F.lit("|"))))
+        chain, seen = F.concat("chain", step), F.concat("seen", "consumer", F.lit("|"))
+        reached = grown.select("start", *last, chain.alias("chain"), seen.alias("seen"), F.lit(level).alias("depth")).checkpoint()
+        if reached.isEmpty():
+            break
+        found = found.unionByName(reached)
+    return found.select("start", "depth", *last, "chain")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """What each seed reaches along edges (src, dst): (seed, node, depth), once each, with the least number of edges.
+
+    A round follows only the edges of what the last one found first (a checkpoint each), so the work grows with the pairs
+    of seed and node, whatever the number of paths; cycles end by themselves.  Null ends are not followed.
+    """
+    use_checkpoint_dir(edges.sparkSession)
+    steps = edges.select(F.col("src").alias("node"), "dst").dropna().distinct()
+    fresh = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).dropna().distinct().checkpoint()
+    found, level = fresh, 0
+    while depth is None or level < depth:
+        level += 1
+        ends = fresh.join(steps, "node").select("seed", F.col("dst").alias("node")).distinct()
+        fresh = ends.join(found, ["seed", "node"], "left_anti").withColumn("depth", F.lit(level)).checkpoint()
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+    return found
+
+
 def inverse_edges(edges: DataFrame, predicates: DataFrame) -> DataFrame:
     """Edges turned round, by the predicate that (predicate, inverse) names."""
     turned = edges.join(F.broadcast(predicates), "predicate")  # the predicate registry: a few dozen rows

@@ -163,6 +163,52 @@ walk AS (SELECT 'r' || r_regionkey AS seed, 'r' || r_regionkey AS node, 0 AS dep
 SELECT seed, node, depth, chain FROM walk"""
 
 
+def _key(prefix, column):
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def artifact_chains(spark, d):
+    """Customers write orders that suppliers read, who append to their nation's sheet, which the nation reads; segments are prompts."""
+    orders, suppliers = read(spark, d, "orders"), read(spark, d, "supplier")
+    lines = read(spark, d, "lineitem").select(_key("o", "l_orderkey").alias("artifact_key"), _key("s", "l_suppkey").alias("surface_key"), F.lit("read").alias("direction"))
+    io = lines.union(orders.select(_key("o", "o_orderkey"), _key("c", "o_custkey"), F.lit("write")))
+    io = io.union(suppliers.select(_key("sheet", "s_nationkey"), _key("s", "s_suppkey"), F.lit("append")))
+    io = io.union(read(spark, d, "nation").select(_key("sheet", "n_nationkey"), _key("n", "n_nationkey"), F.lit("read")))
+    prompts = read(spark, d, "customer").select(F.col("c_mktsegment").alias("prompt"), _key("c", "c_custkey").alias("surface"))
+    return graph.artifact_chains(graph.producer_consumer(io), prompts)
+
+
+CHAINS_SQL = """WITH RECURSIVE links AS (SELECT DISTINCT 'c' || o_custkey AS producer, 'o' || o_orderkey AS artifact_key, 's' || l_suppkey AS consumer
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  UNION SELECT 's' || s_suppkey, 'sheet' || s_nationkey, 'n' || n_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+walk AS (SELECT producer AS start, 1 AS depth, producer, artifact_key, consumer, producer || ' --' || artifact_key || '--> ' || consumer AS chain,
+    '|' || producer || '|' || consumer || '|' AS seen FROM links
+  UNION ALL SELECT c_mktsegment, 1, producer, artifact_key, consumer, c_mktsegment || ' --uses_prompt--> ' || producer || ' --' || artifact_key || '--> ' || consumer,
+    '|' || c_mktsegment || '|' || producer || '|' || consumer || '|' FROM customer JOIN links ON producer = 'c' || c_custkey
+  UNION ALL SELECT w.start, w.depth + 1, l.producer, l.artifact_key, l.consumer, w.chain || ' --' || l.artifact_key || '--> ' || l.consumer, w.seen || l.consumer || '|'
+    FROM walk w JOIN links l ON l.producer = w.consumer WHERE instr(w.seen, '|' || l.consumer || '|') = 0)
+SELECT start, depth, producer, artifact_key, consumer, chain FROM walk"""
+
+
+def reach_depths(spark, d):
+    """What each market segment reaches: its customers, their suppliers, those suppliers' nations and all customers there, round again."""
+    customers = read(spark, d, "customer")
+    sold = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = customers.select(F.col("c_mktsegment").alias("src"), _key("c", "c_custkey").alias("dst"))
+    edges = edges.union(sold.select(_key("c", "o_custkey"), _key("s", "l_suppkey")))
+    edges = edges.union(read(spark, d, "supplier").select(_key("s", "s_suppkey"), _key("n", "s_nationkey")))
+    edges = edges.union(customers.select(_key("n", "c_nationkey"), _key("c", "c_custkey")))
+    return graph.reach(edges, customers.select(F.col("c_mktsegment").alias("node")))
+
+
+REACH_SQL = """WITH RECURSIVE edges AS (SELECT c_mktsegment AS src, 'c' || c_custkey AS dst FROM customer
+  UNION SELECT 'c' || o_custkey, 's' || l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+walk AS (SELECT DISTINCT c_mktsegment AS seed, c_mktsegment AS node, 0 AS depth FROM customer
+  UNION SELECT seed, dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 12)
+SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node"""
+
+
 def _io(spark, d):
     lines = read(spark, d, "lineitem").select(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("artifact_key"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("surface_key"), F.when(F.col("l_returnflag") == "A", "write").when(F.col("l_returnflag") == "N", "read").otherwise("append").alias("direction"))
     return lines
@@ -228,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scope_union_distinct, exists_or_scope, left_join_chain_coalesce, or_join_rewrite, prefix_join_rewrite, conflicting_numeric_claims, conflicting_claims_by_workspace, impossible_interval_pairs, life_facts,
-        first_contradiction_per_group, semi_join_resolved_refs, anti_join_orphans, closure_status_rollup, reference_parts, degree_distribution, connected_components, component_sizes, lineage_recursive,
+        first_contradiction_per_group, semi_join_resolved_refs, anti_join_orphans, closure_status_rollup, reference_parts, degree_distribution, connected_components, component_sizes, lineage_recursive, artifact_chains, reach_depths,
         producer_consumer_blast, inverse_edges, departed_inventory, exact_duplicate_groups, authority_matches, work_matches, merge_repoint, correction_lineage, content_keys, work_keys,
     )
 }
@@ -268,6 +314,8 @@ SELECT CASE WHEN g = 1 THEN '1' WHEN g <= 3 THEN '2-3' WHEN g <= 10 THEN '4-10'
     "connected_components": f"WITH {COMPONENTS} SELECT node, component FROM labels",
     "component_sizes": f"WITH {COMPONENTS} SELECT component, count(*) AS size FROM labels GROUP BY component ORDER BY size DESC, component LIMIT 10",
     "lineage_recursive": LINEAGE_SQL,
+    "artifact_chains": CHAINS_SQL,
+    "reach_depths": REACH_SQL,
     "producer_consumer_blast": f"WITH {IO}, l AS (SELECT DISTINCT a.k, a.s AS p, b.s AS c FROM io a JOIN io b ON a.k = b.k AND a.dir = 'write' AND b.dir = 'read' AND a.s <> b.s) SELECT k AS artifact_key, count(DISTINCT p) AS producers, count(DISTINCT c) AS consumers FROM l GROUP BY k",
     "inverse_edges": "SELECT 'region:' || n_regionkey AS from_object_ref, 'nation:' || n_nationkey AS to_object_ref, 'has_part' AS predicate FROM nation WHERE n_nationkey % 4 > 0",
     "departed_inventory": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)",
