@@ -21,6 +21,9 @@ written.  Per level each chunk asks hash buckets for its *distinct* hashes (a
 passage that a third of all rows share arrives once per chunk, not once per
 row), and each bucket answers a bitmap.  Texts never move by content; only the
 compressed chunks meet their bitmaps, by chunk id, which has no hot value.
+Answers are small: they are written by a task for each core, or for every
+``BUCKET_KEYS`` keys if those are more, not by one for each shuffle partition
+(Hadoop's local file system starts three commands for every file).
 
 Edge cases: a null or blank text has no words (0, 0, empty kept text); texts
 shorter than the window keep every word; repeated rows and equal texts remove
@@ -225,7 +228,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, text: str = "text") -> Da
     space = Workspace(spark, "substring")
     chunks = space.keep(docs.mapInArrow(_pack(text), _CHUNKS), "chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
 
     done: list[tuple[int, int]] = []
     answers: DataFrame | None = None
@@ -240,9 +243,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, text: str = "text") -> Da
 
     for level, length in enumerate(levels(window)):
         density = 1.0 if length == window else 2 / (window - length + 2)
-        buckets = max(tasks, math.ceil(total * density * share / BUCKET_KEYS))
+        full = math.ceil(total * density * share / BUCKET_KEYS)
+        buckets = max(tasks, full)
         asks = joined().mapInArrow(_ask(text, window, done[:], length, buckets), _ASKS)
-        here = space.keep(asks.groupBy("bucket").applyInArrow(_answer, _ANSWERS), f"answers{level}")
+        here = space.keep(asks.groupBy("bucket").applyInArrow(_answer, _ANSWERS).coalesce(max(cores, full)), f"answers{level}")
         n_keys, found = here.agg(F.sum("n_keys"), F.sum("n_hits")).first()
         done.append((length, buckets))
         if not found:

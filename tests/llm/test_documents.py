@@ -81,6 +81,31 @@ def test_substring_dedup_ends_early(spark):
     assert {(r.n_words, r.n_removed) for r in substring_dedup(df).collect()} == {(50, 0)}
 
 
+def test_substring_dedup_writes_few_files(spark):
+    """However many shuffle partitions there are, small answers are a file a core, and the rows are the same."""
+    from pathlib import Path
+
+    from ledgerlens.llm import workspace
+    from ledgerlens.llm.substring_dedup import substring_dedup
+
+    shared = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{shared} " + " ".join(f"w{i}x{j}" for j in range(300))) for i in range(20)], "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = substring_dedup(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.n_words, r.n_removed) for r in got} == {(360, 60)}
+    space = Path(workspace._LIVE[-1].path.removeprefix("file:"))
+    files = [len(list((space / f"answers{level}").glob("part-*"))) for level in range(3)]
+    assert min(files) > 0
+    assert max(files) <= spark.sparkContext.defaultParallelism
+
+
 def _components(rows, shingle, percent):
     sets = {}
     for x in rows:
