@@ -88,10 +88,13 @@ def check_references(rows: DataFrame, key: str, column: str, targets: DataFrame,
 
 
 def check_append_only(events: DataFrame, event: str, ts: str, by: list[str], code: str = "OUT_OF_ORDER") -> DataFrame:
-    """Events that are stamped before the one that was appended just before them (column ``seq``)."""
+    """Events that are stamped before the one that was appended just before them (column ``seq``).
+
+    Events of one ``seq`` count as appended in the order of their stamps, then of their keys, however rows lie.
+    """
     from pyspark.sql import Window
 
-    before = F.lag(ts).over(Window.partitionBy(*by).orderBy("seq"))
+    before = F.lag(ts).over(Window.partitionBy(*by).orderBy("seq", ts, event))
     return events.withColumn("_before", before).filter(F.col(ts) < F.col("_before")).select(F.col(event).cast("string").alias("key"), F.lit(code).alias("code"))
 
 

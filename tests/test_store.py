@@ -328,3 +328,12 @@ def test_labels_are_composed_and_folded(spark):
     got = [r.got for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", label(F.col("t")).alias("got")).orderBy("i").collect()]
     assert got == [None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in texts]
     assert got[2] == got[3] and got[4] == got[5]
+
+
+def test_append_only_counts_the_same_however_rows_lie(spark):
+    from ledgerlens.operators.scan import check_append_only
+
+    rows = [(1, "u", 5, 10), (2, "u", 5, 30), (3, "u", 6, 20), (4, "u", 6, 20), (5, "v", 1, 9), (6, "v", 1, 8)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        events = spark.createDataFrame(order, "event int, user string, seq int, ts int").coalesce(1)
+        assert [(x.key, x.code) for x in check_append_only(events, "event", "ts", ["user"]).collect()] == [("3", "OUT_OF_ORDER")]
