@@ -40,10 +40,13 @@ def expected(defects: list) -> str:
 
 
 def _planted(table, key: str, label, base: dict, defects: list):
-    """(key, document) of a table's rows, defects in turn, with the row's key and label inside."""
+    """(key, document) of a table's rows, defects in turn, with the row's key and label inside.
+
+    Rows are dealt by key before they become documents of many times their size: a small file is read by one task.
+    """
     texts = F.array(*(F.lit(t) for t in documents_of(base, defects)))
     which = F.element_at(texts, (F.col(key) % (len(defects) + 1) + 1).cast("int"))
-    return table.select(F.col(key).alias("key"), F.replace(F.replace(which, F.lit("@key"), F.col(key).cast("string")), F.lit("@label"), label).alias("document"))
+    return table.select(key, label.alias("label")).repartition(key).select(F.col(key).alias("key"), F.replace(F.replace(which, F.lit("@key"), F.col(key).cast("string")), F.lit("@label"), F.col("label")).alias("document"))
 
 
 def _oracle(table: str, key: str, defects: list) -> str:
