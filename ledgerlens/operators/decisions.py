@@ -3,7 +3,7 @@
 Decisions hold target (``type:id``), action, reviewer, reason, expected_state,
 decided_at and arrival.  They apply in the order of (decided_at, arrival), so the
 order of rows means nothing.  Each target's decisions fold over its state: one
-aggregation of a sorted array, as long as people decided on that target.
+pass of sorted rows, a target in one task.
 
 A decision is refused (with a reason) where its target, action, reviewer,
 expected state or merge doesn't hold; one that finds its state already there is
@@ -16,8 +16,12 @@ entity's reconciliation stands for is the one before the batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import vocab
 from ..functions.values import content_id, instant
@@ -93,50 +97,65 @@ def _judged(decisions: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("refusal", refusal).withColumn("turn", order)
 
 
-_STEP = "struct<state:string,merged:boolean,log:array<struct<turn:struct<at:timestamp,arrival:bigint,tie:bigint>,before:string,after:string,status:string>>>"
+#: What a row of the fold is read by, in this order.
+_READ = ["kind", "id", "refusal", "action", "expected_state", "new_state", "review_state", "loser_into", "winner"]
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds before, after and status to decisions in the order of kind, id and turn; a target may go on in the next batch."""
+    target, now, merged = None, None, False
+    for batch in batches:
+        rows: list[tuple] = []
+        for kind, key, refusal, action, expected, new, first, into, winner in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _READ), strict=True):
+            if refusal is not None:
+                rows.append((None, None, None))
+                continue
+            if (kind, key) != target:
+                target, now, merged = (kind, key), first, False
+            before, merge = now, action == "accept_merge"
+            if expected is not None and expected != now:
+                status = "refused: expected another state"
+            elif (now == "accepted" and (merged or into == winner)) if merge else now == new:
+                status = "already_applied"
+            elif action not in MERGES and now is not None and now.strip(" ").lower() in vocab.ESTABLISHED:
+                status = "recorded"
+            else:
+                status, now, merged = "completed", new, merged or merge
+            rows.append((before, now, status))
+        more = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *_ADDED])
 
 
-def _fold(judged: DataFrame) -> DataFrame:
-    """(kind, id, turn, before, after, status) of every decision that isn't refused by itself."""
-    row = F.struct("turn", "action", "new_state", "expected_state", "loser_into", "winner", F.col("review_state").alias("first"))
-    groups = judged.filter("refusal IS NULL").groupBy("kind", "id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+_ADDED = ["before", "after", "status"]
 
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["state"]
-        expected = x["expected_state"].isNull() | x["expected_state"].eqNullSafe(now)
-        direct = x["action"].isin(*MERGES)
-        there = F.when(x["action"] == "accept_merge", now.eqNullSafe(F.lit("accepted")) & (acc["merged"] | x["loser_into"].eqNullSafe(x["winner"]))).otherwise(now.eqNullSafe(x["new_state"]))
-        held = ~direct & F.coalesce(F.lower(F.trim(now)).isin(*vocab.ESTABLISHED), F.lit(False))
-        status = F.when(~expected, "refused: expected another state").when(there, "already_applied").when(held, "recorded").otherwise("completed")
-        after = F.when(status == "completed", x["new_state"]).otherwise(now)
-        entry = F.struct(x["turn"].alias("turn"), now.alias("before"), after.alias("after"), status.alias("status"))
-        merged = acc["merged"] | ((x["action"] == "accept_merge") & (status == "completed"))
-        return F.struct(after.alias("state"), merged.alias("merged"), F.concat(acc["log"], F.array(entry)).alias("log")).cast(_STEP)
 
-    start = F.struct(F.element_at("rows", 1)["first"].alias("state"), F.lit(False).alias("merged"), F.array().alias("log")).cast(_STEP)
-    folded = groups.select("kind", "id", F.aggregate("rows", start, step).alias("end"))
-    return folded.select("kind", "id", F.explode("end.log").alias("x")).select("kind", "id", "x.*")
+def _folded(judged: DataFrame) -> DataFrame:
+    """Decisions with before, after and status, which are null where a decision is refused by itself.
+
+    One shuffle and one sort, and a pass that holds a target's state alone, however many decide on it.
+    """
+    dealt = judged.repartition("kind", "id", F.when(F.col("refusal").isNotNull(), F.col("arrival"))).sortWithinPartitions("kind", "id", "turn")
+    return dealt.mapInArrow(_apply, StructType([*judged.schema.fields, *(StructField(c, StringType()) for c in _ADDED)]))
 
 
 def outcomes(tables: dict[str, DataFrame], decisions: DataFrame) -> DataFrame:
     """Every decision with its target, turn, ``before``, ``after``, ``status`` and ``refusal``; equal rows are one.
 
     A merge that comes too late is refused, which may change what its target's
-    later decisions meet: the fold runs again until no more are refused.
+    later decisions meet: reconciliations fold again until no more are refused.
     """
     use_checkpoint_dir(decisions.sparkSession)
-    judged = _judged(decisions.distinct(), _targets(tables)).checkpoint()
+    found = _folded(_judged(decisions.distinct(), _targets(tables))).checkpoint()
+    merges = F.coalesce(F.col("kind") == "authority_reconciliation", F.lit(False))
+    settled, out = found.filter(~merges), found.filter(merges)
     while True:
-        folded = _fold(judged)
-        out = judged.join(folded, ["kind", "id", "turn"], "left").checkpoint()
-        merged = out.filter((F.col("action") == "accept_merge") & (F.col("status") == "completed"))
-        first = merged.groupBy("loser").agg(F.min(F.struct("turn", "winner")).alias("first"))
-        others = out.filter((F.col("action") == "accept_merge") & F.col("refusal").isNull()).join(first, "loser")
-        late = others.filter((F.col("winner") != F.col("first.winner")) & (F.col("turn") > F.col("first.turn"))).select("kind", "id", "turn", F.lit(True).alias("late"))
+        accepts = out.filter((F.col("action") == "accept_merge") & F.col("refusal").isNull())
+        first = accepts.filter(F.col("status") == "completed").groupBy("loser").agg(F.min(F.struct("turn", "winner")).alias("first"))
+        late = accepts.join(first, "loser").filter((F.col("winner") != F.col("first.winner")) & (F.col("turn") > F.col("first.turn"))).select("kind", "id", "turn", F.lit(True).alias("late"))
         if late.isEmpty():
-            return out.withColumn("status", F.coalesce("status", F.concat(F.lit("refused: "), "refusal")))
-        again = judged.join(late, ["kind", "id", "turn"], "left")
-        judged = again.withColumn("refusal", F.coalesce("refusal", F.when(F.col("late"), "already merged into another authority"))).drop("late").checkpoint()
+            return settled.unionByName(out).withColumn("status", F.coalesce("status", F.concat(F.lit("refused: "), "refusal")))
+        again = out.drop(*_ADDED).join(late, ["kind", "id", "turn"], "left")
+        out = _folded(again.withColumn("refusal", F.coalesce("refusal", F.when(F.col("late"), "already merged into another authority"))).drop("late")).checkpoint()
 
 
 def merge_edges(found: DataFrame) -> DataFrame:

@@ -144,3 +144,29 @@ def test_first_rows_whatever_the_order(spark):
     for order in (two, two[::-1]):
         d = spark.createDataFrame(order, "id int, expected_state string, new_state string, changed_by string, changed_at string, reason string").coalesce(1)
         assert review_decisions(targets, d, "id")[0].first().review_state == "accepted"
+
+
+def test_a_target_that_many_decide_on_is_one_pass(spark):
+    from ledgerlens.operators import decisions as op
+
+    made = [("relationship:1", ("mark_contradicted", "reject_relationship", "resolve_contradiction")[i * 7 % 3], "ann" if i % 11 else " ", "seen", "proposed" if i % 5 == 0 else None, f"2024-01-{i % 28 + 1:02d}T00:00:00Z", i) for i in range(30000)]
+    frame = spark.createDataFrame(made, "target string, action string, reviewer string, reason string, expected_state string, decided_at string, arrival long")
+    data = rows()
+    data["source_relationship"][1]["review_state"] = "proposed"
+    tables = {name: table(spark, name, r) for name, r in data.items()}
+    judged = op._judged(frame, op._targets(tables))
+    plan = op._folded(judged)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan  # no row holds all of a target's decisions
+    state, want = "proposed", {}
+    for _, action, reviewer, _, expected, _, i in sorted(made, key=lambda d: (d[5], d[6])):
+        new = ACTIONS[action][1]
+        if reviewer == " " or (expected is not None and expected != state):
+            want[i] = "refused"
+        elif state == new:
+            want[i] = "already_applied"
+        elif state in ESTABLISHED:
+            want[i] = "recorded"
+        else:
+            want[i], state = "completed", new
+    got = {r.arrival: r.status.split(":")[0] for r in op.outcomes(tables, frame.repartition(7)).select("arrival", "status").collect()}
+    assert got == want and len(set(want.values())) == 4
