@@ -52,6 +52,15 @@ def _lookup(name: Column, values: dict) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), name)
 
 
+def _clean(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(c)), "-", "_")
+
+
+def merge_decisions(decisions: DataFrame) -> DataFrame:
+    """Those that merge or refuse to: no other action fits a reconciliation, so merges come out the same without the rest."""
+    return decisions.filter(_clean(F.col("action")).isin(*MERGES))
+
+
 def _targets(tables: dict[str, DataFrame]) -> DataFrame:
     """(kind, id, state, predicate, winner, loser) of everything that may be decided on."""
     entity = tables["extraction_detected_entity"].select("detected_entity_id", F.col("authority_record_id").alias("of_entity"))
@@ -69,8 +78,7 @@ def _targets(tables: dict[str, DataFrame]) -> DataFrame:
 def _judged(decisions: DataFrame, targets: DataFrame) -> DataFrame:
     """Decisions with their targets and what refuses them whatever their turn."""
     given = F.regexp_extract("target", r"^(.*):\s*([+-]?\d+)\s*$", 1)
-    clean = lambda c: F.regexp_replace(F.lower(F.trim(c)), "-", "_")
-    d = decisions.withColumn("action", clean(F.col("action"))).withColumn("kind", _lookup(clean(given), TARGETS)).withColumn("id", F.expr(r"try_cast(trim(regexp_extract(target, '^(.*):\\s*([+-]?\\d+)\\s*$', 2)) AS BIGINT)"))
+    d = decisions.withColumn("action", _clean(F.col("action"))).withColumn("kind", _lookup(_clean(given), TARGETS)).withColumn("id", F.expr(r"try_cast(trim(regexp_extract(target, '^(.*):\\s*([+-]?\\d+)\\s*$', 2)) AS BIGINT)"))
     d = d.withColumn("new_state", _lookup(F.col("action"), {a: s for a, (_, s) in ACTIONS.items()})).withColumn("at", instant(F.col("decided_at")))
     fits = F.lit(False)
     for action, (kinds, _) in ACTIONS.items():

@@ -41,7 +41,7 @@ def decision_outcomes(spark, d):
 
 def final_authorities(spark, d):
     """Where the references of merged authorities end."""
-    return op.final_authorities(op.merge_edges(op.outcomes(_tables(spark, d), _decisions(spark, d)))).select("loser", "authority")
+    return op.final_authorities(op.merge_edges(op.outcomes(_tables(spark, d), op.merge_decisions(_decisions(spark, d))))).select("loser", "authority")
 
 
 _SQL = """

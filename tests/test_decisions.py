@@ -170,3 +170,16 @@ def test_a_target_that_many_decide_on_is_one_pass(spark):
             want[i], state = "completed", new
     got = {r.arrival: r.status.split(":")[0] for r in op.outcomes(tables, frame.repartition(7)).select("arrival", "status").collect()}
     assert got == want and len(set(want.values())) == 4
+
+
+def test_merges_come_out_without_other_decisions(spark):
+    from ledgerlens.operators import decisions as op
+
+    r = random.Random(3)
+    made = [(f"{r.choice(['authrec', 'claim', 'relationship'])}:{r.randrange(9)}", r.choice([*ACTIONS, "Accept-Merge ", "accept_merge", "praise"]), "ann", "seen", r.choice([None, "proposed"]), f"2024-01-{i % 28 + 1:02d}T00:00:00Z", i) for i in range(200)]
+    tables = {name: table(spark, name, x) for name, x in rows().items()}
+    frame = spark.createDataFrame(made, SCHEMA)
+    few = op.merge_decisions(frame)
+    assert 0 < few.count() < 150 and few.filter(~F.lower("action").contains("merge")).isEmpty()
+    edges = [sorted(map(tuple, op.merge_edges(op.outcomes(tables, d)).select("loser", "winner", "decided_at").collect())) for d in (frame, few)]
+    assert edges[0] == edges[1] != []
