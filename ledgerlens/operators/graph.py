@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoint_dir
+from ..session import stored, use_checkpoint_dir
 
 
 def directory(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -95,29 +95,36 @@ def artifact_chains(links: DataFrame, prompts: DataFrame | None = None, depth: i
     and so does each with a prompt before it that ``prompts`` (prompt, surface) says its producer uses.  A row is the chain's
     last link; no chain meets a surface twice.  Null ends join nothing.  Chains are as many as the paths are: where only
     what can be reached is asked, use ``reach``.
+
+    Kept are the links and, of each round, chains that go on from their end in the next one, as surfaces and keys; the
+    others are made where they are read, and their text last.
     """
-    use_checkpoint_dir(links.sparkSession)
-    links = links.select("producer", "artifact_key", "consumer").dropna().distinct()
-    step = F.concat(F.lit(" --"), "artifact_key", F.lit("--> "), "consumer")
     last = ["producer", "artifact_key", "consumer"]
-    own = links.select(F.col("producer").alias("start"), *last, F.concat("producer", step).alias("chain"), F.concat_ws("|", F.lit(""), "producer", "consumer", F.lit("")).alias("seen"))
+    links = links.select(*last).dropna().distinct()
+    makers = links.select(F.col("producer").alias("consumer"), F.lit(True).alias("onward")).distinct()
+    links = stored(links.join(makers, "consumer", "left").select(*last, F.coalesce("onward", F.lit(False)).alias("onward")))
+    reached = links.select(F.lit(False).alias("prompted"), F.array("producer", "consumer").alias("surfaces"), F.array("artifact_key").alias("keys"), "onward")
     if prompts is not None:
         bound = prompts.select("prompt", F.col("surface").alias("producer")).dropna().distinct().join(links, "producer")
-        named = F.concat("prompt", F.lit(" --uses_prompt--> "), "producer", step)
-        seen = F.concat_ws("|", F.lit(""), "prompt", "producer", "consumer", F.lit(""))
-        own = own.unionByName(bound.select(F.col("prompt").alias("start"), *last, named.alias("chain"), seen.alias("seen")))
-    reached = own.withColumn("depth", F.lit(1)).checkpoint()
-    found, level = reached, 1
+        reached = reached.unionByName(bound.select(F.lit(True).alias("prompted"), F.array("prompt", "producer", "consumer").alias("surfaces"), F.array("artifact_key").alias("keys"), "onward"))
+    found, level, tips = reached, 1, links.filter("onward").select(F.col("consumer").alias("producer"))
     while depth is None or level < depth:
         level += 1
-        ends = reached.select("start", "chain", "seen", F.col("consumer").alias("producer"))
-        grown = ends.join(links, "producer").filter(~F.contains("seen", F.concat(F.lit("|"), "consumer", F.lit("|"))))
-        chain, seen = F.concat("chain", step), F.concat("seen", "consumer", F.lit("|"))
-        reached = grown.select("start", *last, chain.alias("chain"), seen.alias("seen"), F.lit(level).alias("depth")).checkpoint()
+        ends = reached.filter("onward").select("prompted", "surfaces", "keys", F.element_at("surfaces", -1).alias("producer"))
+        grown = ends.join(links, "producer").filter(~F.array_contains("surfaces", F.col("consumer")))
+        grown = grown.select("prompted", F.array_append("surfaces", F.col("consumer")).alias("surfaces"), F.array_append("keys", F.col("artifact_key")).alias("keys"), "onward")
+        found = found.unionByName(grown)
+        if level == depth or links.filter("onward").join(tips.distinct(), "producer", "left_semi").isEmpty():
+            break
+        reached = stored(grown.filter("onward"))
         if reached.isEmpty():
             break
-        found = found.unionByName(reached)
-    return found.select("start", "depth", *last, "chain")
+        tips = reached.select(F.element_at("surfaces", -1).alias("producer"))
+    used = F.when(F.col("prompted"), F.slice("surfaces", 2, F.size("surfaces"))).otherwise(F.col("surfaces"))
+    steps = F.array_join(F.zip_with("keys", F.slice(used, 2, F.size("keys")), lambda k, c: F.concat(F.lit(" --"), k, F.lit("--> "), c)), "")
+    chain = F.concat(F.when(F.col("prompted"), F.concat(F.element_at("surfaces", 1), F.lit(" --uses_prompt--> "))).otherwise(""), F.element_at(used, 1), steps)
+    ends = [F.element_at("surfaces", -2).alias("producer"), F.element_at("keys", -1).alias("artifact_key"), F.element_at("surfaces", -1).alias("consumer")]
+    return found.select(F.element_at("surfaces", 1).alias("start"), F.size("keys").alias("depth"), *ends, chain.alias("chain"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:

@@ -47,3 +47,22 @@ def test_reach_agrees_with_the_path_listing(spark):
         least[r.seed, r.node] = min(r.depth, least.get((r.seed, r.node), r.depth))
     assert {(r.seed, r.node): r.depth for r in reach(edges, seeds).collect()} == least
     assert {r.depth for r in reach(edges, seeds, depth=1).collect()} == {0, 1}
+
+
+def test_only_chains_that_go_on_are_kept(spark):
+    import glob
+    import os
+
+    from ledgerlens.session import use_checkpoint_dir
+
+    links = [("a", f"x{i}", f"b{i}") for i in range(200)] + [("b0", "y", "c"), ("c", "z", "d"), ("d", "w", "e"), ("e", "v", "a|b")]
+    prompts = [("p", "a"), ("c", "b0")]
+    use_checkpoint_dir(spark)
+    folder = os.path.dirname(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(glob.glob(f"{folder}/*/*"))
+    got = artifact_chains(spark.createDataFrame(links, "producer string, artifact_key string, consumer string"), spark.createDataFrame(prompts, "prompt string, surface string"))
+    kept = [spark.read.parquet(path) for path in set(glob.glob(f"{folder}/*/*")) - before]
+    assert sorted(map(tuple, got.collect())) == expected(links, prompts)
+    assert [t.count() for t in kept if "producer" in t.columns] == [len(links)]
+    rest = [r for t in kept if "surfaces" in t.columns for r in t.collect()]
+    assert {r.surfaces[-1] for r in rest} == {"c", "d", "e"} and len(rest) == len({tuple(r.surfaces) for r in rest}) < 12  # no chain that ends at once, no text
